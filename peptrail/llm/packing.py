@@ -109,17 +109,16 @@ def cut_pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, with
     schema = f"doc_id {kinds['doc_id']}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
+        encode = encoder(tokenizer).encode
         for batch in batches:
             rows, out = [], []
-            for row, ids in enumerate(encode(x or "" for x in batch.column(1).to_pylist())):
-                ids += end
-                n = len(ids) // 4
-                low = 0
-                for piece, high in enumerate(range((n - 1) % capacity + 1, n + 1, capacity)):
-                    part = ids[4 * low : 4 * high]
+            ids, at = encode(batch.column(1), end_id)
+            for row, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                low = a
+                for piece, high in enumerate(range(a + (b - a - 1) % capacity + 1, b + 1, capacity)):
+                    part = ids[low:high]
                     rows.append(row)
-                    out.append((piece, low, high - low, zlib.crc32(part)) + ((np.frombuffer(part, "<i4"),) if with_ids else ()))
+                    out.append((piece, low - a, high - low, zlib.crc32(part)) + ((part.astype("<i4"),) if with_ids else ()))
                     low = high
             columns = [batch.column(0).take(pa.array(rows, pa.int64()))]
             columns += [pa.array([x[k] for x in out], kind) for k, (_, kind) in enumerate(fields)]

@@ -10,15 +10,18 @@ from __future__ import annotations
 import functools
 import os
 import re
-from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks in each of a worker's two generations of remembered chunks. A full generation becomes the old one,
 #: from which chunks in use are taken over; results do not depend on it.
-CACHE_ENTRIES = 350_000
+CACHE_ENTRIES = 300_000
 
-_ODD_SPACE = re.compile(r" (?:\s|\Z)")
+#: A space before white space or the end; the first pattern is for Arrow, whose \s is ASCII alone.
+_ODD_SPACE = r" ([\s\x0b\x1c-\x1f\x{85}\pZ]|$)"
+_ODD = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 
 
@@ -30,11 +33,11 @@ def default_tokenizer() -> str:
 
 def chunks(text: str) -> list[str]:
     """The text parted at every space that a non-space follows, without those spaces."""
-    return _CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
+    return _CUT.split(text) if _ODD.search(text) else text.split(" ")
 
 
 class ChunkEncoder:
-    """Encodes texts to ids as little-endian unsigned 32-bit bytes."""
+    """Encodes texts to ids; chunks are parted and numbered by Arrow, so Python sees each distinct chunk of a batch once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -51,10 +54,11 @@ class ChunkEncoder:
             self.lengths[i] = len(token)
         self.spaced: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.opening: dict[str, bytes] = {}
+        self.marks = {m: self.whole(m) for m in ",."}
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def whole(self, text: str) -> bytes:
+        """Ids of any text by the library itself, as little-endian unsigned 32-bit bytes."""
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def _learn(self, new: list[str]) -> None:
         """Encode chunks that follow a space: one call over all of them, cut apart by the tokens' byte lengths."""
@@ -67,35 +71,66 @@ class ChunkEncoder:
             self.spaced[chunk] = raw[low:high]
             low = high
 
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
-        texts = list(texts)
-        parted = [None if any(a in x for a in self.added) else chunks(x) for x in texts]
+    def _of_chunks(self, used: list[str]) -> list[bytes]:
+        """Ids of chunks, each after a space."""
         if len(self.spaced) > CACHE_ENTRIES:
             self.older, self.spaced = self.spaced, {}
-        if len(self.opening) > CACHE_ENTRIES:
-            self.opening.clear()
-        used: set[str] = set()
-        used.update(*(p[1:] for p in parted if p))
-        new = []
-        for chunk in used:
-            if chunk not in self.spaced:
-                if (ids := self.older.get(chunk)) is None:
-                    new.append(chunk)
-                else:
-                    self.spaced[chunk] = ids
+        spaced, older, marks = self.spaced, self.older, self.marks
+        out = list(map(spaced.get, used))
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        new, marked = set(), []
+        for i in missing:
+            chunk = used[i]
+            if (ids := older.get(chunk)) is not None:
+                spaced[chunk] = ids
+            elif chunk[-1:] in marks and chunk[:-1].isalpha():  # letters, then one mark: two pre-tokens
+                marked.append(chunk)
+                if chunk[:-1] not in spaced:
+                    new.add(chunk[:-1])
+            else:
+                new.add(chunk)
         if new:
-            self._learn(new)
-        out, spaced, opening = [], self.spaced.__getitem__, self.opening
-        for text, p in zip(texts, parted, strict=True):
-            if p is None:
-                out.append(self._whole(text))
-                continue
-            head = opening.get(p[0])
-            if head is None:
-                head = opening[p[0]] = self._whole(p[0])
-            out.append(head + b"".join(map(spaced, p[1:])) if len(p) > 1 else head)
+            self._learn(list(new))
+        for chunk in marked:
+            spaced[chunk] = spaced[chunk[:-1]] + marks[chunk[-1]]
+        for i in missing:
+            out[i] = spaced[used[i]]
         return out
 
+    def encode(self, text: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts (null: empty), end to end, each followed by the end id if one is given; and their len + 1 offsets."""
+        text = text.fill_null("")
+        alone = pc.match_substring_regex(text, _ODD_SPACE)
+        for a in self.added:
+            alone = pc.or_(alone, pc.match_substring(text, a))
+        extra: list[bytes] = [] if end_id is None else [np.array([end_id], "<u4").tobytes()]
+        odd = np.flatnonzero(alone.to_numpy(zero_copy_only=False))
+        whole = {}
+        for i in odd.tolist():
+            x = text[i].as_py()
+            parts = [] if any(a in x for a in self.added) else _CUT.split(x)
+            whole[i] = b"".join([self.whole(parts[0]), *self._of_chunks(parts[1:])]) if parts else self.whole(x)
+        parted = pc.split_pattern(pc.if_else(alone, "", text), " ")
+        at = np.asarray(parted.offsets).astype(np.int64)
+        at -= at[0]
+        coded = parted.flatten().dictionary_encode()
+        table = self._of_chunks(coded.dictionary.to_pylist())
+        which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        # A text's first chunk has no space before it; an odd text is one such chunk.
+        first, n = coded.take(pa.array(at[:-1])).to_pylist() if len(text) else [], len(table) + len(extra)
+        heads = [whole[i] if i in whole else self.whole(x) if x else b"" for i, x in enumerate(first)]
+        which[at[:-1]] = n + np.arange(len(first))
+        if extra:
+            which = np.insert(which, at[1:], len(table))
+            at += np.arange(len(at))
+        table += extra + heads
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        pool, starts = np.frombuffer(b"".join(table), "<u4"), np.cumsum(sizes) - sizes
+        many = sizes[which]
+        ends = np.concatenate(([0], np.cumsum(many)))
+        ids = pool[np.repeat(starts[which] - ends[:-1], many) + np.arange(ends[-1])]
+        return ids, ends[at]
+
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> ChunkEncoder:
