@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, text_bytes
+from .common import prepare
 from .tokens import default_tokenizer, encoder
 
-#: Bytes of text for a shard, and of ids for a row group and a page.
-SHARD_BYTES, GROUP_BYTES, PAGE_BYTES = 64 << 20, 8 << 20, 256 << 10
+#: Bytes of ids for a row group and a page. A shard is about as large as an input partition.
+GROUP_BYTES, PAGE_BYTES = 8 << 20, 256 << 10
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0) -> None:
@@ -30,19 +30,16 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     spark = docs.sparkSession
     prepare(spark)
     tokenizer = tokenizer or default_tokenizer()
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(docs) // SHARD_BYTES))
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     ordered = docs.select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, start = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes(), 0
+        encode, start = encoder(tokenizer).encode, 0
         for batch in batches:
-            parts = [x + end for x in encode(x or "" for x in batch.column(1).to_pylist())]
-            sizes = np.fromiter((len(x) // 4 for x in parts), np.int64, len(parts))
-            ends = np.cumsum(sizes)
-            ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]) if len(ends) else 0, [None, pa.py_buffer(b"".join(parts))])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(start + ends - sizes), pa.array(sizes), lists], names=["doc_id", "start_in_shard", "n_tokens", "ids"])
-            start += int(ends[-1]) if len(ends) else 0
+            ids, at = encode(batch.column(1), end_id)
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.view("<i4")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(start + at[:-1]), pa.array(np.diff(at)), lists], names=["doc_id", "start_in_shard", "n_tokens", "ids"])
+            start += int(at[-1])
 
     kind = dict(docs.dtypes)["doc_id"]
     out = ordered.mapInArrow(run, f"doc_id {kind}, start_in_shard bigint, n_tokens bigint, ids array<int>")
