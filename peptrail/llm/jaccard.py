@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, cut, hashed, mixed, pieces_of, prepare, words_of
+from .common import bytes_of, cut, hashed, mixed, pieces_of, prepare, with_key, words_of
 from .components import components
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 192
@@ -171,8 +171,8 @@ def link(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     prepare(spark)
     bands, rows = choose_bands(threshold, recall, most_hashes)
     inner = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    # A row's number: its id where ids are whole and distinct, else a number given once and written down.
-    numbered, given = _number(inner)
+    numbered = with_key(inner).withColumnRenamed("_key", "_row")
+    given = numbered.select("_row", "doc_id")
     sets = cut(_sets(numbered.select("_row", "text"), words))
     classes = sets.where(F.col("_a").isNotNull()).groupBy("_a", "_b").agg(F.min("_row").alias("copy_of"), F.count(F.lit(1)).alias("copies"))
     classes = cut(classes)
@@ -194,17 +194,6 @@ def link(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     )
 
 
-def _number(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents with _row, and (_row, doc_id)."""
-    ids = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("some")).first()
-    whole = dict(docs.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint")
-    if whole and ids["n"] == ids["some"] and not docs.groupBy("doc_id").count().where("count > 1").take(1):
-        numbered = docs.withColumn("_row", F.col("doc_id").cast("bigint"))
-    else:
-        numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    return numbered, numbered.select("_row", "doc_id")
-
-
 def _verify(numbered: DataFrame, signed: DataFrame, firsts: DataFrame, blocks: DataFrame, words: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Exact links within blocks (node, root): (_row, links), and a spanning forest (a, b)."""
 
@@ -271,10 +260,6 @@ def groups(docs: DataFrame, **options: float) -> DataFrame:
 
 def keep_first(docs: DataFrame, **options: float) -> DataFrame:
     """All columns of the documents that stand first in their group."""
-    whole = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    if whole["n"] != whole["d"]:  # null or repeated ids: work on numbered rows
-        numbered = cut(docs.withColumn("_n", F.monotonically_increasing_id()))
-        found = groups(numbered.select(F.col("_n").alias("doc_id"), "text"), **options).where("doc_id = class_id")
-        return numbered.join(found.select(F.col("doc_id").alias("_n")), "_n", "left_semi").select(*docs.columns)
-    found = groups(docs.select("doc_id", "text"), **options).where("doc_id = class_id")
-    return docs.join(found.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    keyed = with_key(docs)
+    found = groups(keyed.select(F.col("_key").alias("doc_id"), "text"), **options).where("doc_id = class_id")
+    return keyed.join(found.select(F.col("doc_id").alias("_key")), "_key", "left_semi").select(*docs.columns)
