@@ -19,9 +19,9 @@ def activity_label(mic: Column, cut: float = 4.0) -> Column:
 
 
 def mic_level(mic: Column) -> Column:
-    """Whole powers of two in a value over 1, else 0; null for a missing value."""
+    """Whole powers of two in a value over 1, else 0; null for a missing or infinite value."""
     x = known(mic)
-    return F.when(x > 1, F.floor(F.log2(F.greatest(x, F.lit(1.0)))).cast("int")).when(x.isNotNull(), 0)
+    return F.when(x > 1, F.log2(F.greatest(x, F.lit(1.0))).try_cast("int")).when(x.isNotNull(), 0)
 
 
 def rank_label(a: Column, b: Column) -> Column:
