@@ -2,7 +2,11 @@
 
 A text is cut before every space that a non-space character follows. Such a space always opens a new
 pre-token of the byte-level pattern, whatever stands before it, so encoding the chunks one by one gives
-the ids of the whole text. Texts that hold an added token's string are encoded whole instead.
+the ids of the whole text. Texts that hold an added token's string, or white space after a space, are
+encoded by the library as they are.
+
+Chunks are known by two 64-bit hashes of their bytes. A worker keeps the ids of those it has met in a table
+of fixed size, and hands the library only new ones, many in one call.
 """
 
 from __future__ import annotations
@@ -15,14 +19,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks in each of a worker's two generations of remembered chunks. A full generation becomes the old one,
-#: from which chunks in use are taken over; results do not depend on it.
-CACHE_ENTRIES = 300_000
+from .common import PIECE_BYTES, bytes_of, mixed, pieces_of, powers
+
+#: Slots of a worker's table (2 ** SLOT_BITS). At half full it starts anew; results do not depend on it.
+SLOT_BITS = 22
 
-#: A space before white space or the end; the first pattern is for Arrow, whose \s is ASCII alone.
+#: A space before white space or the end, for Arrow, whose \s is ASCII alone.
 _ODD_SPACE = r" ([\s\x0b\x1c-\x1f\x{85}\pZ]|$)"
 _ODD = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
+#: Marks that, after letters, are a pre-token of their own.
+MARKS = b",."
 
 
 def default_tokenizer() -> str:
@@ -36,9 +43,51 @@ def chunks(text: str) -> list[str]:
     return _CUT.split(text) if _ODD.search(text) else text.split(" ")
 
 
-class ChunkEncoder:
-    """Encodes texts to ids; chunks are parted and numbered by Arrow, so Python sees each distinct chunk of a batch once."""
+class Table:
+    """Ids by two hashes: open addressing over arrays, looked up and filled many keys at a time."""
+
+    def __init__(self, bits: int = SLOT_BITS):
+        self.mask = np.uint64((1 << bits) - 1)
+        self.one, self.two = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        self.start, self.size = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
+        self.pool, self.used, self.entries = np.zeros(1 << 20, np.uint32), 0, 0
+
+    def full(self) -> bool:
+        return 2 * self.entries > len(self.one) or self.used > 1 << 26
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The slot of each key, -1 for unknown ones."""
+        out = np.full(len(one), -1)
+        rest, slot = np.arange(len(one)), (one & self.mask).astype(np.int64)
+        while len(rest):
+            there = self.one[slot]
+            hit = (there == one[rest]) & (self.two[slot] == two[rest])
+            out[rest[hit]] = slot[hit]
+            go = ~hit & (there != 0)
+            rest, slot = rest[go], slot[go] + 1 & int(self.mask)
+        return out
 
+    def add(self, one: np.ndarray, two: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New, distinct keys with their ids, end to end."""
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool[: self.used], np.zeros(max(len(self.pool), len(ids)), np.uint32)))
+        self.pool[self.used : self.used + len(ids)] = ids
+        start = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.entries += len(one)
+        rest, slot = np.arange(len(one)), (one & self.mask).astype(np.int64)
+        while len(rest):
+            free = np.flatnonzero(self.one[slot] == 0)
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            at, k = slot[put], rest[put]
+            self.one[at], self.two[at], self.start[at], self.size[at] = one[k], two[k], start[k], sizes[k]
+            go = np.ones(len(rest), bool)
+            go[put] = False
+            rest, slot = rest[go], slot[go] + 1 & int(self.mask)
+
+
+class ChunkEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -52,50 +101,81 @@ class ChunkEncoder:
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.lengths[i] = len(token)
-        self.spaced: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.marks = {m: self.whole(m) for m in ",."}
-
-    def whole(self, text: str) -> bytes:
-        """Ids of any text by the library itself, as little-endian unsigned 32-bit bytes."""
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        """Encode chunks that follow a space: one call over all of them, cut apart by the tokens' byte lengths."""
-        joined = " " + " ".join(new)
-        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-        sizes = np.fromiter((len(x.encode()) + 1 for x in new), np.int64, len(new))
-        ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes)) + 1
-        raw, low = ids.tobytes(), 0
-        for chunk, high in zip(new, (ends * 4).tolist(), strict=True):
-            self.spaced[chunk] = raw[low:high]
-            low = high
-
-    def _of_chunks(self, used: list[str]) -> list[bytes]:
-        """Ids of chunks, each after a space."""
-        if len(self.spaced) > CACHE_ENTRIES:
-            self.older, self.spaced = self.spaced, {}
-        spaced, older, marks = self.spaced, self.older, self.marks
-        out = list(map(spaced.get, used))
-        missing = [i for i, ids in enumerate(out) if ids is None]
-        new, marked = set(), []
-        for i in missing:
-            chunk = used[i]
-            if (ids := older.get(chunk)) is not None:
-                spaced[chunk] = ids
-            elif chunk[-1:] in marks and chunk[:-1].isalpha():  # letters, then one mark: two pre-tokens
-                marked.append(chunk)
-                if chunk[:-1] not in spaced:
-                    new.add(chunk[:-1])
-            else:
-                new.add(chunk)
-        if new:
-            self._learn(list(new))
-        for chunk in marked:
-            spaced[chunk] = spaced[chunk[:-1]] + marks[chunk[-1]]
-        for i in missing:
-            out[i] = spaced[used[i]]
-        return out
+        self.table = Table()
+        self.marks = {m: self.whole(chr(m)) for m in MARKS}
+
+    def whole(self, text: str) -> np.ndarray:
+        """Ids of any text by the library itself."""
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of non-empty runs of bytes that end to end make up data[starts[0]:ends[-1]], or are few."""
+        sizes = ends - starts
+        first = np.cumsum(sizes) - sizes
+        whole = len(starts) and int(ends[-1] - starts[0]) == int(sizes.sum())
+        place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+        run = data[starts[0] : ends[-1]] if whole else data[place + np.repeat(starts, sizes)]
+        x = run.astype(np.uint64) + np.uint64(1)
+        most = int(sizes.max())
+        with np.errstate(over="ignore"):
+            one = np.add.reduceat(x * powers(most)[place], first)
+            two = np.add.reduceat(x * powers(most, 0x9E3779B97F4A7C15)[place], first)
+            one = mixed(one + sizes.astype(np.uint64))
+        one[one == 0] = 1  # 0 marks a free slot
+        return one, two
+
+    def _encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, end to end, and their sizes. Those that begin with a space share one call, cut apart by the tokens' byte lengths."""
+        spaced = [k for k, x in enumerate(new) if x[0] == " "]
+        parts: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(new)
+        if spaced:
+            ids = self.whole("".join([new[k] for k in spaced]))
+            sizes = np.fromiter((len(new[k].encode()) for k in spaced), np.int64, len(spaced))
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes)) + 1
+            if len(spaced) == len(new):
+                return ids, np.diff(ends, prepend=0)
+            for k, a, b in zip(spaced, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                parts[k] = ids[a:b]
+        other = [k for k, x in enumerate(new) if x[0] != " "]
+        for k, e in zip(other, self.tokenizer.encode_batch_fast([new[k] for k in other], add_special_tokens=False), strict=True):
+            parts[k] = np.array(e.ids, np.uint32)
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        """Add distinct unknown chunks. A chunk of letters and one mark is put together from its letters' ids and the mark's."""
+        raw = data.tobytes()
+        texts = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        last = data[ends - 1]
+        marked = np.flatnonzero(((last == MARKS[0]) | (last == MARKS[1])) & (ends - starts > 2) & (data[starts] == 32))
+        marked = marked[np.fromiter((texts[k][1:-1].isalpha() for k in marked.tolist()), bool, len(marked))]
+        plain = np.ones(len(starts), bool)
+        plain[marked] = False
+        if plain.any():
+            self.table.add(one[plain], two[plain], *self._encoded([texts[k] for k in np.flatnonzero(plain).tolist()]))
+        if not len(marked):
+            return
+        base_one, base_two = self._hashes(data, starts[marked], ends[marked] - 1)
+        lacks = np.flatnonzero(self.table.find(base_one, base_two) < 0)
+        if len(lacks):
+            _, first = np.unique(base_one[lacks], return_index=True)
+            lacks = lacks[first]
+            self.table.add(base_one[lacks], base_two[lacks], *self._encoded([texts[k][:-1] for k in marked[lacks].tolist()]))
+        slot = self.table.find(base_one, base_two)
+        for m in MARKS:
+            these = np.flatnonzero(last[marked] == m)
+            if len(these):
+                sizes = self.table.size[slot[these]].astype(np.int64)
+                ends_at = np.cumsum(sizes + 1)
+                ids = np.empty(int(ends_at[-1]), np.uint32)
+                ids[ends_at - 1] = self.marks[m][0]
+                inner = np.ones(len(ids), bool)
+                inner[ends_at - 1] = False
+                ids[inner] = self._gather(slot[these], sizes)
+                self.table.add(one[marked[these]], two[marked[these]], ids, sizes + 1)
+
+    def _gather(self, slot: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        first = np.cumsum(sizes) - sizes
+        return self.table.pool[np.repeat(self.table.start[slot] - first, sizes) + np.arange(int(sizes.sum()))]
 
     def encode(self, text: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts (null: empty), end to end, each followed by the end id if one is given; and their len + 1 offsets."""
@@ -103,33 +183,45 @@ class ChunkEncoder:
         alone = pc.match_substring_regex(text, _ODD_SPACE)
         for a in self.added:
             alone = pc.or_(alone, pc.match_substring(text, a))
-        extra: list[bytes] = [] if end_id is None else [np.array([end_id], "<u4").tobytes()]
-        odd = np.flatnonzero(alone.to_numpy(zero_copy_only=False))
-        whole = {}
-        for i in odd.tolist():
-            x = text[i].as_py()
-            parts = [] if any(a in x for a in self.added) else _CUT.split(x)
-            whole[i] = b"".join([self.whole(parts[0]), *self._of_chunks(parts[1:])]) if parts else self.whole(x)
-        parted = pc.split_pattern(pc.if_else(alone, "", text), " ")
-        at = np.asarray(parted.offsets).astype(np.int64)
-        at -= at[0]
-        coded = parted.flatten().dictionary_encode()
-        table = self._of_chunks(coded.dictionary.to_pylist())
-        which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        # A text's first chunk has no space before it; an odd text is one such chunk.
-        first, n = coded.take(pa.array(at[:-1])).to_pylist() if len(text) else [], len(table) + len(extra)
-        heads = [whole[i] if i in whole else self.whole(x) if x else b"" for i, x in enumerate(first)]
-        which[at[:-1]] = n + np.arange(len(first))
-        if extra:
-            which = np.insert(which, at[1:], len(table))
-            at += np.arange(len(at))
-        table += extra + heads
-        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        pool, starts = np.frombuffer(b"".join(table), "<u4"), np.cumsum(sizes) - sizes
-        many = sizes[which]
-        ends = np.concatenate(([0], np.cumsum(many)))
-        ids = pool[np.repeat(starts[which] - ends[:-1], many) + np.arange(ends[-1])]
-        return ids, ends[at]
+        odd = np.flatnonzero(alone.to_numpy(zero_copy_only=False)).tolist()
+        plain = pc.if_else(alone, "", text) if odd else text
+        done = [self._chunked(*bytes_of(plain.slice(low, high - low))) for low, high in pieces_of(plain, PIECE_BYTES // 2)]
+        ids, counts = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        if not odd and end_id is None:
+            return ids, np.concatenate(([0], np.cumsum(counts)))
+        parts, low, tail = [], 0, np.zeros(0, np.uint32) if end_id is None else np.array([end_id], np.uint32)
+        if odd:
+            for i in odd:
+                counts[i] = -1
+            for i, n in enumerate(counts.tolist()):
+                parts += [self.whole(text[i].as_py()) if n < 0 else ids[low : low + n], tail]
+                low += max(n, 0)
+            sizes = np.array([len(x) for x in parts], np.int64)
+            return np.concatenate(parts) if parts else ids, np.concatenate(([0], np.cumsum(sizes[0::2] + sizes[1::2])))
+        ends = np.cumsum(counts)
+        return np.insert(ids, ends, end_id), np.concatenate(([0], ends + np.arange(1, len(ends) + 1)))
+
+    def _chunked(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts laid end to end, and the number of each text's ids."""
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(at) - 1, np.int64)
+        opens = data == 32
+        opens[at[:-1][at[:-1] < at[1:]]] = True
+        starts = np.flatnonzero(opens)
+        ends = np.append(starts[1:], len(data))
+        one, two = self._hashes(data, starts, ends)
+        if self.table.full():
+            self.table = Table()
+        slot = self.table.find(one, two)
+        unknown = np.flatnonzero(slot < 0)
+        if len(unknown):
+            _, first = np.unique(one[unknown], return_index=True)
+            new = unknown[np.sort(first)]
+            self._learn(data, starts[new], ends[new], one[new], two[new])
+            slot[unknown] = self.table.find(one[unknown], two[unknown])
+        sizes = self.table.size[slot].astype(np.int64)
+        total = np.concatenate(([0], np.cumsum(sizes)))
+        return self._gather(slot, sizes), np.diff(total[np.searchsorted(starts, at)])
 
 
 @functools.lru_cache(maxsize=2)
