@@ -70,6 +70,8 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         whole = owner[:m] == owner[n - 1 :]
         codes.append(code[whole])
         owners.append(owner[:m][whole])
+    if not codes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return mixed(np.concatenate(codes)), np.concatenate(owners)
 
 
