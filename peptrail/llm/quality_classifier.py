@@ -80,9 +80,9 @@ class LabelModel:
 
 
 def estimate(pattern: np.ndarray, count: np.ndarray, rounds: int = 200) -> LabelModel:
-    """Expectation-maximisation over patterns and their counts; at first a document that any labeller calls bad is likely bad."""
+    """Expectation-maximisation over patterns and their counts; at first a document is likely bad if several labellers call it bad, and open if one does."""
     vote = pattern[:, None] // PLACES % 3
-    model, good = LabelModel(0.5, np.full((2, LABELLERS), 0.5)), np.where((vote == BAD).any(1), 0.1, 0.95)
+    model, good = LabelModel(0.5, np.full((2, LABELLERS), 0.5)), np.choose(np.minimum((vote == BAD).sum(1), 2), (0.95, 0.5, 0.1))
     for _ in range(rounds):
         prior, right = float(np.clip(((good * count).sum() + 1) / (count.sum() + 2), 0.01, 0.99)), np.empty((2, LABELLERS))
         for k, (share, side) in enumerate((((1 - good) * count, BAD), (good * count, GOOD))):
