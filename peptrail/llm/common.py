@@ -85,6 +85,17 @@ def text_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(F.octet_length(F.col("text")))).first()[0] or 0
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers live on after a task, beside the executor's JVM."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def pieces_of(text: pa.Array, most: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows with at most so many bytes of text, or one row."""
     if not len(text):
@@ -97,6 +108,8 @@ def pieces_of(text: pa.Array, most: int = PIECE_BYTES) -> Iterator[tuple[int, in
             low, total = i, 0
         total += n
     yield low, len(text)
+    if total + low > 0 and len(text) > 100:
+        trim()
 
 
 def offsets_of(text: pa.Array) -> np.ndarray:

@@ -31,11 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE_BYTES, bytes_of, cut, free, mixed, pieces_of, powers, prepare
+from .common import PIECE_BYTES, bytes_of, cut, free, mixed, pieces_of, powers, prepare, trim
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text that one bucket's anchors stand for.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 NO_ID = np.iinfo(np.int64).max
 
 BASE = 0x9E3779B97F4A7C15
@@ -97,6 +97,7 @@ class Unit:
 def _unit_of(blob: bytes, at: bytes, ids: bytes, length: int) -> Unit:
     import zstandard
 
+    trim()
     data = np.frombuffer(zstandard.decompress(blob), np.uint8) if blob else np.zeros(0, np.uint8)
     return Unit(data, np.frombuffer(at, np.int64), np.frombuffer(ids, np.int64), length)
 
@@ -220,6 +221,7 @@ def _answers(records: DataFrame) -> DataFrame:
             a += n
             if len(hit) or len(look):
                 out.append((unit, hit.astype("<u4").tobytes(), look.astype("<u4").tobytes()))
+        trim()
         return pa.table({"unit": pa.array([x[0] for x in out], pa.int64()), "covered": pa.array([x[1] for x in out], pa.binary()), "fine": pa.array([x[2] for x in out], pa.binary())})
 
     return records.groupBy("bucket").applyInArrow(run, "unit bigint, covered binary, fine binary")
@@ -333,6 +335,7 @@ def _fine(looks: DataFrame, length: int) -> DataFrame:
             for u in np.unique(owner[of]).tolist():
                 mine = at[owner[of] == u]
                 out[u] = _starts_of(mine, mine)
+        trim()
         return pa.table({"unit": pa.array([units[u] for u in out], pa.int64()), "facts": pa.array([x.tobytes() for x in out.values()], pa.binary())})
 
     return looks.where("bucket >= 0").groupBy("bucket").applyInArrow(run, "unit bigint, facts binary")
@@ -370,6 +373,7 @@ def _cut_texts(units: DataFrame, runs: DataFrame, length: int, with_text: bool)
                     columns.append(pa.array([x.decode("utf-8", "ignore") for x in texts], pa.string()))
                     names.append("kept_text")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+            trim()
 
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * with_text
     return units.join(told, "unit", "left").mapInArrow(run, schema)
