@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peptrail.llm import jaccard, langid, packing, pii, suffix_dedup
-from peptrail.llm.common import new_folder, read, with_key
+from peptrail.llm.common import new_folder, read, unused, with_key
 
 #: A document whose best language explains fewer of its n-grams than this is no prose in a learned language.
 LEAST_LANGUAGE_SCORE = 0.2
@@ -33,13 +33,15 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages that a document of a smaller id has; a document that is cut to nothing goes."""
-    keyed = with_key(docs)
-    cut = suffix_dedup.remove_repeats(keyed.select(F.col("_key").alias("doc_id"), "text"), with_text=True)
-    cut = cut.where("n_removed = 0 or n_removed < n_bytes").select(F.col("doc_id").alias("_key"), "kept_text", "n_removed")
-    rest = keyed.select("_key", *(c for c in docs.columns if c != "text"), F.col("text").isNull().alias("_null"))
-    joined = rest.join(cut, "_key").withColumn("text", F.when(~F.col("_null"), F.col("kept_text")))
+    key, kept, gone = (unused(docs, name) for name in ("_key", "_kept", "_gone"))
+    keyed = with_key(docs, key)
+    cut = suffix_dedup.remove_repeats(keyed.select(F.col(key).alias("doc_id"), "text"), with_text=True)
+    cut = cut.where("n_removed = 0 or n_removed < n_bytes").select(F.col("doc_id").alias(key), F.col("kept_text").alias(kept), F.col("n_removed").alias(gone))
+    # Only columns beside the text, and whether it is null, meet the cut texts.
+    rest = keyed.withColumn("text", F.col("text").isNull())
+    joined = rest.join(cut, key).withColumn("text", F.when(~F.col("text"), F.col(kept)))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+        joined = joined.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return joined.select(*docs.columns)
 
 

@@ -71,18 +71,20 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def with_key(docs: DataFrame) -> DataFrame:
-    """Documents with _key, a whole number for each row: the id where ids are whole, distinct and not null, else a number given once and written down."""
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as make it new to a frame."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
+
+
+def with_key(docs: DataFrame, key: str = "_key") -> DataFrame:
+    """Documents with a whole number for each row: the id where ids are whole, distinct and not null, else a number given once and written down."""
     if dict(docs.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint"):
         ids = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
         if not ids.take(1):
-            return docs.withColumn("_key", F.col("doc_id").cast("bigint"))
-    return cut(docs.withColumn("_key", F.monotonically_increasing_id()))
-
-
-def text_bytes(df: DataFrame) -> int:
-    """Bytes of text of a frame; sizes partitions, never results."""
-    return df.agg(F.sum(F.octet_length(F.col("text")))).first()[0] or 0
+            return docs.withColumn(key, F.col("doc_id").cast("bigint"))
+    return cut(docs.withColumn(key, F.monotonically_increasing_id()))
 
 
 def trim() -> None:

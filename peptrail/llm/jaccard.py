@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, cut, hashed, mixed, pieces_of, prepare, with_key, words_of
+from .common import bytes_of, cut, hashed, mixed, pieces_of, prepare, unused, with_key, words_of
 from .components import components
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 192
@@ -260,6 +260,7 @@ def groups(docs: DataFrame, **options: float) -> DataFrame:
 
 def keep_first(docs: DataFrame, **options: float) -> DataFrame:
     """All columns of the documents that stand first in their group."""
-    keyed = with_key(docs)
-    found = groups(keyed.select(F.col("_key").alias("doc_id"), "text"), **options).where("doc_id = class_id")
-    return keyed.join(found.select(F.col("doc_id").alias("_key")), "_key", "left_semi").select(*docs.columns)
+    key = unused(docs, "_key")
+    keyed = with_key(docs, key)
+    found = groups(keyed.select(F.col(key).alias("doc_id"), "text"), **options).where("doc_id = class_id")
+    return keyed.join(found.select(F.col("doc_id").alias(key)), key, "left_semi").select(*docs.columns)

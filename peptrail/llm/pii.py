@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, text_or_empty, with_key
+from .common import cut, prepare, text_or_empty, unused, with_key
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of the bootstrap; a pattern's least confidence and least number of distinct known instances.
@@ -197,10 +197,11 @@ def hidden(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents, all columns, with their spans hidden, and n_chars, if there, counted anew. Null texts stay null."""
-    keyed = with_key(docs)
-    spans = spans_of(keyed.select("_key", "doc_id", "text")).where(F.size("spans") > 0).select("_key", F.col("spans").alias("_spans"))
-    found = keyed.join(spans, "_key", "left")
-    new = F.when(F.col("_spans").isNotNull(), hidden(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
+    key, spans = unused(docs, "_key"), unused(docs, "_spans")
+    keyed = with_key(docs, key)
+    found = spans_of(keyed.select(F.col(key).alias("_key"), "doc_id", "text")).where(F.size("spans") > 0)
+    found = keyed.join(found.select(F.col("_key").alias(key), F.col("spans").alias(spans)), key, "left")
+    new = F.when(F.col(spans).isNotNull(), hidden(F.col("text"), F.col(spans))).otherwise(F.col("text"))
     found = found.withColumn("text", new)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(dict(docs.dtypes)["n_chars"]))

@@ -76,7 +76,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> S
 
 
 def judge(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
-    """For documents (doc_id, text): the base counts, base_failed, probability, kept."""
+    """For documents (doc_id, text): the base counts, base_failed, kept, probability."""
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(scorer)  # a fixed number of weights
@@ -92,8 +92,8 @@ def judge(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
                 n = base["n_words"]
                 failed = (n < LEAST_WORDS) | (100 * base["n_repeat_words"] > REPEAT_PERCENT * n)
                 good = scorer.probabilities(part) if scorer else np.ones(high - low)
-                columns = [batch.column(0).slice(low, high - low), *(pa.array(base[k]) for k in BASE), pa.array(failed), pa.array(good), pa.array(~failed & (good >= LEAST_GOOD))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *BASE, "base_failed", "probability", "kept"])
+                columns = [batch.column(0).slice(low, high - low), *(pa.array(base[k]) for k in BASE), pa.array(failed), pa.array(~failed & (good >= LEAST_GOOD)), pa.array(good)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *BASE, "base_failed", "kept", "probability"])
 
-    schema = f"doc_id {kind}, " + ", ".join(f"{k} bigint" for k in BASE) + ", base_failed boolean, probability double, kept boolean"
+    schema = f"doc_id {kind}, " + ", ".join(f"{k} bigint" for k in BASE) + ", base_failed boolean, kept boolean, probability double"
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

@@ -75,6 +75,7 @@ def test_odd_rows(spark):
     found = sorted(((r.doc_id or 0, r.n_links) for r in jaccard.groups(odd(spark)).collect()))
     assert found == [(0, 0), (1, 2), (2, 0), (3, 0), (4, 0), (5, 2), (5, 2), (6, 0), (7, 0), (8, 0)]
     kept = jaccard.keep_first(clashing(odd(spark)))
+    assert {r["_key"] for r in kept.collect()} == {"x"}
     assert kept.count() == 8 and kept.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
     assert jaccard.groups(empty(spark)).count() == 0
 

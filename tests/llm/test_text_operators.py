@@ -74,6 +74,7 @@ def test_pii_odd(spark):
     assert pii.find(odd(spark)).count() == 10 and pii.find(empty(spark)).count() == 0
     hidden = pii.redact(clashing(odd(spark)))
     assert hidden.columns == clashing(odd(spark)).columns
+    assert {r["_key"] for r in hidden.collect()} == {"x"}
     texts = {r.doc_id: r.text for r in hidden.collect()}
     assert texts[6] == "mail [EMAIL] or [PHONE] from [IP], card [CARD]." and texts[3] is None
 
@@ -224,6 +225,7 @@ def test_pipeline_stages_take_odd_rows(spark, sf_dir):
 
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd(spark), sf_dir).count() > 0
+        assert set(stage(spark, clashing(odd(spark)).drop("lang_pred"), sf_dir).columns) >= {"doc_id"}
         assert stage(spark, empty(spark), sf_dir).count() == 0
 
 
