@@ -63,3 +63,13 @@ def sample_weight(log_target: Column, rare: float = 0.01, weight: float = 10.0)
 
 def percent(part: Column, whole: Column) -> Column:
     return F.try_divide(part * F.lit(100.0), whole)
+
+
+def two_places(x: Column) -> Column:
+    """Text with two decimal places."""
+    return F.format_string("%.2f", x)
+
+
+def thousands(n: Column) -> Column:
+    """Text of a whole number with separators."""
+    return F.format_number(n, 0)

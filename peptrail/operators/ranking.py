@@ -15,3 +15,8 @@ def top(df: DataFrame, n: int = 1000, score: str = "score", key: str = "i") -> D
 def ordered_by_value(df: DataFrame, value: str = "mic", key: str = "i") -> DataFrame:
     """Ascending values, missing ones last, equal ones by key."""
     return df.orderBy(F.asc_nulls_last(value), F.asc(key))
+
+
+def first_rows(df: DataFrame, n: int | None, key: str = "seq_id") -> DataFrame:
+    """The first n rows by key; all for None."""
+    return df if n is None else df.orderBy(key).limit(n)

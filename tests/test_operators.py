@@ -105,3 +105,25 @@ def test_mean_pooled_and_rows_of(spark):
     assert rows(features.mean_pooled(df, "k")) == [(1, [2.0, 3.0]), (2, [5.0, 6.0])]
     wanted = spark.createDataFrame([(2,), (2,)], "row_id int")
     assert features.rows_of(df.withColumnRenamed("k", "row_id"), wanted).count() == 2
+
+
+def test_literal_rows(spark):
+    from peptrail.plans import train
+    from peptrail.sources import readers
+
+    rows = spark.createDataFrame([(k, float(k), [float(k)]) for k in range(40)], "row_id long, mic double, features array<double>")
+    literals = readers.literal_rows(spark)
+    both = train.with_literals(rows, literals, faithful_append=True)
+    assert both.count() == 75 and sorted(r.features[0] for r in both.where("row_id is null").collect()) == [float(k) for k in range(35)]
+    described = spark.createDataFrame([(s, [7.0]) for s in readers.LITERAL_ROWS], "seq string, features array<double>")
+    assert train.with_literals(rows, literals, described).where("features[0] = 7 and mic = 0.01").count() == 35
+    with pytest.raises(ValueError):
+        train.with_literals(rows.limit(3), literals, faithful_append=True)
+
+
+def test_first_rows_and_text(spark):
+    from peptrail.functions import numeric
+
+    df = spark.createDataFrame([(k,) for k in (5, 3, 1, 4)], "seq_id long")
+    assert sorted(r.seq_id for r in ranking.first_rows(df, 2).collect()) == [1, 3] and ranking.first_rows(df, None).count() == 4
+    assert tuple(spark.range(1).select(numeric.two_places(F.lit(2.345678)), numeric.thousands(F.lit(1234567))).first()) == ("2.35", "1,234,567")
