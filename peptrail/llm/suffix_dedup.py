@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE_BYTES, bytes_of, cut, free, mixed, pieces_of, powers, prepare, trim
+from .common import PIECE_BYTES, bytes_of, cut, cut_by, free, mixed, pieces_of, powers, prepare, trim
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text that one bucket's anchors stand for.
@@ -140,8 +140,16 @@ def _units(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "unit bigint, blob binary, at binary, ids binary")
 
 
-def _joined(parts: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+def _packed(raw: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _unpacked(raw: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.decompress(raw)
 
 
 def _records(units: DataFrame, buckets: int, length: int) -> DataFrame:
@@ -260,8 +268,9 @@ def _looks(units: DataFrame, answers: DataFrame, buckets: int, length: int) -> D
                 bucket = _bucket(unit.group[chosen], buckets)
                 for b in np.unique(bucket).tolist():
                     k = chosen[bucket == b]
-                    facts = np.stack([unit.ids[unit.doc[k]], unit.left[k], unit.right[k], unit.low[k], unit.high[k]], 1)
-                    out.append((b, number, facts.tobytes(), b"".join(unit.data[x:y].tobytes() for x, y in zip(unit.left[k].tolist(), unit.right[k].tolist(), strict=True))))
+                    facts = np.stack([unit.ids[unit.doc[k]], unit.left[k], unit.right[k], unit.low[k], unit.high[k]])
+                    text = b"".join(unit.data[x:y].tobytes() for x, y in zip(unit.left[k].tolist(), unit.right[k].tolist(), strict=True))
+                    out.append((b, number, _packed(facts.tobytes()), _packed(text)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "unit", "facts", "bytes"])
 
@@ -310,10 +319,10 @@ def _fine(looks: DataFrame, length: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         units = table.column("unit").to_pylist()
-        facts = [np.frombuffer(x, np.int64).reshape(-1, 5) for x in table.column("facts").to_pylist()]
-        data = np.frombuffer(b"".join(table.column("bytes").to_pylist()) + bytes(64), np.uint8)
-        owner = np.repeat(np.arange(len(units)), [len(x) for x in facts])
-        ids, left, right, low, high = np.concatenate(facts).T
+        facts = [np.frombuffer(_unpacked(x), np.int64).reshape(5, -1) for x in table.column("facts").to_pylist()]
+        data = np.frombuffer(b"".join(map(_unpacked, table.column("bytes").to_pylist())) + bytes(64), np.uint8)
+        owner = np.repeat(np.arange(len(units)), [x.shape[1] for x in facts])
+        ids, left, right, low, high = np.concatenate(facts, 1)
         base = np.cumsum(right - left) - (right - left)
         many = high - low + 1
         which = np.repeat(np.arange(len(ids)), many)
@@ -386,7 +395,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} or more")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    units = cut(_units(docs).repartition(parts, "unit"))
+    units = cut_by(_units(docs), parts, "unit")
     free(spark)
     size = units.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
     buckets = max(parts, -(-3 * size // BUCKET_BYTES))
