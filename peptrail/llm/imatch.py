@@ -1,9 +1,9 @@
 """I-Match document fingerprints, in DataFrame expressions.
 
-Terms are lower-cased words, ASCII marks at their ends cut off. Terms whose document frequency lies in a
+Terms are lower-cased words without ASCII marks. Terms whose document frequency lies in a
 band (by share of all documents) make the lexicon; its size is at most the mean number of distinct terms
 in a document over the band's lower bound, for any size of corpus. `SUBSETS` randomised lexicons each
-leave out a share of the terms by a hash. A fingerprint has, for each of these, the hash of a document's
+leave out a share of the terms by digits of a hash. A fingerprint has, for each of these, the hash of a document's
 sorted distinct terms in it; the likeness of two fingerprints is the share of equal parts.
 
 Defined results: null text is empty text; a text without a term in a lexicon has the hash of the whole
@@ -25,26 +25,35 @@ LEAST_SHARE, MOST_SHARE, LEAST_DOCS = 0.001, 0.2, 2
 SUBSETS, LEFT_OUT = 6, 0.3
 
 
+#: Fixed value: ASCII marks.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 def terms(text: Column) -> Column:
     """Distinct terms of a text."""
-    words = F.split(F.regexp_replace(F.lower(text), "[!-/:-@\\[-`{-~]+(?=\\s|$)|(?<=\\s)[!-/:-@\\[-`{-~]+", ""), "\\s+")
-    return F.filter(F.array_distinct(words), lambda w: F.length(w) > 0)
+    words = F.split(F.translate(F.lower(text), MARKS, ""), "[ \\t-\\r]+")
+    return F.filter(F.array_distinct(words), lambda w: w != "")
 
 
 def lexicon(texts: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
-    """term of every term whose document frequency lies in the band, over all rows (text)."""
+    """term, subsets (a bit for each lexicon that has it) of every term whose document frequency lies in the band, over all rows (text)."""
     n = texts.agg(F.count(F.lit(1))).first()[0]
     counted = texts.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return counted.where((F.col("df") >= max(LEAST_DOCS, least * n)) & (F.col("df") <= max(LEAST_DOCS, most * n))).select("term")
+    return counted.where((F.col("df") >= max(LEAST_DOCS, least * n)) & (F.col("df") <= max(LEAST_DOCS, most * n))).select("term", _subsets(F.col("term")).alias("subsets"))
+
+
+def _subsets(term: Column) -> Column:
+    """Bits of the randomised lexicons that keep a term: its hash gives each of them four digits."""
+    digits, least = F.md5(term.cast("binary")), f"{int(LEFT_OUT * (1 << 16)):04x}"
+    return reduce(lambda bits, k: bits + F.when(F.substring(digits, 4 * k + 1, 4) >= least, 1 << k).otherwise(0), range(SUBSETS), F.lit(0))
 
 
-def _parts(kept: Column, text: Column) -> Column:
-    """The fingerprint of a text (or of its hash) from its distinct terms in the lexicon."""
-    ordered = F.array_sort(kept)
+def _parts(kept: Column, whole: Column) -> Column:
+    """The fingerprint of a text, whose hash is given, from its terms in the lexicon: structs (term, subsets), sorted."""
 
     def part(k: int) -> Column:
-        chosen = F.filter(ordered, lambda t: F.pmod(F.xxhash64(F.lit(k), t), F.lit(1000)) >= int(1000 * LEFT_OUT))
-        return F.substring(F.sha1(F.when(F.size(chosen) > 0, F.concat(F.lit("t"), F.array_join(chosen, " "))).otherwise(F.concat(F.lit("w"), text))), 1, 16)
+        chosen = F.transform(F.filter(kept, lambda t: t["subsets"].bitwiseAND(F.lit(1 << k)) > 0), lambda t: t["term"])
+        return F.substring(F.sha1(F.when(F.size(chosen) > 0, F.concat(F.lit("t"), F.array_join(chosen, " "))).otherwise(F.concat(F.lit("w"), whole)).cast("binary")), 1, 16)
 
     return F.concat_ws("-", *(part(k) for k in range(SUBSETS)))
 
@@ -88,14 +97,22 @@ def compare(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHAR
     both = texts.join(sends, "_key")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - F.floor(F.length("text") / 2).cast("int")), F.col("start"))
     both = both.select("_key", "doc_id", "text", edited.alias("edited"))
-    # Words of both texts become rows, meet the lexicon, and come together again where they were.
-    tagged = F.concat(F.transform(terms(F.col("text")), lambda t: F.struct(F.lit(False).alias("e"), t.alias("t"))), F.transform(terms(F.col("edited")), lambda t: F.struct(F.lit(True).alias("e"), t.alias("t"))))
-    facts = [F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.sha1("text").alias("_whole"), F.sha1("edited").alias("_edited_whole")]
-    each = both.select("_key", "doc_id", *facts, F.explode_outer(tagged).alias("w")).select("_key", "doc_id", "n_chars", "edited_sha256", "_whole", "_edited_whole", F.col("w.e").alias("e"), F.col("w.t").alias("term"))
-    met = each.join(F.broadcast(words.withColumn("_in", F.lit(True))), "term", "left")
-    first = [F.first(c).alias(c) for c in ("doc_id", "n_chars", "edited_sha256", "_whole", "_edited_whole")]
-    grouped = met.groupBy("_key").agg(*first, F.collect_list(F.when(F.col("_in") & ~F.col("e"), F.col("term"))).alias("_own"), F.collect_list(F.when(F.col("_in") & F.col("e"), F.col("term"))).alias("_new"))
-    marked = cut(grouped.select("_key", "doc_id", "n_chars", "edited_sha256", _parts(F.col("_own"), F.col("_whole")).alias("fingerprint"), _parts(F.col("_new"), F.col("_edited_whole")).alias("edited_fingerprint")))
+    # One generator gives a row of facts, under the empty term, and a row for each term of either text; the text
+    # itself goes no further. Rows meet the lexicon (its size is bounded by the band, so it is broadcast) where they
+    # are, and come together again by the key that they are partitioned on.
+    text, edit = F.col("text"), F.col("edited")
+    facts = F.struct("doc_id", F.length(text).cast("bigint").alias("n_chars"), F.sha2(edit.cast("binary"), 256).alias("edited_sha256"), F.sha1(text.cast("binary")).alias("whole"), F.sha1(edit.cast("binary")).alias("edited_whole"))
+
+    def row(of: int, term: Column) -> Column:
+        return F.struct(F.lit(of).alias("of"), term.alias("term"), F.when(F.lit(of == 0), facts).alias("facts"))
+
+    rows = F.concat(F.array(row(0, F.lit(""))), F.transform(terms(text), lambda t: row(1, t)), F.transform(terms(edit), lambda t: row(2, t)))
+    each = both.select("_key", F.explode(rows).alias("r")).select("_key", "r.*")
+    known = words.union(words.sparkSession.createDataFrame([("", 0)], words.schema))
+    met = each.join(F.broadcast(known), "term")
+    gathered = [F.sort_array(F.collect_list(F.when(F.col("of") == of, F.struct("term", "subsets")))).alias(name) for of, name in ((1, "own"), (2, "new"))]
+    grouped = met.groupBy("_key").agg(F.first("facts", ignorenulls=True).alias("f"), *gathered)
+    marked = cut(grouped.select("_key", "f.doc_id", "f.n_chars", "f.edited_sha256", _parts(F.col("own"), F.col("f.whole")).alias("fingerprint"), _parts(F.col("new"), F.col("f.edited_whole")).alias("edited_fingerprint")))
     nexts = following.select("_key", "next").join(marked.select(F.col("_key").alias("next"), F.col("fingerprint").alias("_next_fingerprint")), "next")
     out = marked.join(nexts.select("_key", "_next_fingerprint"), "_key")
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("_next_fingerprint")).alias("near_next"))
