@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, imatch, jaccard, langid, packing, pii, quality_classifier, quality_rules, suffix_dedup, token_output
+from . import bpe, imatch, jaccard, langid, oracles, packing, pii, quality_classifier, quality_rules, suffix_dedup, token_output
 from .common import new_folder, read
 
 
@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
