@@ -228,9 +228,10 @@ _COUNTS = ", ".join(f"{letters('seq', k)} AS c{k}" for k in (*ACID, *BASE))
 
 @query(f"""WITH {PEPTIDES}, counted AS (SELECT row_id, {_COUNTS} FROM peptides), kinds AS (SELECT DISTINCT {', '.join(f'c{k}' for k in (*ACID, *BASE))} FROM counted),
  grid AS (SELECT kinds.*, k FROM kinds, range(1401) g(k) WHERE abs({sql_charge(lambda x: f'c{x}', '(k / 100e0)')}) < 1e-2), first AS (SELECT {', '.join(f'c{k}' for k in (*ACID, *BASE))}, min(k) AS k FROM grid GROUP BY ALL)
- SELECT row_id, first.k FROM counted LEFT JOIN first USING ({', '.join(f'c{k}' for k in (*ACID, *BASE))})""")
+ SELECT row_id, coalesce(first.k, -1) AS k FROM counted LEFT JOIN first USING ({', '.join(f'c{k}' for k in (*ACID, *BASE))})""")
 def isoelectric_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return peptides(spark, sf_dir).select("row_id", sequence.isoelectric_index(F.col("seq")).alias("k"))
+    """Grid step of the isoelectric point, -1 where there is none."""
+    return peptides(spark, sf_dir).select("row_id", F.coalesce(sequence.isoelectric_index(F.col("seq")), F.lit(-1)).alias("k"))
 
 
 @query(f"WITH {PEPTIDES} SELECT row_id, {r(f'-({sql_mean("seq", HOPP_WOODS)})', 'hopp_woods')} FROM peptides")
