@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, cut, hashed, mixed, pieces_of, prepare, unused, with_key, words_of
+from .common import bytes_of, cut, free, hashed, mixed, pieces_of, prepare, unused, with_key, words_of
 from .components import components
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 192
@@ -95,30 +95,21 @@ def _packed(rows: list[np.ndarray], kind: pa.DataType = pa.int64()) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, kind))
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """_row, _a, _b (a 128-bit name of the gram set, null without grams) of rows (_row, text)."""
+def _signatures(texts: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
+    """Of rows (_row, text): _row, _a and _b (a 128-bit name of the gram set) and _bands (a hash for each band); null without grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer(bands, rows)
         for batch in batches:
-            names = []
+            names, hashes = [], []
             for g in grams(batch.column(1).fill_null(""), words):
                 with np.errstate(over="ignore"):
                     names.append((int(g.sum().view(np.int64)), int(np.bitwise_xor.reduce(mixed(g + np.uint64(1))).view(np.int64))) if len(g) else (None, None))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in names], pa.int64()), pa.array([x[1] for x in names], pa.int64())], names=["_row", "_a", "_b"])
-
-    return docs.mapInArrow(run, "_row bigint, _a bigint, _b bigint")
-
-
-def _bands(texts: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """_row, band hashes as a list, of rows (_row, text) with at least one gram."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(bands, rows)
-        for batch in batches:
-            hashes = [signer.band_hashes(g) if len(g) else np.zeros(0, np.uint64) for g in grams(batch.column(1).fill_null(""), words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _packed(hashes)], names=["_row", "_bands"])
+                hashes.append(signer.band_hashes(g) if len(g) else np.zeros(0, np.uint64))
+            columns = [batch.column(0), pa.array([x[0] for x in names], pa.int64()), pa.array([x[1] for x in names], pa.int64()), _packed(hashes)]
+            yield pa.RecordBatch.from_arrays(columns, names=["_row", "_a", "_b", "_bands"])
 
-    return texts.mapInArrow(run, "_row bigint, _bands array<bigint>")
+    return texts.mapInArrow(run, "_row bigint, _a bigint, _b bigint, _bands array<bigint>")
 
 
 def _matched(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -173,16 +164,17 @@ def link(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     inner = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     numbered = with_key(inner).withColumnRenamed("_key", "_row")
     given = numbered.select("_row", "doc_id")
-    sets = cut(_sets(numbered.select("_row", "text"), words))
+    signed = cut(_signatures(numbered.select("_row", "text"), words, bands, rows))
+    sets = signed.select("_row", "_a", "_b")
     classes = sets.where(F.col("_a").isNotNull()).groupBy("_a", "_b").agg(F.min("_row").alias("copy_of"), F.count(F.lit(1)).alias("copies"))
     classes = cut(classes)
     firsts = classes.select(F.col("copy_of").alias("_row"), "copies")
-    texts = numbered.select("_row", "text").join(firsts, "_row", "left_semi")
-    signed = cut(_bands(texts, words, bands, rows))
+    signed = signed.select("_row", "_bands").join(firsts, "_row", "left_semi")
     spread = signed.select("_row", F.posexplode("_bands").alias("band", "hash"))
     buckets = spread.groupBy("band", "hash").agg(F.min("_row").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     edges = spread.join(buckets, ["band", "hash"]).where("_row != least").select(F.col("_row").alias("a"), F.col("least").alias("b")).distinct()
     found = components(edges)
+    free(spark)
     blocks = found.union(found.select(F.col("root").alias("node"), "root").distinct())
     found_links, forest = _verify(numbered, signed, firsts, cut(blocks), words, threshold)
     groups = components(forest)
@@ -205,6 +197,7 @@ def _verify(numbered: DataFrame, signed: DataFrame, firsts: DataFrame, blocks: D
     members = numbered.select("_row", "text").join(blocks.select(F.col("node").alias("_row"), "root"), "_row").join(signed, "_row").join(firsts, "_row")
     members = members.select("text", "_row", "root", "_bands", "copies").mapInArrow(sized, "grams array<bigint>, size int, _row bigint, root bigint, _bands array<bigint>, copies bigint")
     members = cut(members)
+    free(members.sparkSession)
     # Tiles of a block hold neighbours in size: places come from counts by (block, size), so that no block is sorted by one task.
     from pyspark.sql import Window
 
