@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, text_or_empty
+from .common import cut, free, prepare, text_or_empty
 
 #: The band of document frequency, as shares of all documents, and a floor in documents.
 LEAST_SHARE, MOST_SHARE, LEAST_DOCS = 0.001, 0.2, 2
@@ -89,19 +89,22 @@ def compare(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHAR
     prepare(docs.sparkSession)
     texts = keyed_in_order(docs)
     words = cut(lexicon(texts, least, most))
-    sizes = texts.select("_key", F.length("text").alias("n"))
-    following = cut(_next_ids(texts.select("_key")).join(sizes, "_key").select("_key", "next", F.floor(F.col("n") / 2).cast("int").alias("half")))
+    sizes = texts.select("_key", "doc_id", F.length("text").alias("n"))
+    following = cut(_next_ids(texts.select("_key")).join(sizes, "_key").select("_key", "doc_id", "next", F.floor(F.col("n") / 2).cast("int").alias("half")))
+    free(docs.sparkSession)
+    # Both joins take the same two columns of the texts, which are therefore shuffled once.
+    texts = texts.select("_key", "text")
     # Each document sends the start of its text to the one before it, as much as that one needs.
     sends = texts.join(following.select(F.col("next").alias("_key"), F.col("_key").alias("to"), "half"), "_key")
     sends = sends.select(F.col("to").alias("_key"), F.substring("text", F.lit(1), F.col("half")).alias("start"))
     both = texts.join(sends, "_key")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - F.floor(F.length("text") / 2).cast("int")), F.col("start"))
-    both = both.select("_key", "doc_id", "text", edited.alias("edited"))
+    both = both.select("_key", "text", edited.alias("edited"))
     # One generator gives a row of facts, under the empty term, and a row for each term of either text; the text
     # itself goes no further. Rows meet the lexicon (its size is bounded by the band, so it is broadcast) where they
     # are, and come together again by the key that they are partitioned on.
     text, edit = F.col("text"), F.col("edited")
-    facts = F.struct("doc_id", F.length(text).cast("bigint").alias("n_chars"), F.sha2(edit.cast("binary"), 256).alias("edited_sha256"), F.sha1(text.cast("binary")).alias("whole"), F.sha1(edit.cast("binary")).alias("edited_whole"))
+    facts = F.struct(F.length(text).cast("bigint").alias("n_chars"), F.sha2(edit.cast("binary"), 256).alias("edited_sha256"), F.sha1(text.cast("binary")).alias("whole"), F.sha1(edit.cast("binary")).alias("edited_whole"))
 
     def row(of: int, term: Column) -> Column:
         return F.struct(F.lit(of).alias("of"), term.alias("term"), F.when(F.lit(of == 0), facts).alias("facts"))
@@ -112,9 +115,9 @@ def compare(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHAR
     met = each.join(F.broadcast(known), "term")
     gathered = [F.sort_array(F.collect_list(F.when(F.col("of") == of, F.struct("term", "subsets")))).alias(name) for of, name in ((1, "own"), (2, "new"))]
     grouped = met.groupBy("_key").agg(F.first("facts", ignorenulls=True).alias("f"), *gathered)
-    marked = cut(grouped.select("_key", "f.doc_id", "f.n_chars", "f.edited_sha256", _parts(F.col("own"), F.col("f.whole")).alias("fingerprint"), _parts(F.col("new"), F.col("f.edited_whole")).alias("edited_fingerprint")))
-    nexts = following.select("_key", "next").join(marked.select(F.col("_key").alias("next"), F.col("fingerprint").alias("_next_fingerprint")), "next")
-    out = marked.join(nexts.select("_key", "_next_fingerprint"), "_key")
+    marked = cut(grouped.select("_key", "f.n_chars", "f.edited_sha256", _parts(F.col("own"), F.col("f.whole")).alias("fingerprint"), _parts(F.col("new"), F.col("f.edited_whole")).alias("edited_fingerprint")))
+    nexts = following.select("_key", "doc_id", "next").join(marked.select(F.col("_key").alias("next"), F.col("fingerprint").alias("_next_fingerprint")), "next")
+    out = marked.join(nexts.select("_key", "doc_id", "_next_fingerprint"), "_key")
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("_next_fingerprint")).alias("near_next"))
 
 
