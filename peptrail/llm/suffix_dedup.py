@@ -9,12 +9,13 @@ for a run of windows, about seventeen of them.
 2. Each unit sends, for each distinct anchor with its whole context (all bytes of its windows), two hashes
    and the least document to the anchor's bucket. Copies in a unit have become one by then.
 3. A bucket answers: contexts that a smaller document has in full are covered; anchors with several
-   contexts need a finer look, in one unit for each context.
+   contexts need a finer look, in the units that hold the least document of each context.
 4. Those units send the contexts' bytes to the bucket. There all suffixes are put in buckets by their first
    eight bytes, and the buckets are refined by sorting on the bucket numbers at later offsets (8, 16, 32,
    ...), each round's numbers serving the next, until equal numbers mean equal windows; suffixes alone in
    a bucket drop out. A window is covered if its bucket holds one of a smaller document.
-5. Every unit joins its answers and cuts its texts.
+5. Every unit joins its answers, repeats those of a context at its other places in the unit, and cuts its
+   texts.
 
 Defined results: null text is empty text; null ids count as larger than all others; documents of equal
 ids never cover each other; other columns are ignored; an empty table gives no rows.
@@ -222,7 +223,8 @@ def _answers(records: DataFrame) -> DataFrame:
             at_g = np.cumsum(new_g) - 1
             low = np.minimum.reduceat(first_d, at_c[new_g])
             high = np.maximum.reduceat(first_d, at_c[new_g])
-            fine[order] = new_c & (low < high)[at_g]
+            # Documents of equal ids may lie in several units; each of these looks for itself.
+            fine[order] = ~covered[order] & (low < high)[at_g]
         out, a = [], 0
         for unit, base, n in zip(units, bases, sizes, strict=True):
             hit, look = np.flatnonzero(covered[a : a + n]) + base, np.flatnonzero(fine[a : a + n]) + base
@@ -247,7 +249,10 @@ def _starts_of(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def _looks(units: DataFrame, answers: DataFrame, buckets: int, length: int) -> DataFrame:
-    """With answers: runs of covered windows of each unit (bucket -1), and the contexts that each unit sends to buckets."""
+    """With answers: runs of covered windows of each unit (bucket -1), other places of its contexts (bucket -2), and the contexts that each unit sends to buckets.
+
+    A unit sends a context once. Where it has it again, in documents of the same id, a row of places (first
+    window, number of windows, distance) says from where to take the answer."""
     told = answers.groupBy("unit").agg(F.collect_list("covered").alias("covered"), F.collect_list("fine").alias("fine"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +269,14 @@ def _looks(units: DataFrame, answers: DataFrame, buckets: int, length: int) -> D
                 gone = all_of[record] | (unit.ids[unit.doc] > unit.ids[unit.doc[first]][record])
                 runs = _starts_of(unit.low[gone], unit.high[gone])
                 out = [(-1, number, runs.tobytes(), b"")] if len(runs) else []
-                chosen = first[np.sort(look)]
+                sought = np.zeros(len(first), bool)
+                sought[look] = True
+                chosen = first[sought]
+                again = sought[record] & ~gone
+                again[chosen] = False
+                if again.any():
+                    again, of = np.flatnonzero(again), first[record[again]]
+                    out.append((-2, number, _packed(np.stack([unit.low[of], unit.high[of] - unit.low[of] + 1, unit.anchor[again] - unit.anchor[of]], 1).tobytes()), b""))
                 bucket = _bucket(unit.group[chosen], buckets)
                 for b in np.unique(bucket).tolist():
                     k = chosen[bucket == b]
@@ -350,21 +362,35 @@ def _fine(looks: DataFrame, length: int) -> DataFrame:
     return looks.where("bucket >= 0").groupBy("bucket").applyInArrow(run, "unit bigint, facts binary")
 
 
+def _again(places: np.ndarray, low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
+    """Starts of windows at further places (first window, number of windows, distance) of windows that runs cover."""
+    covered = np.zeros(n + 1, np.int32)
+    np.add.at(covered, low, 1)
+    np.add.at(covered, high + 1, -1)
+    first, many, distance = places.T
+    start = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - first, many)
+    return (start + np.repeat(distance, many))[np.cumsum(covered)[start] > 0]
+
+
 def _cut_texts(units: DataFrame, runs: DataFrame, length: int, with_text: bool) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes as text."""
-    told = runs.groupBy("unit").agg(F.collect_list("facts").alias("facts"))
+    told = runs.groupBy("unit").agg(F.collect_list(F.when(~F.col("places"), F.col("facts"))).alias("facts"), F.collect_list(F.when(F.col("places"), F.col("facts"))).alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         for batch in batches:
-            for _, blob, at, ids, facts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for _, blob, at, ids, facts, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = np.frombuffer(zstandard.decompress(blob), np.uint8) if blob else np.zeros(0, np.uint8)
                 at, ids = np.frombuffer(at, np.int64), np.frombuffer(ids, np.int64)
                 low, high = np.frombuffer(b"".join(facts or []), np.int64).reshape(-1, 2).T
                 step = np.zeros(len(data) + 1, np.int32)
                 np.add.at(step, low, 1)
                 np.add.at(step, high + length, -1)
+                for more in places or []:
+                    start = _again(np.frombuffer(_unpacked(more), np.int64).reshape(-1, 3), low, high, len(data))
+                    np.add.at(step, start, 1)
+                    np.add.at(step, start + length, -1)
                 gone = np.cumsum(step)[:-1] > 0
                 first = gone.copy()
                 first[1:] &= ~gone[:-1]
@@ -404,5 +430,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     looks = cut(_looks(units, answers, buckets, length))
     del answers
     free(spark)
-    runs = looks.where("bucket < 0").select("unit", "facts").union(_fine(looks, length))
+    told = looks.where("bucket < 0").select("unit", "facts", (F.col("bucket") == -2).alias("places"))
+    runs = told.union(_fine(looks, length).withColumn("places", F.lit(False)))
     return _cut_texts(units, runs, length, with_text)

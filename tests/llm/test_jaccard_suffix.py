@@ -157,6 +157,25 @@ def test_repeats_of_odd_rows(spark):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_repeats_at_every_place(spark):
+    """A context that a document has more than once is cut at each place, also where its id comes again in another unit."""
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = word(150)
+    rows = [
+        (1, "a" + "z" * 60 + "b"), (2, "z" * 400), (3, "x" + "-+" * 40 + "y"), (4, word(9) + "-+" * 300 + word(9)), (5, "z" * 55),
+        (10, word(200) + passage[20:130] + word(200)), (11, passage + word(300) + passage + word(40) + passage), (12, word(20) + passage),
+    ]
+    found = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    want = brute_repeats(rows)
+    assert want[2][1] == 400
+    assert {x.doc_id: tuple(x)[1:] for x in found.collect()} == want
+    # Documents without an id, in units of their own, after a smaller one with a part of their passage.
+    rows = [(1, "#" + passage[20:130] + "#"), *((None, word(30) + passage + word(30)) for _ in range(4))]
+    found = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5))
+    assert sorted(x.n_removed for x in found.collect()) == [0, 110, 110, 110, 110]
+
+
 @pytest.mark.parametrize("length", [32, 50, 77])
 def test_refinement(length):
     r = np.random.default_rng(length)
