@@ -1,8 +1,8 @@
 """Language identification with language-bitmask n-gram filters.
 
 For each learned language, the character n-grams that are typical of it go into one Bloom filter. The
-filters are bit-sliced: a slot holds a mask with a bit for each language, so one look at a slot asks all
-languages at once, and the AND of an n-gram's slots is the mask of all languages that may contain it. A
+filters are bit-sliced: a slot holds a mask with a bit for each language, in as many 64-bit words as the
+languages need, so one look at a slot asks all languages at once, and the AND of an n-gram's slots is the mask of all languages that may contain it. A
 text's score for a language is the share of its n-grams whose mask has the language's bit, corrected for
 the false positives that the filter's fill lets through.
 
@@ -36,6 +36,8 @@ SIZES, HASHES, SLOT_BITS = (2, 3, 4), 2, 21
 
 @dataclass
 class Model:
+    """slots: one row for each 64 languages, in order."""
+
     languages: list[str]
     slots: np.ndarray
     false_rate: np.ndarray
@@ -85,9 +87,9 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     prepare(docs.sparkSession)
     known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~is_held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    languages = sorted(sizes)[:64]
+    languages = sorted(sizes)
     if not languages:
-        return Model([], np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(0))
+        return Model([], np.zeros((0, 1 << SLOT_BITS), np.uint64), np.zeros(0))
     share = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, sample_docs / sizes[k]))))
     chance = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = known.where(F.col("lang").isin(languages) & (chance < F.element_at(share, F.col("lang")))).select("lang", F.col("text").cast("string").alias("text"))
@@ -115,19 +117,21 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     counted = sample.mapInArrow(count, "lang string, code bigint, n bigint, total boolean").groupBy("lang", "code", "total").agg(F.sum("n").alias("n"))
     totals = {r["lang"]: r["n"] for r in counted.where("total").collect()}
     if not totals:
-        return Model([], np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(0))
+        return Model([], np.zeros((0, 1 << SLOT_BITS), np.uint64), np.zeros(0))
     of = F.create_map(*(F.lit(x) for k, n in totals.items() for x in (k, float(n))))
     rated = counted.where(~F.col("total")).withColumn("share", F.col("n") / F.element_at(of, F.col("lang")))
     best = rated.groupBy("code").agg(F.max("share").alias("best"), F.collect_list(F.struct("lang", "share")).alias("of")).where(F.col("best") >= LEAST_SHARE)
     kept = best.select("code", F.transform(F.filter("of", lambda x: (x["share"] >= LEAST_SHARE) & (x["share"] * LEAD >= F.col("best"))), lambda x: x["lang"]).alias("langs"))
     table = kept.toArrow()
     bit = {k: i for i, k in enumerate(languages)}
-    masks = np.array([sum(1 << bit[k] for k in x) for x in table.column("langs").to_pylist()], np.uint64)
+    masks = [sum(1 << bit[k] for k in x) for x in table.column("langs").to_pylist()]
     code = table.column("code").to_numpy().view(np.uint64)
-    slots = np.zeros(1 << SLOT_BITS, np.uint64)
-    for at in slots_of(code):
-        np.bitwise_or.at(slots, at, masks)
-    fill = np.array([(slots >> np.uint64(i) & np.uint64(1)).mean() for i in range(len(languages))])
+    slots = np.zeros((-(-len(languages) // 64), 1 << SLOT_BITS), np.uint64)
+    for w, word in enumerate(slots):
+        part = np.array([m >> 64 * w & (1 << 64) - 1 for m in masks], np.uint64)
+        for at in slots_of(code):
+            np.bitwise_or.at(word, at, part)
+    fill = np.array([(slots[i // 64] >> np.uint64(i % 64) & np.uint64(1)).mean() for i in range(len(languages))])
     return Model(languages, slots, fill**HASHES)
 
 
@@ -143,11 +147,14 @@ def scores(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not len(code):
             continue
         a, *rest = slots_of(code)
-        mask = model.slots[a]
-        for at in rest:
-            mask &= model.slots[at]
         total = np.bincount(owner, minlength=high - low)
-        hits = np.stack([np.bincount(owner[mask >> np.uint64(i) & np.uint64(1) > 0], minlength=high - low) for i in range(n_langs)], 1)
+        hits = np.zeros((high - low, n_langs), np.int64)
+        for w, word in enumerate(model.slots):
+            mask = word[a]
+            for at in rest:
+                mask &= word[at]
+            for i in range(64 * w, min(64 * w + 64, n_langs)):
+                hits[:, i] = np.bincount(owner[mask >> np.uint64(i % 64) & np.uint64(1) > 0], minlength=high - low)
         share = hits / np.maximum(total, 1)[:, None]
         share = np.clip((share - model.false_rate) / (1 - model.false_rate), 0, 1)
         top = share.argmax(1)
@@ -161,7 +168,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of documents (with a column text), and lang_pred, lang_score in front of them."""
     spark = docs.sparkSession
     prepare(spark)
-    shared = spark.sparkContext.broadcast(model)  # a fixed number of slots
+    shared = spark.sparkContext.broadcast(model)  # a fixed number of slots for each 64 languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

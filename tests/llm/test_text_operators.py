@@ -102,6 +102,19 @@ def test_language_odd(spark):
     assert [r.lang_pred for r in one.orderBy("doc_id").collect()] == ["en", "und"]
 
 
+def test_more_languages_than_bits_of_a_word(spark):
+    """Each of 130 languages, the last in order too, is learned and found again."""
+    r = np.random.default_rng(11)
+    names = [f"l{k:03}" for k in range(130)]
+    words = {k: ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(8)] for k in names}
+    rows = [(k * 10 + j, " ".join(r.choice(words[name], 12)), name) for k, name in enumerate(names) for j in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(docs)
+    assert model.languages == names and model.slots.shape == (3, 1 << langid.SLOT_BITS)
+    found = langid.predict(docs, model).collect()
+    assert len(found) == 1300 and all(x.lang_pred == x.lang and x.lang_score > 0.5 for x in found)
+
+
 def test_language_filter_has_no_false_negatives():
     slots = np.zeros(1 << langid.SLOT_BITS, np.uint64)
     code = langid.mixed(np.arange(5000, dtype=np.uint64))
