@@ -4,13 +4,17 @@ Everything is DataFrame expressions. Base spans follow four patterns (email, ip,
 and non-overlapping for each kind, matches that fail their check being dropped. They are the seeds of a
 bootstrap over identifier-like tokens that the patterns miss:
 
-* An occurrence is a token that holds a digit or an @ sign, with its shape (digit runs, letter runs and
-  marks kept) and its context (the word before it, digits and case folded away). Shape and context make a
-  lexical pattern; the token is an instance.
+* An occurrence is a token that holds a digit or an @ sign, of any length, or a row of digit groups with
+  single spaces between them. It has a shape (digit runs, letter runs and marks kept), a coarse form (see
+  `coarse`) and two contexts: the words before and after it, case folded away. Three pairs of these are
+  its lexical patterns: shape with the word before, and form with either word; the token is an instance.
+  So known spans speak for tokens of shapes that no known span has.
 * Seeds say for each pattern how many of its distinct instances are known to be of a kind; with the
   patterns' confidence the instances are scored, the best become known, and so on for a few rounds over
   the bipartite graph of patterns and instances.
-* Tokens that confident patterns name, and no base span touches, are further spans of the kind.
+* Tokens that confident patterns name, and no base span touches, are further spans of the kind. Parts of
+  a base span are no tokens.
+* A context reads 40 code points before or after the token; a word beyond these counts as none.
 
 Defined results: null text is empty text, without spans; equal or null ids get a row each; other columns
 are kept by `redact` and ignored by `find`; an empty table gives no rows.
@@ -37,6 +41,8 @@ BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 IP_OK = rf"^{BYTE}\.{BYTE}\.{BYTE}\.{BYTE}$"
 #: A token of the bootstrap: no white space, at least one digit or @ sign; marks at its ends do not belong.
 TOKEN = r"(?<![^\s])[^\s0-9@]*+[0-9@][^\s]*+"
+#: Two or more digit groups with single spaces between them.
+GROUPS = r"(?<![^\s])[^\s0-9@\p{L}]*+[0-9][0-9().-]*+(?: [+(]*+[0-9][0-9().-]*+(?![\p{L}\p{N}@]))++"
 TRIM = r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$"
 
 
@@ -107,31 +113,50 @@ def base_spans(text: Column) -> Column:
 
 
 def token_places(text: Column, base: Column) -> Column:
-    """Identifier-like tokens as structs: at, what, before (up to 40 code points), kind (of the base span over it, or null)."""
+    """Identifier-like tokens as structs: at, what, before and after (up to 40 code points), kind (of the base span in it, or null)."""
+
+    def over(m: Column) -> Column:
+        return F.filter(base, lambda s: (s["at"] < m["at"] + m["len"]) & (s["end"] > m["at"]))
 
     def place(m: Column) -> Column:
-        over = F.filter(base, lambda s: (s["at"] < m["at"] + m["len"]) & (s["end"] > m["at"]))
         before = F.substring(text, F.greatest(m["at"] - 39, F.lit(1)), F.least(m["at"], F.lit(40)))
-        return F.struct(m["at"].alias("at"), m["what"].alias("what"), before.alias("before"), F.get(F.transform(over, lambda s: s["kind"]), F.lit(0)).alias("kind"))
+        after = F.substring(text, m["at"] + m["len"] + 1, F.lit(40))
+        return F.struct(m["at"].alias("at"), m["what"].alias("what"), before.alias("before"), after.alias("after"), F.get(F.transform(over(m), lambda s: s["kind"]), F.lit(0)).alias("kind"))
+
+    found = F.concat(_matches(text, TOKEN, text.rlike("[0-9@]")), _matches(text, GROUPS, text.rlike("[0-9().-] [+(]*[0-9]")))
+    whole = F.filter(found, lambda m: F.forall(over(m), lambda s: (s["at"] >= m["at"]) & (s["end"] <= m["at"] + m["len"])))
+    return F.transform(whole, place)
+
 
-    return F.transform(_matches(text, TOKEN, text.rlike("[0-9@]")), place)
+def coarse(shape: Column, token: Column) -> Column:
+    """The form of a shape: @ where it has that sign, # for digit groups with marks or spaces between them or seven digits and more, else the shape."""
+    digits = shape.rlike(r"^\+?\(?9(?:[^\p{L}\p{N}@]++9)++$") | (shape.rlike(r"^\+?9$") & (F.length(token) >= 7))
+    return F.when(shape.rlike("[a9]@+[a9]"), F.lit("@")).when(digits, F.lit("#")).otherwise(shape)
 
 
 def occurrences(placed: DataFrame) -> DataFrame:
-    """Rows (_key, tokens) one by one: _key, at, end, token, shape, context, kind."""
+    """Rows (_key, tokens) one by one: _key, at, end, token, patterns (shape, context), kind."""
     each = placed.select("_key", F.explode("tokens").alias("m")).select("_key", "m.*")
     # The bare token: marks at its ends cut off, its place moved accordingly.
     lead = F.length(F.regexp_extract("what", r"^[^\p{L}\p{N}+]*", 0))
-    bare = each.select("_key", "before", "kind", (F.col("at") + lead).alias("at"), F.regexp_replace("what", TRIM, "").alias("token"))
-    bare = bare.where(F.length("token").between(5, 80)).withColumn("end", F.col("at") + F.length("token"))
-    word = F.regexp_extract(F.lower("before"), r"(\p{L}+)[^\p{L}\p{N}]*$", 1)
+    bare = each.select("_key", "before", "after", "kind", (F.col("at") + lead).alias("at"), F.regexp_replace("what", TRIM, "").alias("token"))
+    bare = bare.where(F.length("token") > 0).withColumn("end", F.col("at") + F.length("token"))
     shape = F.regexp_replace(F.regexp_replace("token", r"\p{N}+", "9"), r"\p{L}+", "a")
-    return bare.select("_key", "at", "end", "token", F.substring(shape, 1, 40).alias("shape"), word.alias("context"), "kind")
+    left, right = F.regexp_extract(F.lower("before"), r"(\p{L}+)[^\p{L}\p{N}]*$", 1), F.regexp_extract(F.lower("after"), r"^[^\p{L}\p{N}]*(\p{L}+)", 1)
+    bare = bare.select("_key", "at", "end", "token", "kind", shape.alias("shape"), left.alias("left"), right.alias("right"))
+
+    def pattern(kind: str, what: Column, word: str) -> Column:
+        return F.struct(F.concat(F.lit(kind), what).alias("shape"), F.col(word).alias("context"))
+
+    form = coarse(F.col("shape"), F.col("token"))
+    # A form says little without a word.
+    patterns = F.filter(F.array(pattern("=", F.col("shape"), "left"), pattern("<", form, "left"), pattern(">", form, "right")), lambda p: p["shape"].startswith("=") | ((p["context"] != "") & p["shape"].substr(2, 1).isin("@", "#") & (F.length(p["shape"]) == 2)))
+    return bare.select("_key", "at", "end", "token", patterns.alias("patterns"), "kind")
 
 
 def bootstrap(found: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """Confident patterns over occurrences: shape, context, kind, confidence."""
-    graph = cut(found.groupBy("shape", "context", "token").agg(F.max("kind").alias("kind")))
+    graph = cut(found.select("token", "kind", F.explode("patterns").alias("p")).select("token", "kind", "p.*").groupBy("shape", "context", "token").agg(F.max("kind").alias("kind")))
     known = graph.where(F.col("kind").isNotNull()).select("token", "kind", F.lit(1.0).alias("score")).distinct()
     patterns = None
     for step in range(rounds):
@@ -160,8 +185,9 @@ def spans_of(keyed: DataFrame) -> DataFrame:
     based = cut(based.select("_key", "doc_id", "base", token_places(F.col("text"), F.col("base")).alias("tokens")))
     found = occurrences(based)
     patterns = bootstrap(found)
-    chosen = patterns.groupBy("shape", "context").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("as"))
-    new = found.where(F.col("kind").isNull()).join(chosen, ["shape", "context"])
+    chosen = patterns.groupBy("shape", "context").agg(F.max(F.struct("confidence", "kind")).alias("best"))
+    new = found.where(F.col("kind").isNull()).select("_key", "at", "end", "token", F.explode("patterns").alias("p")).select("_key", "at", "end", "token", "p.*").join(chosen, ["shape", "context"])
+    new = new.groupBy("_key", "at", "end", "token").agg(F.max("best")["kind"].alias("as"))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("as")).cast("int") - 1
     new = new.groupBy("_key").agg(F.collect_list(F.struct(F.col("at").cast("int").alias("at"), F.col("end").cast("int").alias("end"), rank.alias("rank"), F.col("as").alias("kind"), F.col("token").alias("what"))).alias("_new"))
     none = F.expr("cast(array() as array<struct<at:int,end:int,rank:int,kind:string,what:string>>)")

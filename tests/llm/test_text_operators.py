@@ -70,6 +70,20 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert hidden[100] == "hello there please ping [IP] for news" and hidden[101] == rows[-1][1]
 
 
+def test_bootstrap_finds_unseen_shapes(spark):
+    """Words around known spans speak for tokens of other shapes, with spaces between digit groups, and of any length."""
+    cards = {k: next(x for d in range(10) if luhn(x := f"45391488{k:07}{d}")) for k in range(10, 30)}
+    cards = {k: " ".join(x[i : i + 4] for i in range(0, 16, 4)) for k, x in cards.items()}
+    rows = [(k, f"so call +1-743-555-38{k:02} today, mail p{k}.q@d{k}.org soon, card {cards[k]} ends") for k in range(10, 30)]
+    long = "x" * 90
+    new = {
+        100: ("so call 743-555-3824 today", ["phone:8:20"]), 101: ("so mail jdoe@mailhost soon", ["email:8:21"]), 102: ("so card 4539 1488 0343 6468 ends", ["card:8:27"]),
+        103: (f"so mail {long}@mailhost soon", ["email:8:107"]), 104: ("row 12 34 of part 7-8 on page 555-1234", [""]), 105: ("so call 743 555 3825 today", ["phone:8:20"]), 106: ("so call 5 or mail 3 soon", [""]),
+    }
+    found = {r.doc_id: r.s for r in pii.find(spark.createDataFrame(rows + [(k, v[0]) for k, v in new.items()], "doc_id bigint, text string")).select("doc_id", pii.listed(F.col("spans")).alias("s")).collect()}
+    assert {k: found[k] for k in new} == {k: ",".join(v[1]) for k, v in new.items()}
+
+
 def test_pii_odd(spark):
     assert pii.find(odd(spark)).count() == 10 and pii.find(empty(spark)).count() == 0
     hidden = pii.redact(clashing(odd(spark)))
