@@ -6,8 +6,8 @@
    shuffled on band hashes. A bucket links its members to its least member; the linked classes form blocks
    of candidates, found as connected components of light rows, and no pair is written out.
 3. In each block the full sets are compared: members are sorted by size and dealt into tiles, and tiles
-   meet only where sizes allow the threshold. A pair counts if it shares a band and its exact Jaccard
-   similarity reaches the threshold. A tile reports numbers of links and a spanning forest, not pairs.
+   meet only where sizes allow the threshold. A pair counts if its exact Jaccard similarity reaches the
+   threshold, whether or not it shares a band. A tile reports numbers of links and a spanning forest, not pairs.
 4. The components of the forests are the groups.
 
 Results are one row per document. Defined results: null text, and text without a word, has no grams and no
@@ -176,7 +176,7 @@ def link(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     found = components(edges)
     free(spark)
     blocks = found.union(found.select(F.col("root").alias("node"), "root").distinct())
-    found_links, forest = _verify(numbered, signed, firsts, cut(blocks), words, threshold)
+    found_links, forest = _verify(numbered, firsts, cut(blocks), words, threshold)
     groups = components(forest)
     return (
         given.join(sets.join(classes.select("_a", "_b", "copy_of", "copies"), ["_a", "_b"], "left").select("_row", F.coalesce("copy_of", "_row").alias("copy_of"), F.coalesce("copies", F.lit(1)).alias("copies")), "_row")
@@ -186,7 +186,7 @@ def link(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     )
 
 
-def _verify(numbered: DataFrame, signed: DataFrame, firsts: DataFrame, blocks: DataFrame, words: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+def _verify(numbered: DataFrame, firsts: DataFrame, blocks: DataFrame, words: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Exact links within blocks (node, root): (_row, links), and a spanning forest (a, b)."""
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,8 +194,8 @@ def _verify(numbered: DataFrame, signed: DataFrame, firsts: DataFrame, blocks: D
             sets = grams(batch.column(0).fill_null(""), words)
             yield pa.RecordBatch.from_arrays([_packed(sets), pa.array([len(x) for x in sets], pa.int32()), *batch.columns[1:]], names=["grams", "size", *batch.schema.names[1:]])
 
-    members = numbered.select("_row", "text").join(blocks.select(F.col("node").alias("_row"), "root"), "_row").join(signed, "_row").join(firsts, "_row")
-    members = members.select("text", "_row", "root", "_bands", "copies").mapInArrow(sized, "grams array<bigint>, size int, _row bigint, root bigint, _bands array<bigint>, copies bigint")
+    members = numbered.select("_row", "text").join(blocks.select(F.col("node").alias("_row"), "root"), "_row").join(firsts, "_row")
+    members = members.select("text", "_row", "root", "copies").mapInArrow(sized, "grams array<bigint>, size int, _row bigint, root bigint, copies bigint")
     members = cut(members)
     free(members.sparkSession)
     # Tiles of a block hold neighbours in size: places come from counts by (block, size), so that no block is sorted by one task.
@@ -223,14 +223,10 @@ def _verify(numbered: DataFrame, signed: DataFrame, firsts: DataFrame, blocks: D
         column = table.column("grams").combine_chunks()
         at, flat = np.asarray(column.offsets), np.asarray(column.values).view(np.uint64)
         sets = [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        band = np.asarray(table.column("_bands").combine_chunks().flatten()).reshape(len(row), -1)
         a, b = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
         hit = _matched([sets[k] for k in a.tolist()], [sets[k] for k in b.tolist()], threshold)
         if i == j:
             np.fill_diagonal(hit, False)
-        for x in np.flatnonzero(hit.any(1)).tolist():
-            y = np.flatnonzero(hit[x])
-            hit[x, y] = (band[a[x]] == band[b[y]]).any(1)
         links = {int(r): int(n) for r, n in zip(row[a], hit @ copies[b], strict=True)}
         if i != j:
             for r, n in zip(row[b], copies[a] @ hit, strict=True):

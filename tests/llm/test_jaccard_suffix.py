@@ -71,6 +71,23 @@ def test_groups(spark, monkeypatch, seed, tile):
     assert {r.doc_id for r in kept.collect()} == {a for a, b, _ in brute_groups(rows) if a == b}
 
 
+def test_links_of_a_block_need_no_shared_band(spark):
+    """Four bands of six join the near copies to a block, but part of its pairs share none."""
+    r = random.Random(7)
+    words = [f"w{k}" for k in range(300)]
+    rows = []
+    for i in range(40):
+        mine = list(words)
+        for k in r.sample(range(300), 3):
+            mine[k] = f"x{i}"
+        rows.append((i, " ".join(mine)))
+    assert jaccard.choose_bands(0.8, 0.6, 24) == (4, 6)
+    found = jaccard.groups(spark.createDataFrame(rows, "doc_id bigint, text string"), recall=0.6, most_hashes=24)
+    assert set(brute_groups(rows)) == {(k, 0, 39) for k in range(40)}
+    block = [x for x in found.collect() if x.class_id == 0]  # so low a recall leaves some documents out
+    assert len(block) >= 30 and {x.n_links for x in block} == {len(block) - 1}
+
+
 def test_odd_rows(spark):
     found = sorted(((r.doc_id or 0, r.n_links) for r in jaccard.groups(odd(spark)).collect()))
     assert found == [(0, 0), (1, 2), (2, 0), (3, 0), (4, 0), (5, 2), (5, 2), (6, 0), (7, 0), (8, 0)]
