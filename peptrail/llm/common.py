@@ -34,7 +34,8 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named and sc.getCheckpointDir():
-        named = str(Path(sc.getCheckpointDir().removeprefix("file:")).parent)
+        # The context's own folder has a part of its own below the folder that was set; it may be a URI.
+        named = sc.getCheckpointDir().rstrip("/").rpartition("/")[0]
     if not named:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
@@ -50,7 +51,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint. Spark removes its files once nothing refers to it."""
+    """Cut the lineage with a reliable checkpoint.
+
+    Spark removes its files once nothing refers to it if spark.cleaner.referenceTracking.cleanCheckpoints is
+    true when the context starts; else they stay until the shared folder's owner removes them."""
     prepare(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -195,14 +199,35 @@ def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, at)
 
 
-def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte runs that are non-empty, disjoint and ascending."""
+#: Masks that keep the first 0 to 8 bytes of a little-endian word.
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def wide(data: np.ndarray) -> np.ndarray:
+    """The little-endian 8-byte word at every place of some bytes and at the 8 after them, with zeros past the end."""
+    padded = np.concatenate((data, np.zeros(16, np.uint8)))
+    return np.ndarray((len(data) + 8,), "<u8", padded, strides=(1,))
+
+
+def hashed_twice(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of non-empty byte runs.
+
+    Every 8-byte block is mixed with its place before blocks are summed, once for each hash, so that no
+    algebra over the bytes (as that of polynomials) makes runs collide; both together stand for equality."""
     if not len(starts):
-        return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    # Positions inside runs only: the gaps between runs carry no weight.
-    where = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(int(lengths.sum()))
-    inner = where - np.repeat(starts, lengths)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    sizes = ends - starts
+    blocks = sizes + 7 >> 3
+    first = np.cumsum(blocks) - blocks
+    place = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+    word = wide(data)[np.repeat(starts, blocks) + 8 * place] & FIRST_BYTES[np.minimum(np.repeat(sizes, blocks) - 8 * place, 8)]
     with np.errstate(over="ignore"):
-        terms = (data[where].astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()))[inner]
-        return mixed(np.add.reduceat(terms, np.concatenate(([0], np.cumsum(lengths)[:-1]))))
+        x = mixed(word + mixed(place.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)))
+        y = mixed(x ^ np.uint64(0x8CB92BA72F3D8DD7))
+        n = sizes.astype(np.uint64)
+        return mixed(np.add.reduceat(x, first) + n), mixed(np.add.reduceat(y, first) ^ n)
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of non-empty byte runs."""
+    return hashed_twice(data, starts, ends)[0]

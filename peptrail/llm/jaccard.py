@@ -55,7 +55,7 @@ def grams(text: pa.Array, words: int = WORDS) -> list[np.ndarray]:
             for k in range(words):
                 # Words after a text's last one count as zero, which only texts of fewer words reach.
                 gram *= np.uint64(0x9E3779B97F4A7C15)
-                gram[: len(word) - k] += word[k:]
+                gram[: max(len(word) - k, 0)] += word[k:]
         short = np.flatnonzero((n > 0) & (n < words))
         for i in short.tolist():
             value = np.uint64(0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import hashed, mixed, words_of
+from .common import hashed_twice, mixed, words_of
 
 #: Characters that count as symbols.
 SYMBOLS = np.zeros(256, bool)
@@ -14,14 +14,14 @@ UPPER[65:91] = LOWER[97:123] = True
 MARKS[ord("!")] = True
 
 
-def repeats(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For hashed items of texts, in order: whether the text holds an equal one before, and whether it holds another one."""
+def repeats(one: np.ndarray, two: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For items of texts, in order, known by two hashes: whether the text holds an equal one before, and whether it holds another one."""
     with np.errstate(over="ignore"):
-        both = mixed(key + mixed(owner.astype(np.uint64) + np.uint64(1)))
+        both = mixed(one + mixed(owner.astype(np.uint64) + np.uint64(1)))
     order = np.argsort(both, kind="stable")
-    s = both[order]
+    s, t, u = both[order], two[order], owner[order]
     same = np.zeros(len(s), bool)
-    same[1:] = s[1:] == s[:-1]
+    same[1:] = (s[1:] == s[:-1]) & (t[1:] == t[:-1]) & (u[1:] == u[:-1])
     later = np.zeros(len(s), bool)
     later[order] = same
     twice = same.copy()
@@ -50,8 +50,8 @@ def counts(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     out["word_chars"] = np.bincount(owner, heads[ends] - heads[starts], n).astype(np.int64)
     for name, of in (("n_symbols", SYMBOLS), ("n_upper", UPPER), ("n_lower", LOWER), ("n_marks", MARKS)):
         out[name] = per_text(of[data])
-    word = hashed(data, starts, ends)
-    later, _ = repeats(word, owner)
+    word = hashed_twice(data, starts, ends)
+    later, _ = repeats(*word, owner)
     out["n_distinct"] = np.bincount(owner[~later], minlength=n).astype(np.int64)
     # Lines with a word: from one line feed or text border to the next.
     breaks = np.flatnonzero(data == 10)
@@ -60,15 +60,15 @@ def counts(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     begin = low[line]
     stop = np.minimum(np.append(breaks, len(data))[np.searchsorted(breaks, begin)], at[np.searchsorted(at, begin, "right")] if len(begin) else 0)
     line_owner = np.searchsorted(at, begin, "right") - 1
-    later, _ = repeats(hashed(data, begin, stop), line_owner)
+    later, _ = repeats(*hashed_twice(data, begin, stop), line_owner)
     out["n_lines"] = np.bincount(line_owner, minlength=n).astype(np.int64)
     out["n_dup_lines"] = np.bincount(line_owner[later], minlength=n).astype(np.int64)
-    covered = np.zeros(len(word), bool)
-    if len(word) > 2:
+    covered = np.zeros(len(owner), bool)
+    if len(owner) > 2:
         with np.errstate(over="ignore"):
-            window = mixed(mixed(word[:-2] * np.uint64(3) + word[1:-1]) * np.uint64(5) + word[2:])
+            window = [mixed(mixed(w[:-2] * np.uint64(3) + w[1:-1]) * np.uint64(5) + w[2:]) for w in word]
         whole = owner[:-2] == owner[2:]
-        _, twice = repeats(window[whole], owner[:-2][whole])
+        _, twice = repeats(window[0][whole], window[1][whole], owner[:-2][whole])
         at_words = np.flatnonzero(whole)[twice]
         for k in range(3):
             covered[at_words + k] = True

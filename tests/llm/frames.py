@@ -32,3 +32,12 @@ def clashing(df):
     for name in ("_row", "_key", "piece", "start", "length", "score", "lang_pred", "unit", "hash", "spans", "kept", "_t", "_0"):
         df = df.withColumn(name, F.lit("x"))
     return df
+
+
+def thue_morse(*steps):
+    """For each number of steps, the word of 2 ** steps letters and its complement."""
+    out = []
+    for n in steps:
+        word = [k.bit_count() % 2 for k in range(1 << n)]
+        out += ["".join("ab"[x] for x in word), "".join("ba"[x] for x in word)]
+    return out

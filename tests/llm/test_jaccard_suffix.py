@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from peptrail.llm import components, jaccard, suffix_dedup
-from tests.llm.frames import DOCS, clashing, empty, odd
+from tests.llm.frames import DOCS, clashing, empty, odd, thue_morse
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -97,6 +97,23 @@ def test_odd_rows(spark):
     assert jaccard.groups(empty(spark)).count() == 0
 
 
+def test_few_words_in_a_batch(spark):
+    """Tables of one to six words in all, alone in their batches, and texts that polynomial hashes take for each other."""
+    words = ["one", "two", "three", "four", "five", "six"]
+    for n in range(1, 7):
+        assert len(jaccard.grams(pa.array([" ".join(words[:n])]))[0]) == max(1, n - 4)
+        if n not in (2, 3):
+            continue
+        rows = [(1, " ".join(words[:n])), (2, " ".join(words[:n])), (3, words[-1] + "x")]
+        found = jaccard.groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5))
+        assert {tuple(r) for r in found.collect()} == {(1, 1, 1), (2, 1, 1), (3, 3, 0)}
+    texts = thue_morse(6, 7, 11)
+    spaced = [" ".join(x) for x in texts[:4]] + texts[4:]
+    assert len({g.tobytes() for g in jaccard.grams(pa.array([x + " a b c d" for x in texts]))}) == len(texts)
+    found = jaccard.groups(spark.createDataFrame([(k, x, None, None, None) for k, x in enumerate(spaced)], DOCS).coalesce(1))
+    assert {tuple(r) for r in found.collect()} == brute_groups(list(enumerate(spaced)))
+
+
 def test_bands_reach_the_recall():
     bands, rows = jaccard.choose_bands(0.8, 0.999, 192)
     assert bands * rows <= 192 and 1 - (1 - 0.8**rows) ** bands >= 0.999
