@@ -94,7 +94,7 @@ def _matches(text: Column, pattern: str, worth: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """Spans of the fixed patterns: structs (at, end, rank of kind, kind, what), by start, then kind."""
+    """Spans of the fixed patterns: structs (at, rank of kind, end, kind, what), by start, then kind."""
 
     def length(x: Column) -> Column:
         return F.length(_digits(x["what"]))
@@ -107,7 +107,7 @@ def base_spans(text: Column) -> Column:
     }
 
     def named(kind: str) -> Column:
-        return F.transform(kept[kind], lambda m: F.struct(m["at"].alias("at"), (m["at"] + m["len"]).alias("end"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), m["what"].alias("what")))
+        return F.transform(kept[kind], lambda m: F.struct(m["at"].alias("at"), F.lit(KINDS.index(kind)).alias("rank"), (m["at"] + m["len"]).alias("end"), F.lit(kind).alias("kind"), m["what"].alias("what")))
 
     return F.array_sort(F.concat(*map(named, KINDS)))
 
@@ -189,8 +189,8 @@ def spans_of(keyed: DataFrame) -> DataFrame:
     new = found.where(F.col("kind").isNull()).select("_key", "at", "end", "token", F.explode("patterns").alias("p")).select("_key", "at", "end", "token", "p.*").join(chosen, ["shape", "context"])
     new = new.groupBy("_key", "at", "end", "token").agg(F.max("best")["kind"].alias("as"))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("as")).cast("int") - 1
-    new = new.groupBy("_key").agg(F.collect_list(F.struct(F.col("at").cast("int").alias("at"), F.col("end").cast("int").alias("end"), rank.alias("rank"), F.col("as").alias("kind"), F.col("token").alias("what"))).alias("_new"))
-    none = F.expr("cast(array() as array<struct<at:int,end:int,rank:int,kind:string,what:string>>)")
+    new = new.groupBy("_key").agg(F.collect_list(F.struct(F.col("at").cast("int").alias("at"), rank.alias("rank"), F.col("end").cast("int").alias("end"), F.col("as").alias("kind"), F.col("token").alias("what"))).alias("_new"))
+    none = F.expr("cast(array() as array<struct<at:int,rank:int,end:int,kind:string,what:string>>)")
     joined = based.join(new, "_key", "left")
     return joined.select("_key", "doc_id", "base", F.array_sort(F.concat("base", F.coalesce("_new", none))).alias("spans"))
 

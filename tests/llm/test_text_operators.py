@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from peptrail.llm import imatch, langid, pii, quality_classifier, quality_rules, textstats
 from peptrail.llm.common import bytes_of, read
-from tests.llm.frames import DOCS, ODD, clashing, empty, odd
+from tests.llm.frames import DOCS, ODD, clashing, empty, odd, thue_morse
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -42,6 +42,7 @@ def base(text):
 TEXTS = [
     "a@b.com_x@y.com z", "x@y.com.@q.r", "1.2.3.4.5.6.7.8 300.1.1.1 007.0008.1.255", "é😀 a.b@c-d.ef.gh,4539 1488 0343 6467 and 4539-1488-0343-6467-1", "+1 (743) 555-3824+44 20 7946 0958 . +",
     "1" * 30000, "1 " * 9000, "a.b" * 9000 + "@c" + ".d" * 9000, "+1" + " " * 500 + "x", "4485275742308327 12345678901234567890", " ".join(f"10.0.{k // 256}.{k % 256}" for k in range(1000)),
+    "see 4111111111111111@x.com", "+14155550123@x.com and 10.0.0.1@x.y.z",
 ]
 
 
@@ -155,6 +156,13 @@ def test_counts(texts):
     assert [tuple(int(found[k][i]) for k in quality_rules.BASE) for i in range(len(texts))] == [brute_counts(x) for x in texts]
 
 
+def test_counts_of_texts_with_equal_polynomial_hashes():
+    for a, b in (thue_morse(10), thue_morse(11), thue_morse(12)):
+        text = f"{a}\n{b}\n{a} x {b} y {a} x {b}\n{b} z {a}"
+        found = textstats.counts(*bytes_of(pa.array([text])))
+        assert tuple(int(found[k][0]) for k in quality_rules.BASE) == brute_counts(text)
+
+
 def test_quality_rules(spark, sf_dir):
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     found = quality_rules.judge(docs, quality_rules.fit(docs, labels)).join(docs.select("doc_id", "text"), "doc_id").collect()
