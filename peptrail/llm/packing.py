@@ -8,7 +8,9 @@ needed; so a plan has at most the sum of capacity / length steps, however many d
 looks their places up in the plan.
 
 Defined results: null text is empty text; an empty text is one piece holding only the end id; null or
-repeated document ids are packed row by row; other columns are ignored; an empty table gives no rows.
+repeated document ids are packed row by row; pieces of equal length keep the order in which they were
+written down, so that places hold when a task runs again; other columns are ignored; an empty table gives
+no rows. Very long texts are encoded whole by one task, and cut into pieces of `capacity` ids.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import cut, prepare, unused
 from .tokens import default_tokenizer, encoder
 
 #: Rows of one numbering group; a group holds pieces of all lengths, so no length is numbered by one task.
@@ -132,21 +134,25 @@ def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, en
 
     Returns a row for each piece: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset."""
     prepare(docs.sparkSession)
-    pieces = cut(cut_pieces(docs, capacity, tokenizer or default_tokenizer(), end_id, with_ids))
-    return place(pieces, capacity)
+    return place(cut_pieces(docs, capacity, tokenizer or default_tokenizer(), end_id, with_ids), capacity)
 
 
 def place(pieces: DataFrame, capacity: int) -> DataFrame:
-    """Add sequence_id and offset to pieces (doc_id, piece, length of 1 to capacity, any other columns)."""
-    rows = pieces.count()
+    """Add sequence_id and offset to pieces (length of 1 to capacity, any other columns).
+
+    Pieces get a number each and are written down with it: groups and places follow from the numbers, whatever
+    ids the documents have."""
+    row = unused(pieces, "_row")
+    kept = cut(pieces.withColumn(row, F.monotonically_increasing_id()))
+    rows = kept.count()
     groups = max(16, -(-rows // GROUP_ROWS))
-    grouped = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
+    grouped = kept.withColumn("_group", F.pmod(F.xxhash64(row), F.lit(groups)).cast("int"))
     counts = grouped.groupBy("_group", "length").agg(F.count(F.lit(1)).alias("_n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     table = segments(plan(histogram, capacity))
     before = Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("_group", "length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    own = Window.partitionBy("_group", "length").orderBy("doc_id", "piece")
+    own = Window.partitionBy("_group", "length").orderBy(row)
     numbered = grouped.withColumn("_own", F.row_number().over(own) - 1)
     numbered = numbered.join(firsts, ["_group", "length"]).withColumn("_rank", F.col("_first") + F.col("_own"))
     numbered = numbered.select(*pieces.columns, F.col("_rank").cast("bigint").alias("_rank"))
