@@ -5,7 +5,8 @@ vocabulary of up to 65,536) and compressed; row groups and pages are kept small,
 indexes, so that a reader of some documents, or of the small columns only, skips the ids of the rest.
 
 Defined results: null text is empty text, which is the end id alone; null ids sort first; equal ids keep
-a row each, by text; other columns are ignored; an empty table gives no rows.
+a row each, in the order of the input, and may lie in several shards; other columns are ignored; an empty
+table gives no rows. Very long texts are encoded whole, as one list in one row group.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     prepare(spark)
     tokenizer = tokenizer or default_tokenizer()
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    ordered = docs.select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one id, however many, are parted by their number.
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    ordered = rows.repartitionByRange(shards, "doc_id", "row").sortWithinPartitions("doc_id", "row").drop("row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, start = encoder(tokenizer).encode, 0
