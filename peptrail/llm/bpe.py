@@ -5,8 +5,13 @@ a vocabulary entry that ends there (an automaton over the vocabulary lists these
 that may follow the last token of the prefix before it. Whether two tokens may stand side by side depends
 on them alone. Back-pointers from the end give the ids that merging by rank would give.
 
-Defined results: null text is empty text, with no ids; repeated rows give a row each; other columns are
-ignored; an empty table gives no rows.
+The automaton is one over the whole vocabulary (Aho-Corasick): its failure links are the suffix links that a
+suffix automaton of the entries would have, and it lists the entries that end at a place. Distinct chunks of
+texts go through the programme once in a worker; `tokens.ChunkEncoder` looks up those it has met.
+
+Defined results: null text is empty text, with no ids; repeated rows give a row each, and equal texts equal
+ids (exactly one token can stand last, so there are no ties); other columns are ignored; an empty table
+gives no rows. Very long texts are encoded whole; the memories of a worker are bounded by entries and bytes.
 """
 
 from __future__ import annotations
@@ -22,14 +27,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
-from .tokens import chunks, default_tokenizer
+from .common import pieces_of, prepare
+from .tokens import ChunkEncoder, default_tokenizer
 
 #: Fixed value: the byte-level pre-token pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Remembered chunks and pre-tokens of a worker; a full memory starts anew, with the same results.
-CACHE_ENTRIES = 300_000
+#: Remembered pairs of tokens of a worker; a full memory starts anew, with the same results.
+CACHE_ENTRIES = 1_200_000
 
 NEVER = 1 << 60
 
@@ -48,8 +53,9 @@ class PrefixEncoder:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         byte = byte_characters()
-        self.added = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
-        self.token: dict[int, bytes] = {i: bytes(byte[c] for c in t) for t, i in model["model"]["vocab"].items() if t not in self.added}
+        self.added_ids = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
+        self.added = list(self.added_ids)
+        self.token: dict[int, bytes] = {i: bytes(byte[c] for c in t) for t, i in model["model"]["vocab"].items() if t not in self.added_ids}
         by_bytes = {t: i for i, t in self.token.items()}
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
@@ -64,15 +70,14 @@ class PrefixEncoder:
         for i, t in self.token.items():
             self.automaton.add_word(t.decode("latin-1"), (len(t), i))
         self.automaton.make_automaton()
-        self.output = [self.token.get(i, b"") for i in range(max([*self.token, *self.added.values()]) + 1)]
-        for t, i in self.added.items():
-            self.output[i] = t.encode()
-        self.decimal = [str(i) for i in range(len(self.output))]
+        output = [self.token.get(i, b"") for i in range(max([*self.token, *self.added_ids.values()]) + 1)]
+        for t, i in self.added_ids.items():
+            output[i] = t.encode()
+        self.bytes_of_ids = Texts(output)
+        self.decimals = Texts([b"%d," % i for i in range(len(output))])
         self.pre_tokens = regex.compile(PATTERN).findall
         self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
-        self.words: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
 
     def spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The outermost parts of a token on a side, from its single byte to itself, each with the rank of the merge that ends it."""
@@ -101,7 +106,7 @@ class PrefixEncoder:
                     i += 1
                 else:
                     j += 1
-            if len(self.pairs) > 4 * CACHE_ENTRIES:
+            if len(self.pairs) > CACHE_ENTRIES:
                 self.pairs.clear()
             self.pairs[key] = known
         return known
@@ -145,45 +150,45 @@ class PrefixEncoder:
             end = back[end]
         return out[::-1]
 
-    def piece(self, text: str) -> bytes:
-        """Ids of a text without added tokens, as little-endian unsigned 32-bit bytes."""
-        out, words = [], self.words
-        for w in self.pre_tokens(text):
-            ids = words.get(w)
-            if ids is None:
-                ids = np.array(self.word(w.encode()), "<u4").tobytes()
-                if len(words) > CACHE_ENTRIES:
-                    words.clear()
-                words[w] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def encode(self, text: str) -> np.ndarray:
+    def piece(self, text: str) -> list[int]:
+        """Ids of a text without added tokens."""
+        return [i for w in self.pre_tokens(text) for i in self.word(w.encode())]
+
+    def whole(self, text: str) -> np.ndarray:
         """Ids of a whole text."""
         found = [a for a in self.added if a in text]
-        if found:
-            cut = regex.compile("(" + "|".join(map(regex.escape, sorted(found, key=len, reverse=True))) + ")")
-            return np.concatenate([np.array([self.added[x]], "<u4") if x in self.added else np.frombuffer(self.piece(x), "<u4") for x in cut.split(text)])
-        parts, spaced = chunks(text), self.spaced
-        out = [self.piece(parts[0])]
-        for c in parts[1:]:
-            ids = spaced.get(c)
-            if ids is None:
-                ids = self.piece(" " + c)
-                if len(spaced) > CACHE_ENTRIES:
-                    spaced.clear()
-                spaced[c] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join(out), "<u4")
+        if not found:
+            return np.array(self.piece(text), np.uint32)
+        cut = regex.compile("(" + "|".join(map(regex.escape, sorted(found, key=len, reverse=True))) + ")")
+        return np.array([i for x in cut.split(text) for i in ([self.added_ids[x]] if x in self.added_ids else self.piece(x))], np.uint32)
+
+    def many(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, end to end, and their sizes."""
+        ids = [self.piece(x) for x in chunks]
+        return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.output.__getitem__, ids)).decode("utf-8", "replace")
+        return self.bytes_of_ids.laid(np.array(ids, np.int64))[0].decode("utf-8", "replace")
+
+
+class Texts:
+    """Short texts by number, laid end to end many at a time."""
+
+    def __init__(self, texts: list[bytes]):
+        self.sizes = np.array([len(x) for x in texts], np.int64)
+        self.starts, self.data = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(texts), np.uint8)
+
+    def laid(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The texts of ids in one, and where each ends, from 0 for none."""
+        sizes = self.sizes[ids]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        return self.data[np.repeat(self.starts[ids] - ends[:-1], sizes) + np.arange(int(ends[-1]))].tobytes(), ends
 
 
 @functools.lru_cache(maxsize=2)
-def prefix_encoder(path: str) -> PrefixEncoder:
+def prefix_encoder(path: str) -> ChunkEncoder:
     """One for each worker process and vocabulary file."""
-    return PrefixEncoder(path)
+    return ChunkEncoder(PrefixEncoder(path))
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -202,7 +207,7 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
     tokenizer = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = prefix_encoder(tokenizer)
+        code = prefix_encoder(tokenizer).coder
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([code.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
@@ -215,22 +220,22 @@ def _run(docs: DataFrame, tokenizer: str | None, ids_too: bool) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = prefix_encoder(tokenizer)
+        encoder = prefix_encoder(tokenizer)
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                ids = code.encode(text or "")
+            text = batch.column(1).fill_null("")
+            for low, high in pieces_of(text):
+                doc_id = batch.column(0).slice(low, high - low)
+                ids, at = encoder.encode(text.slice(low, high - low))
                 if ids_too:
-                    out.append(ids.astype("<i4"))
+                    lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.view(np.int32)))
+                    yield pa.RecordBatch.from_arrays([doc_id, lists], names=["doc_id", "ids"])
                     continue
-                many = ids.tolist()
-                listed = ",".join(map(code.decimal.__getitem__, many))
-                out.append((len(many), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(code.decode(many).encode()).hexdigest()))
-            if ids_too:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
-            else:
-                columns = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                listed, ends = encoder.coder.decimals.laid(ids)
+                # Without the comma after the last id.
+                listed = [hashlib.sha256(listed[a : max(a, b - 1)]).hexdigest() for a, b in zip(ends[at[:-1]].tolist(), ends[at[1:]].tolist(), strict=True)]
+                raw, ends = encoder.coder.bytes_of_ids.laid(ids)
+                decoded = [hashlib.sha256(raw[a:b].decode("utf-8", "replace").encode()).hexdigest() for a, b in zip(ends[at[:-1]].tolist(), ends[at[1:]].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([doc_id, pa.array(np.diff(at).astype(np.int64)), pa.array(listed, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = f"doc_id {kind}, ids array<int>" if ids_too else f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

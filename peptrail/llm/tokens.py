@@ -1,12 +1,16 @@
-"""Token ids of whole texts, by the tokenizers library, each distinct chunk encoded once.
+"""Token ids of whole texts, each distinct chunk encoded once.
 
 A text is cut before every space that a non-space character follows. Such a space always opens a new
 pre-token of the byte-level pattern, whatever stands before it, so encoding the chunks one by one gives
 the ids of the whole text. Texts that hold an added token's string, or white space after a space, are
-encoded by the library as they are.
+encoded as they are.
 
-Chunks are known by two 64-bit hashes of their bytes. A worker keeps the ids of those it has met in a table
-of fixed size, and hands the library only new ones, many in one call.
+A worker keeps the ids of the chunks it has met in a table whose keys are the chunks' bytes, so that equal
+keys are equal chunks. It hands only new chunks to the coder: the tokenizers library here, or another one
+with the same two methods.
+
+Very long texts: a text is held whole, with its ids, beside arrays of some 60 bytes for each chunk of a
+block of `BLOCK` chunks; the table is bounded by entries, ids and bytes.
 """
 
 from __future__ import annotations
@@ -14,20 +18,24 @@ from __future__ import annotations
 import functools
 import os
 import re
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import PIECE_BYTES, bytes_of, mixed, pieces_of, powers
+from .common import FIRST_BYTES, PIECE_BYTES, bytes_of, mixed, pieces_of, wide
 
-#: Slots of a worker's table (2 ** SLOT_BITS). At half full it starts anew; results do not depend on it.
-SLOT_BITS = 22
+#: Slots of a worker's table (2 ** SLOT_BITS). Where it is half full, or its ids or longer keys pass these
+#: bounds, it starts anew; results do not depend on it.
+SLOT_BITS, MOST_IDS, MOST_BYTES = 22, 1 << 24, 1 << 25
+#: Chunks looked up at once, fewer than half the slots.
+BLOCK = 1 << 18
+#: Chunks of up to so many bytes are keys as two words and a length; longer ones as bytes in a dictionary.
+SHORT = 16
 
 #: A space before white space or the end, for Arrow, whose \s is ASCII alone.
 _ODD_SPACE = r" ([\s\x0b\x1c-\x1f\x{85}\pZ]|$)"
-_ODD = re.compile(r" (?:\s|\Z)")
-_CUT = re.compile(r" (?=\S)")
 #: Marks that, after letters, are a pre-token of their own.
 MARKS = b",."
 
@@ -38,56 +46,20 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def chunks(text: str) -> list[str]:
-    """The text parted at every space that a non-space follows, without those spaces."""
-    return _CUT.split(text) if _ODD.search(text) else text.split(" ")
+class Coder(Protocol):
+    """What turns texts into ids: any text, and many chunks of one pre-token or more each."""
 
+    added: list[str]
 
-class Table:
-    """Ids by two hashes: open addressing over arrays, looked up and filled many keys at a time."""
+    def whole(self, text: str) -> np.ndarray: ...
 
-    def __init__(self, bits: int = SLOT_BITS):
-        self.mask = np.uint64((1 << bits) - 1)
-        self.one, self.two = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
-        self.start, self.size = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
-        self.pool, self.used, self.entries = np.zeros(1 << 20, np.uint32), 0, 0
+    def many(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, end to end, and their sizes."""
 
-    def full(self) -> bool:
-        return 2 * self.entries > len(self.one) or self.used > 1 << 26
 
-    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """The slot of each key, -1 for unknown ones."""
-        out = np.full(len(one), -1)
-        rest, slot = np.arange(len(one)), (one & self.mask).astype(np.int64)
-        while len(rest):
-            there = self.one[slot]
-            hit = (there == one[rest]) & (self.two[slot] == two[rest])
-            out[rest[hit]] = slot[hit]
-            go = ~hit & (there != 0)
-            rest, slot = rest[go], slot[go] + 1 & int(self.mask)
-        return out
+class Library:
+    """The tokenizers library, without truncation and padding."""
 
-    def add(self, one: np.ndarray, two: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """New, distinct keys with their ids, end to end."""
-        if self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate((self.pool[: self.used], np.zeros(max(len(self.pool), len(ids)), np.uint32)))
-        self.pool[self.used : self.used + len(ids)] = ids
-        start = self.used + np.cumsum(sizes) - sizes
-        self.used += len(ids)
-        self.entries += len(one)
-        rest, slot = np.arange(len(one)), (one & self.mask).astype(np.int64)
-        while len(rest):
-            free = np.flatnonzero(self.one[slot] == 0)
-            _, first = np.unique(slot[free], return_index=True)
-            put = free[first]
-            at, k = slot[put], rest[put]
-            self.one[at], self.two[at], self.start[at], self.size[at] = one[k], two[k], start[k], sizes[k]
-            go = np.ones(len(rest), bool)
-            go[put] = False
-            rest, slot = rest[go], slot[go] + 1 & int(self.mask)
-
-
-class ChunkEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -101,87 +73,151 @@ class ChunkEncoder:
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.lengths[i] = len(token)
-        self.table = Table()
-        self.marks = {m: self.whole(chr(m)) for m in MARKS}
 
     def whole(self, text: str) -> np.ndarray:
-        """Ids of any text by the library itself."""
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of non-empty runs of bytes that end to end make up data[starts[0]:ends[-1]], or are few."""
-        sizes = ends - starts
-        first = np.cumsum(sizes) - sizes
-        whole = len(starts) and int(ends[-1] - starts[0]) == int(sizes.sum())
-        place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
-        run = data[starts[0] : ends[-1]] if whole else data[place + np.repeat(starts, sizes)]
-        x = run.astype(np.uint64) + np.uint64(1)
-        most = int(sizes.max())
-        with np.errstate(over="ignore"):
-            one = np.add.reduceat(x * powers(most)[place], first)
-            two = np.add.reduceat(x * powers(most, 0x9E3779B97F4A7C15)[place], first)
-            one = mixed(one + sizes.astype(np.uint64))
-        one[one == 0] = 1  # 0 marks a free slot
-        return one, two
-
-    def _encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of chunks, end to end, and their sizes. Those that begin with a space share one call, cut apart by the tokens' byte lengths."""
-        spaced = [k for k, x in enumerate(new) if x[0] == " "]
-        parts: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(new)
+    def many(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks that begin with a space share one call, cut apart by the tokens' byte lengths."""
+        spaced = [k for k, x in enumerate(chunks) if x[0] == " "]
+        parts: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(chunks)
         if spaced:
-            ids = self.whole("".join([new[k] for k in spaced]))
-            sizes = np.fromiter((len(new[k].encode()) for k in spaced), np.int64, len(spaced))
+            ids = self.whole("".join([chunks[k] for k in spaced]))
+            sizes = np.fromiter((len(chunks[k].encode()) for k in spaced), np.int64, len(spaced))
             ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes)) + 1
-            if len(spaced) == len(new):
+            if len(spaced) == len(chunks):
                 return ids, np.diff(ends, prepend=0)
             for k, a, b in zip(spaced, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                 parts[k] = ids[a:b]
-        other = [k for k, x in enumerate(new) if x[0] != " "]
-        for k, e in zip(other, self.tokenizer.encode_batch_fast([new[k] for k in other], add_special_tokens=False), strict=True):
+        other = [k for k, x in enumerate(chunks) if x[0] != " "]
+        for k, e in zip(other, self.tokenizer.encode_batch_fast([chunks[k] for k in other], add_special_tokens=False), strict=True):
             parts[k] = np.array(e.ids, np.uint32)
         return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
 
-    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+
+class Runs:
+    """Non-empty runs of bytes as keys: up to `SHORT` bytes exactly as two words and a length."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        self.data, self.starts, self.ends, self.sizes = data, starts, ends, ends - starts
+        words = wide(data)
+        self.low = words[starts] & FIRST_BYTES[np.minimum(self.sizes, 8)]
+        self.high = np.zeros(len(starts), np.uint64)
+        more = np.flatnonzero(self.sizes > 8)
+        self.high[more] = words[starts[more] + 8] & FIRST_BYTES[np.minimum(self.sizes[more] - 8, 8)]
+        self.short = np.flatnonzero(self.sizes <= SHORT)
+
+    @classmethod
+    def of(cls, keys: list[bytes]) -> Runs:
+        ends = np.cumsum(np.fromiter(map(len, keys), np.int64, len(keys)))
+        return cls(np.frombuffer(b"".join(keys), np.uint8), np.concatenate(([0], ends[:-1])), ends)
+
+    def raw(self, which: np.ndarray) -> list[bytes]:
+        all_of = memoryview(np.ascontiguousarray(self.data))
+        return [bytes(all_of[a:b]) for a, b in zip(self.starts[which].tolist(), self.ends[which].tolist(), strict=True)]
+
+    def slots(self, which: np.ndarray, mask: np.uint64) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (mixed(self.low[which] ^ mixed(self.high[which] + self.sizes[which].astype(np.uint64))) & mask).astype(np.int64)
+
+
+class Table:
+    """Ids by bytes: open addressing over arrays for short keys, looked up and filled many at a time; a dictionary for the rest."""
+
+    def __init__(self, bits: int = SLOT_BITS):
+        self.mask = np.uint64((1 << bits) - 1)
+        self.low, self.high = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        self.length, self.entry = np.zeros(1 << bits, np.uint8), np.zeros(1 << bits, np.int32)  # a length of 0 marks a free slot
+        self.longer: dict[bytes, int] = {}
+        self.longer_bytes = self.used = self.entries = 0
+        self.start, self.size = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
+        self.pool = np.zeros(1 << 16, np.uint32)
+
+    def full(self) -> bool:
+        return 2 * self.entries > len(self.low) or self.used > MOST_IDS or self.longer_bytes > MOST_BYTES
+
+    def find(self, runs: Runs) -> np.ndarray:
+        """The entry of each key, -1 for unknown ones."""
+        out = np.full(len(runs.sizes), -1)
+        rest = runs.short
+        slot = runs.slots(rest, self.mask)
+        while len(rest):
+            there = self.length[slot]
+            hit = (there == runs.sizes[rest]) & (self.low[slot] == runs.low[rest]) & (self.high[slot] == runs.high[rest])
+            out[rest[hit]] = self.entry[slot[hit]]
+            go = ~hit & (there != 0)
+            rest, slot = rest[go], slot[go] + 1 & int(self.mask)
+        if len(runs.short) < len(out):
+            long = np.flatnonzero(runs.sizes > SHORT)
+            out[long] = [self.longer.get(x, -1) for x in runs.raw(long)]
+        return out
+
+    def add(self, runs: Runs, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New, distinct keys with their ids, end to end."""
+        n, many = self.entries, len(sizes)
+        while n + many > len(self.start):
+            self.start, self.size = (np.concatenate((x, np.zeros(len(x), np.int32))) for x in (self.start, self.size))
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(len(self.pool), np.uint32)))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.start[n : n + many], self.size[n : n + many] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += len(ids)
+        self.entries += many
+        rest = runs.short
+        slot = runs.slots(rest, self.mask)
+        while len(rest):
+            free = np.flatnonzero(self.length[slot] == 0)
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            at, k = slot[put], rest[put]
+            self.low[at], self.high[at], self.length[at], self.entry[at] = runs.low[k], runs.high[k], runs.sizes[k], n + k
+            go = np.ones(len(rest), bool)
+            go[put] = False
+            rest, slot = rest[go], slot[go] + 1 & int(self.mask)
+        if len(runs.short) < many:
+            long = np.flatnonzero(runs.sizes > SHORT)
+            self.longer.update(zip(runs.raw(long), (n + long).tolist(), strict=True))
+            self.longer_bytes += int(runs.sizes[long].sum())
+
+    def ids(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of entries, end to end, and their sizes."""
+        sizes = self.size[entry].astype(np.int64)
+        first = np.cumsum(sizes) - sizes
+        return self.pool[np.repeat(self.start[entry] - first, sizes) + np.arange(int(sizes.sum()))], sizes
+
+
+class ChunkEncoder:
+    def __init__(self, coder: Coder):
+        self.coder, self.table = coder, Table()
+        self.marks = {m: coder.whole(chr(m)) for m in MARKS}
+
+    def _add(self, keys: list[bytes]) -> None:
+        if keys:
+            self.table.add(Runs.of(keys), *self.coder.many([x.decode() for x in keys]))
+
+    def _learn(self, new: list[bytes]) -> None:
         """Add distinct unknown chunks. A chunk of letters and one mark is put together from its letters' ids and the mark's."""
-        raw = data.tobytes()
-        texts = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        last = data[ends - 1]
-        marked = np.flatnonzero(((last == MARKS[0]) | (last == MARKS[1])) & (ends - starts > 2) & (data[starts] == 32))
-        marked = marked[np.fromiter((texts[k][1:-1].isalpha() for k in marked.tolist()), bool, len(marked))]
-        plain = np.ones(len(starts), bool)
-        plain[marked] = False
-        if plain.any():
-            self.table.add(one[plain], two[plain], *self._encoded([texts[k] for k in np.flatnonzero(plain).tolist()]))
-        if not len(marked):
+        marked = [x for x in new if x[-1] in MARKS and len(x) > 2 and x[0] == 32 and x[1:-1].decode().isalpha()]
+        if not marked:
+            self._add(new)
             return
-        base_one, base_two = self._hashes(data, starts[marked], ends[marked] - 1)
-        lacks = np.flatnonzero(self.table.find(base_one, base_two) < 0)
-        if len(lacks):
-            _, first = np.unique(base_one[lacks], return_index=True)
-            lacks = lacks[first]
-            self.table.add(base_one[lacks], base_two[lacks], *self._encoded([texts[k][:-1] for k in marked[lacks].tolist()]))
-        slot = self.table.find(base_one, base_two)
+        apart = set(marked)
+        self._add([x for x in new if x not in apart])
+        bases = list(dict.fromkeys(x[:-1] for x in marked))
+        known = self.table.find(Runs.of(bases))
+        self._add([x for x, k in zip(bases, known.tolist(), strict=True) if k < 0])
+        entry = dict(zip(bases, self.table.find(Runs.of(bases)).tolist(), strict=True))
         for m in MARKS:
-            these = np.flatnonzero(last[marked] == m)
-            if len(these):
-                sizes = self.table.size[slot[these]].astype(np.int64)
-                ends_at = np.cumsum(sizes + 1)
-                ids = np.empty(int(ends_at[-1]), np.uint32)
-                ids[ends_at - 1] = self.marks[m][0]
-                inner = np.ones(len(ids), bool)
-                inner[ends_at - 1] = False
-                ids[inner] = self._gather(slot[these], sizes)
-                self.table.add(one[marked[these]], two[marked[these]], ids, sizes + 1)
-
-    def _gather(self, slot: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        first = np.cumsum(sizes) - sizes
-        return self.table.pool[np.repeat(self.table.start[slot] - first, sizes) + np.arange(int(sizes.sum()))]
+            these = [x for x in marked if x[-1] == m]
+            if these:
+                inner, sizes = self.table.ids(np.array([entry[x[:-1]] for x in these]))
+                self.table.add(Runs.of(these), np.insert(inner, np.cumsum(sizes), self.marks[m][0]), sizes + 1)
 
     def encode(self, text: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts (null: empty), end to end, each followed by the end id if one is given; and their len + 1 offsets."""
         text = text.fill_null("")
         alone = pc.match_substring_regex(text, _ODD_SPACE)
-        for a in self.added:
+        for a in self.coder.added:
             alone = pc.or_(alone, pc.match_substring(text, a))
         odd = np.flatnonzero(alone.to_numpy(zero_copy_only=False)).tolist()
         plain = pc.if_else(alone, "", text) if odd else text
@@ -194,7 +230,7 @@ class ChunkEncoder:
             for i in odd:
                 counts[i] = -1
             for i, n in enumerate(counts.tolist()):
-                parts += [self.whole(text[i].as_py()) if n < 0 else ids[low : low + n], tail]
+                parts += [self.coder.whole(text[i].as_py()) if n < 0 else ids[low : low + n], tail]
                 low += max(n, 0)
             sizes = np.array([len(x) for x in parts], np.int64)
             return np.concatenate(parts) if parts else ids, np.concatenate(([0], np.cumsum(sizes[0::2] + sizes[1::2])))
@@ -209,22 +245,29 @@ class ChunkEncoder:
         opens[at[:-1][at[:-1] < at[1:]]] = True
         starts = np.flatnonzero(opens)
         ends = np.append(starts[1:], len(data))
-        one, two = self._hashes(data, starts, ends)
+        done = [self._block(data, starts[k : k + BLOCK], ends[k : k + BLOCK]) for k in range(0, len(starts), BLOCK)]
+        ids, sizes = (np.concatenate(x) for x in zip(*done, strict=True))
+        total = np.concatenate(([0], np.cumsum(sizes)))
+        return ids, np.diff(total[np.searchsorted(starts, at)])
+
+    def _block(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, end to end, and their sizes."""
         if self.table.full():
             self.table = Table()
-        slot = self.table.find(one, two)
-        unknown = np.flatnonzero(slot < 0)
+        low = starts[0]
+        runs = Runs(data[low : ends[-1]], starts - low, ends - low)
+        entry = self.table.find(runs)
+        unknown = np.flatnonzero(entry < 0)
         if len(unknown):
-            _, first = np.unique(one[unknown], return_index=True)
-            new = unknown[np.sort(first)]
-            self._learn(data, starts[new], ends[new], one[new], two[new])
-            slot[unknown] = self.table.find(one[unknown], two[unknown])
-        sizes = self.table.size[slot].astype(np.int64)
-        total = np.concatenate(([0], np.cumsum(sizes)))
-        return self._gather(slot, sizes), np.diff(total[np.searchsorted(starts, at)])
+            raw = runs.raw(unknown)
+            new = list(dict.fromkeys(raw))
+            self._learn(new)
+            number = dict(zip(new, self.table.find(Runs.of(new)).tolist(), strict=True))
+            entry[unknown] = [number[x] for x in raw]
+        return self.table.ids(entry)
 
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> ChunkEncoder:
     """One for each worker process and vocabulary file."""
-    return ChunkEncoder(path)
+    return ChunkEncoder(Library(path))

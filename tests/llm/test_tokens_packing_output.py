@@ -1,5 +1,6 @@
 """Encoding, packing and token files against the library and by round trip."""
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -9,14 +10,14 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from peptrail.llm import bpe, packing, token_output, tokens
-from tests.llm.frames import ODD, clashing, empty, odd
+from tests.llm.frames import ODD, clashing, empty, odd, thue_morse
 
 PATH = tokens.default_tokenizer()
 TRICKY = ["", "  a", " \n b", "foo\n \nbar  baz   ", "a<|endoftext|> b  <|endoftext|>", "\t\t x  y's 's  ", "　 x 　", "\x1c a \x85 b\x1f  c", "a\r\n  \r\n b", " ", "a ", "ab, ñé. x1, ,.   z", " xy, xy xy.", "aaaaaaaaaaaaaa", "日本語 한국어 😀"]
 
 
 def library(text):
-    return tokens.encoder(PATH).tokenizer.encode(text or "", add_special_tokens=False).ids
+    return tokens.encoder(PATH).coder.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("end", [None, 2])
@@ -32,15 +33,49 @@ def test_any_text(text):
     ids, _ = tokens.encoder(PATH).encode(pa.array([text, "x " + text]))
     assert ids.tolist() == library(text) + library("x " + text)
     own = bpe.prefix_encoder(PATH)
-    assert own.encode(text).tolist() == library(text) and own.decode(library(text)) == text
+    assert own.encode(pa.array([text, "x " + text]))[0].tolist() == ids.tolist() and own.coder.decode(library(text)) == text
 
 
-def test_table_starts_anew():
+def test_table_knows_keys_by_their_bytes():
     table = tokens.Table(4)
-    one = np.arange(1, 8, dtype=np.uint64) * np.uint64(16)  # all want one slot
-    table.add(one, one, np.arange(7, dtype=np.uint32), np.ones(7, np.int64))
-    slot = table.find(one, one)
-    assert table.pool[table.start[slot]].tolist() == list(range(7)) and table.find(one + np.uint64(1), one).tolist() == [-1] * 7
+    keys = [b"a", b"a\0", b"aaaaaaaa", b"aaaaaaaa\0", b"a" * 16, b"a" * 17, b"b" * 900]
+    table.add(tokens.Runs.of(keys), np.arange(14, dtype=np.uint32), np.full(7, 2))
+    ids, sizes = table.ids(table.find(tokens.Runs.of(keys)))
+    assert ids.tolist() == list(range(14)) and sizes.tolist() == [2] * 7
+    assert table.find(tokens.Runs.of([b"b", b"a\0\0", b"a" * 15, b"a" * 18])).tolist() == [-1] * 4
+
+
+@pytest.mark.parametrize("name", ["SLOT_BITS", "MOST_IDS", "MOST_BYTES", "BLOCK"])
+def test_small_memories_give_the_same_ids(monkeypatch, name):
+    texts = pa.array([" ".join(f"w{k * j % 97}é, {'z' * (k % 40)}" for j in range(60)) for k in range(40)])
+    want, at = tokens.encoder(PATH).encode(texts)
+    monkeypatch.setattr(tokens, name, {"SLOT_BITS": 12, "BLOCK": 50}.get(name, 100))
+    if name == "SLOT_BITS":
+        monkeypatch.setattr(tokens, "BLOCK", 1000)
+        monkeypatch.setattr(tokens.Table.__init__, "__defaults__", (12,))
+    own = tokens.ChunkEncoder(tokens.encoder(PATH).coder)
+    for _ in range(2):
+        ids, there = own.encode(texts)
+        assert ids.tolist() == want.tolist() and there.tolist() == at.tolist()
+
+
+def test_texts_on_which_polynomial_hashes_collide(spark):
+    """A Thue-Morse word and its complement have equal polynomial hashes modulo 2 ** 64, whatever the base."""
+    texts = thue_morse(10, 11, 12)
+    ids, at = tokens.encoder(PATH).encode(pa.array(texts))
+    own, _ = bpe.prefix_encoder(PATH).encode(pa.array(texts))
+    assert ids.tolist() == own.tolist() == [i for x in texts for i in library(x)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    found = {r.doc_id: r.ids_crc32 for r in packing.pack(df, 4096, PATH).collect()}
+    assert found == {k: zlib.crc32(np.array([*library(x), 2], "<u4").tobytes()) for k, x in enumerate(texts)}
+
+
+def test_round_trip_digests(spark):
+    df = spark.createDataFrame([(k, x) for k, x in enumerate([*TRICKY, None])], "doc_id bigint, text string").coalesce(1)
+    for r in bpe.round_trip(df, PATH).collect():
+        text = [*TRICKY, None][r.doc_id] or ""
+        want = library(text)
+        assert tuple(r)[1:] == (len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
 
 
 def test_bpe_columns(spark):
@@ -97,6 +132,16 @@ def test_packing(spark, shape):
         assert at <= 64
 
 
+def test_packing_rows_without_ids(spark):
+    """Rows without an id are dealt to groups by their number, and two runs over the same rows place them alike."""
+    rows = [(None, "word " * (k % 7)) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    runs = [sorted((r.sequence_id, r.offset, r.length, r.ids_crc32) for r in packing.pack(df, 64, PATH).collect()) for _ in range(2)]
+    assert runs[0] == runs[1] and len(runs[0]) == 400
+    total = sum(len(library(x[1])) + 1 for x in rows)
+    assert len({x[0] for x in runs[0]}) == -(-total // 64)
+
+
 def test_packing_nothing(spark):
     assert packing.pack(empty(spark), 64, PATH).count() == 0
 
