@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces_of, prepare
-from .tokens import ChunkEncoder, default_tokenizer
+from .tokens import ChunkEncoder, byte_characters, default_tokenizer
 
 #: Fixed value: the byte-level pre-token pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -39,13 +39,6 @@ CACHE_ENTRIES = 1_200_000
 NEVER = 1 << 60
 
 
-def byte_characters() -> dict[str, int]:
-    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, the rest from 256 on."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(printable)]
-    return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 class PrefixEncoder:
     def __init__(self, path: str):
         import ahocorasick
@@ -162,9 +155,9 @@ class PrefixEncoder:
         cut = regex.compile("(" + "|".join(map(regex.escape, sorted(found, key=len, reverse=True))) + ")")
         return np.array([i for x in cut.split(text) for i in ([self.added_ids[x]] if x in self.added_ids else self.piece(x))], np.uint32)
 
-    def many(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def many(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks, end to end, and their sizes."""
-        ids = [self.piece(x) for x in chunks]
+        ids = [self.piece(x.decode()) for x in chunks]
         return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
 
     def decode(self, ids: list[int]) -> str:

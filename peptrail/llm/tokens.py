@@ -46,6 +46,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_characters() -> dict[str, int]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, the rest from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(printable)]
+    return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 class Coder(Protocol):
     """What turns texts into ids: any text, and many chunks of one pre-token or more each."""
 
@@ -53,8 +60,8 @@ class Coder(Protocol):
 
     def whole(self, text: str) -> np.ndarray: ...
 
-    def many(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of chunks, end to end, and their sizes."""
+    def many(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks (UTF-8), end to end, and their sizes."""
 
 
 class Library:
@@ -68,31 +75,23 @@ class Library:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        vocabulary = self.tokenizer.get_vocab()
-        # In a byte-level vocabulary each character of a token stands for one byte.
-        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():
-            self.lengths[i] = len(token)
+        # Characters that stand for bytes, in a byte-level vocabulary.
+        self.spelt = {b: c for c, b in byte_characters().items()}
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def many(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Chunks that begin with a space share one call, cut apart by the tokens' byte lengths."""
-        spaced = [k for k, x in enumerate(chunks) if x[0] == " "]
-        parts: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(chunks)
-        if spaced:
-            ids = self.whole("".join([chunks[k] for k in spaced]))
-            sizes = np.fromiter((len(chunks[k].encode()) for k in spaced), np.int64, len(spaced))
-            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes)) + 1
-            if len(spaced) == len(chunks):
-                return ids, np.diff(ends, prepend=0)
-            for k, a, b in zip(spaced, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                parts[k] = ids[a:b]
-        other = [k for k, x in enumerate(chunks) if x[0] != " "]
-        for k, e in zip(other, self.tokenizer.encode_batch_fast([chunks[k] for k in other], add_special_tokens=False), strict=True):
-            parts[k] = np.array(e.ids, np.uint32)
-        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+    def many(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """A space and letters are one pre-token, which the library's model takes as it is; other chunks go through the whole library."""
+        model, spelt = self.tokenizer.model.tokenize, self.spelt
+        parts: list[list[int]] = []
+        for x in chunks:
+            if x[0] == 32 and (text := x[1:].decode()).isalpha():
+                parts.append([t.id for t in model("\u0120" + text if x.isascii() else x.decode("latin-1").translate(spelt))])
+            else:
+                parts.append(self.tokenizer.encode(x.decode(), add_special_tokens=False).ids)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        return np.fromiter((i for x in parts for i in x), np.uint32, int(sizes.sum())), sizes
 
 
 class Runs:
@@ -191,27 +190,31 @@ class ChunkEncoder:
         self.coder, self.table = coder, Table()
         self.marks = {m: coder.whole(chr(m)) for m in MARKS}
 
-    def _add(self, keys: list[bytes]) -> None:
+    def _add(self, keys: list[bytes]) -> dict[bytes, int]:
+        """Encode and add distinct unknown chunks; their entries."""
+        first = self.table.entries
         if keys:
-            self.table.add(Runs.of(keys), *self.coder.many([x.decode() for x in keys]))
+            self.table.add(Runs.of(keys), *self.coder.many(keys))
+        return {x: first + k for k, x in enumerate(keys)}
 
-    def _learn(self, new: list[bytes]) -> None:
-        """Add distinct unknown chunks. A chunk of letters and one mark is put together from its letters' ids and the mark's."""
+    def _learn(self, new: list[bytes]) -> dict[bytes, int]:
+        """As `_add`. A chunk of letters and one mark is put together from its letters' ids and the mark's."""
         marked = [x for x in new if x[-1] in MARKS and len(x) > 2 and x[0] == 32 and x[1:-1].decode().isalpha()]
         if not marked:
-            self._add(new)
-            return
+            return self._add(new)
         apart = set(marked)
-        self._add([x for x in new if x not in apart])
+        entry = self._add([x for x in new if x not in apart])
         bases = list(dict.fromkeys(x[:-1] for x in marked))
-        known = self.table.find(Runs.of(bases))
-        self._add([x for x, k in zip(bases, known.tolist(), strict=True) if k < 0])
-        entry = dict(zip(bases, self.table.find(Runs.of(bases)).tolist(), strict=True))
+        base = dict(zip(bases, self.table.find(Runs.of(bases)).tolist(), strict=True))
+        base |= self._add([x for x, k in base.items() if k < 0])
         for m in MARKS:
             these = [x for x in marked if x[-1] == m]
             if these:
-                inner, sizes = self.table.ids(np.array([entry[x[:-1]] for x in these]))
+                first = self.table.entries
+                inner, sizes = self.table.ids(np.array([base[x[:-1]] for x in these]))
                 self.table.add(Runs.of(these), np.insert(inner, np.cumsum(sizes), self.marks[m][0]), sizes + 1)
+                entry |= {x: first + k for k, x in enumerate(these)}
+        return entry
 
     def encode(self, text: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts (null: empty), end to end, each followed by the end id if one is given; and their len + 1 offsets."""
@@ -260,9 +263,7 @@ class ChunkEncoder:
         unknown = np.flatnonzero(entry < 0)
         if len(unknown):
             raw = runs.raw(unknown)
-            new = list(dict.fromkeys(raw))
-            self._learn(new)
-            number = dict(zip(new, self.table.find(Runs.of(new)).tolist(), strict=True))
+            number = self._learn(list(dict.fromkeys(raw)))
             entry[unknown] = [number[x] for x in raw]
         return self.table.ids(entry)
 
