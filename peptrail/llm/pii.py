@@ -9,15 +9,18 @@ bootstrap over identifier-like tokens that the patterns miss:
   `coarse`) and two contexts: the words before and after it, case folded away. Three pairs of these are
   its lexical patterns: shape with the word before, and form with either word; the token is an instance.
   So known spans speak for tokens of shapes that no known span has.
-* Seeds say for each pattern how many of its distinct instances are known to be of a kind; with the
-  patterns' confidence the instances are scored, the best become known, and so on for a few rounds over
-  the bipartite graph of patterns and instances.
+* Seeds say for each pattern how many of its distinct instances are known to be of a kind; those of other
+  kinds count against it in full, those of which nothing is known by half. With the patterns' confidence the
+  instances are scored, the best become known, and so on for a few rounds over the bipartite graph of
+  patterns and instances.
 * Tokens that confident patterns name, and no base span touches, are further spans of the kind. Parts of
   a base span are no tokens.
 * A context reads 40 code points before or after the token; a word beyond these counts as none.
 
-Defined results: null text is empty text, without spans; equal or null ids get a row each; other columns
-are kept by `redact` and ignored by `find`; an empty table gives no rows.
+Defined results: null text is empty text, without spans; equal or null ids get a row each; repeated rows have
+equal spans; a token that patterns of several kinds name goes to the most confident one, then to the last kind
+in the alphabet; other columns are kept by `redact` and ignored by `find`; an empty table gives no rows. Very
+long texts are searched whole, in one expression each.
 """
 
 from __future__ import annotations
@@ -30,6 +33,10 @@ from .common import cut, prepare, text_or_empty, unused, with_key
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of the bootstrap; a pattern's least confidence and least number of distinct known instances.
 ROUNDS, CONFIDENCE, SUPPORT = 3, 0.8, 3
+#: What an instance of which nothing is known counts against a pattern.
+UNKNOWN = 0.5
+#: Confident patterns that are broadcast; more of them meet tokens by a shuffle, each dealt to so many salts.
+MOST_BROADCAST, SALTS = 100_000, 32
 
 #: The base patterns. Possessive repeats and starts bound to a run's begin or the last match's
 #: end (\G) match what the plain patterns match, without backtracking over long runs.
@@ -160,10 +167,11 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, confidence: float = CONFID
     known = graph.where(F.col("kind").isNotNull()).select("token", "kind", F.lit(1.0).alias("score")).distinct()
     patterns = None
     for step in range(rounds):
-        # A pattern's confidence: known mass among its distinct instances, with one doubtful instance added.
+        # A pattern's confidence: mass of the kind among its distinct instances, with one doubtful instance added.
         marked = graph.select("shape", "context", "token").join(known.groupBy("token").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score")), "token", "left")
         mass = marked.groupBy("shape", "context", "kind").agg(F.sum("score").alias("mass"), F.count(F.lit(1)).alias("n"))
-        total = marked.groupBy("shape", "context").agg(F.count(F.lit(1)).alias("all"))
+        weight = F.when(F.col("kind").isNull(), UNKNOWN).otherwise(1.0)
+        total = marked.groupBy("shape", "context").agg(F.sum(weight).alias("all"))
         patterns = mass.where(F.col("kind").isNotNull()).join(total, ["shape", "context"])
         patterns = patterns.select("shape", "context", "kind", "n", (F.col("mass") / (F.col("all") + 1)).alias("confidence"))
         patterns = cut(patterns.where((F.col("n") >= support) & (F.col("confidence") >= confidence)))
@@ -177,7 +185,17 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, confidence: float = CONFID
     return patterns
 
 
-def spans_of(keyed: DataFrame) -> DataFrame:
+def _named(new: DataFrame, chosen: DataFrame, most_broadcast: int) -> DataFrame:
+    """Tokens (shape, context, ...) with the best kind of their patterns. One pattern may have a third of all tokens."""
+    chosen = cut(chosen)
+    if chosen.count() <= most_broadcast:
+        return new.join(F.broadcast(chosen), ["shape", "context"])
+    salted = new.withColumn("salt", F.pmod(F.xxhash64("_key", "at"), F.lit(SALTS)).cast("int"))
+    dealt = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(dealt.hint("merge"), ["shape", "context", "salt"]).drop("salt")
+
+
+def spans_of(keyed: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """For documents (_key, doc_id, text): _key, doc_id, base and spans (base ones and discovered ones, by start, then kind)."""
     prepare(keyed.sparkSession)
     texts = keyed.select("_key", "doc_id", text_or_empty().alias("text"))
@@ -186,7 +204,8 @@ def spans_of(keyed: DataFrame) -> DataFrame:
     found = occurrences(based)
     patterns = bootstrap(found)
     chosen = patterns.groupBy("shape", "context").agg(F.max(F.struct("confidence", "kind")).alias("best"))
-    new = found.where(F.col("kind").isNull()).select("_key", "at", "end", "token", F.explode("patterns").alias("p")).select("_key", "at", "end", "token", "p.*").join(chosen, ["shape", "context"])
+    new = found.where(F.col("kind").isNull()).select("_key", "at", "end", "token", F.explode("patterns").alias("p")).select("_key", "at", "end", "token", "p.*")
+    new = _named(new, chosen, most_broadcast)
     new = new.groupBy("_key", "at", "end", "token").agg(F.max("best")["kind"].alias("as"))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("as")).cast("int") - 1
     new = new.groupBy("_key").agg(F.collect_list(F.struct(F.col("at").cast("int").alias("at"), rank.alias("rank"), F.col("end").cast("int").alias("end"), F.col("as").alias("kind"), F.col("token").alias("what"))).alias("_new"))
