@@ -1,8 +1,12 @@
 """Connected components by alternating large-star and small-star steps.
 
-Edges only are moved; every step is an aggregation by node and an equality join, so a node of many edges
-is pre-aggregated and its join partition can be split. The number of steps grows with the logarithm of the
-longest path, not with its length.
+Edges only are moved; every step is an aggregation by node, combined before its shuffle, and an equality
+join. A node of many edges would land in one task of that join; those of more than `bound` edges, of which
+there are at most twice the edges over the bound, meet their edges by a broadcast instead. The number of
+steps grows with the logarithm of the longest path, not with its length.
+
+Defined results: edges of a node with itself and repeated edges change nothing; edges with a null end are
+ignored; without edges there are no rows.
 """
 
 from __future__ import annotations
@@ -13,28 +17,40 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: A node of more edges than this, and than a share of all edges, is met by a broadcast of at most 2 * MOST_HOT rows.
+HOT_EDGES, MOST_HOT = 1000, 100_000
+
+
+def _meet(rows: DataFrame, near: DataFrame, edges: int) -> DataFrame:
+    """Rows (u, ...) with m of near (u, m, n), where n is the number of edges of a node."""
+    bound = max(HOT_EDGES, edges // MOST_HOT)
+    hot = F.broadcast(near.where(F.col("n") > bound).select("u", "m"))  # at most 2 * edges / bound rows
+    cold = near.where(F.col("n") <= bound).select("u", "m")
+    return rows.join(hot, "u").unionByName(rows.join(hot, "u", "left_anti").join(cold, "u"))
+
+
+def _large_star(links: DataFrame, edges: int) -> DataFrame:
     """Link every larger neighbour of a node to the least of its neighbours and itself."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    near = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return _meet(both.where("v > u"), near, edges).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, edges: int) -> DataFrame:
     """Link the smaller neighbours of a node, and the node, to the least of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    joined = edges.join(least, "a")
-    out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+    near = links.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    joined = _meet(links.select(F.col("a").alias("u"), "b"), near, edges)
+    out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(near.select(F.col("u").alias("a"), F.col("m").alias("b")))
     return out.where("a != b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """For edges (a, b) of bigint nodes: node, root (the least node of its component), for every node that is not its own root."""
-    links = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links, before = cut(links), None
+    links = cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before, many = None, links.count()
     while True:
-        links = cut(_small_star(_large_star(links)))
-        now = tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 40)))).first())
-        if now == before or not now[0]:
+        links = cut(_small_star(_large_star(links, many), many))
+        many, *sums = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 40)))).first()
+        if (many, sums) == before or not many:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
+        before = (many, sums)

@@ -5,14 +5,19 @@
 2. A signature of MinHash values, cut in bands whose count and rows are chosen for a target recall, is
    shuffled on band hashes. A bucket links its members to its least member; the linked classes form blocks
    of candidates, found as connected components of light rows, and no pair is written out.
-3. In each block the full sets are compared: members are sorted by size and dealt into tiles, and tiles
-   meet only where sizes allow the threshold. A pair counts if its exact Jaccard similarity reaches the
+3. In each block the full sets are compared: members are sorted by size and dealt into tiles, bounded by
+   rows and by grams, and tiles meet only where sizes allow the threshold. A pair counts if its exact Jaccard similarity reaches the
    threshold, whether or not it shares a band. A tile reports numbers of links and a spanning forest, not pairs.
 4. The components of the forests are the groups.
 
+Numbers of links are exact, so a block of n different near copies costs comparisons of n * n / 2 pairs, in
+tasks of two tiles; nothing but the tiles' counts leaves a task.
+
 Results are one row per document. Defined results: null text, and text without a word, has no grams and no
-links, and is its own group unless nothing else; equal ids are told apart by row, and equal rows are copies
-of each other; other columns are ignored; an empty table gives no rows.
+links, and is its own group; equal ids are told apart by row, and equal rows are copies of each other; of a
+group the row of the least id (or first number) is the first; other columns are ignored; an empty table gives
+no rows. A very long text is one set in one row, and a tile of its own; grams are 64-bit hashes, and sets of
+equal 128-bit names are equal sets.
 """
 
 from __future__ import annotations
@@ -29,8 +34,8 @@ from .common import bytes_of, cut, free, hashed, mixed, pieces_of, prepare, unus
 from .components import components
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 192
-#: Classes in a tile; a task compares two tiles at a time.
-TILE = 512
+#: Classes in a tile, and the grams that each of them counts for at least; a task compares two tiles at a time.
+TILE, ROW_GRAMS = 512, 4096
 
 
 def choose_bands(threshold: float, recall: float, most_hashes: int) -> tuple[int, int]:
@@ -204,10 +209,11 @@ def _verify(numbered: DataFrame, firsts: DataFrame, blocks: DataFrame, words: in
     salted = members.withColumn("salt", F.pmod(F.xxhash64("_row"), F.lit(64)))
     counts = salted.groupBy("root", "size", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("root").orderBy("size", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("root", "size", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    weight = F.greatest(F.col("size"), F.lit(ROW_GRAMS)).cast("bigint")
+    counts = counts.select("root", "size", "salt", F.coalesce(F.sum(F.col("n") * weight).over(before), F.lit(0)).alias("base"))
     own = Window.partitionBy("root", "size", "salt").orderBy("_row")
     tiled = salted.select("_row", "root", "size", "salt").withColumn("k", F.row_number().over(own) - 1).join(counts, ["root", "size", "salt"])
-    tiled = cut(tiled.select("_row", "root", "size", F.floor((F.col("base") + F.col("k")) / TILE).cast("int").alias("tile")))
+    tiled = cut(tiled.select("_row", "root", "size", F.floor((F.col("base") + F.col("k") * weight) / (TILE * ROW_GRAMS)).cast("int").alias("tile")))
     tiles = tiled.groupBy("root", "tile").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.count(F.lit(1)).alias("n"))
     left, right = tiles.select("root", F.col("tile").alias("i"), F.col("high").alias("high_i"), F.col("n").alias("n_i")), tiles.select("root", F.col("tile").alias("j"), F.col("low").alias("low_j"), F.col("n").alias("n_j"))
     meets = left.join(right, "root").where((F.col("i") < F.col("j")) & (F.col("high_i") >= threshold * F.col("low_j") - 1e-6) | (F.col("i") == F.col("j")) & (F.col("n_i") > 1))
