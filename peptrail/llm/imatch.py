@@ -1,14 +1,17 @@
 """I-Match document fingerprints, in DataFrame expressions.
 
-Terms are lower-cased words without ASCII marks. Terms whose document frequency lies in a
-band (by share of all documents) make the lexicon; its size is at most the mean number of distinct terms
-in a document over the band's lower bound, for any size of corpus. `SUBSETS` randomised lexicons each
-leave out a share of the terms by digits of a hash. A fingerprint has, for each of these, the hash of a document's
-sorted distinct terms in it; the likeness of two fingerprints is the share of equal parts.
-
-Defined results: null text is empty text; a text without a term in a lexicon has the hash of the whole
-text in that part, so that only equal texts agree; equal ids are ordered by text; a null id sorts below
-all others; other columns are ignored; an empty table gives no rows.
+Terms are lower-cased words without ASCII marks. Terms whose document frequency lies in a band (by share of
+all documents) make the lexicon; its size is at most the mean number of distinct terms in a document over
+the band's lower bound, for any size of corpus. `SUBSETS` randomised lexicons keep a half, a quarter, an
+eighth and so on of its terms, by digits of a hash, so that texts of any length have a subset in which they
+hold only a few terms: there, near copies mostly hold the same ones. A fingerprint has, for each subset, the
+hash of a document's sorted distinct terms in it; the likeness of two fingerprints is the share of equal
+parts. Fewer than `LEAST_TERMS` terms would agree by chance, and do not make a part.
+
+Defined results: null text is empty text; a part without enough terms is the hash of the whole text, so that
+only equal texts agree in it; equal ids are ordered by text; a null id sorts below all others; repeated rows
+get a row each; other columns are ignored; an empty table gives no rows. Very long texts are taken whole: a
+row for each distinct term is shuffled, not the text.
 """
 
 from __future__ import annotations
@@ -22,8 +25,12 @@ from .common import cut, free, prepare, text_or_empty
 
 #: The band of document frequency, as shares of all documents, and a floor in documents.
 LEAST_SHARE, MOST_SHARE, LEAST_DOCS = 0.001, 0.2, 2
-SUBSETS, LEFT_OUT = 6, 0.3
-
+#: Randomised lexicons; terms that a part needs.
+SUBSETS, LEAST_TERMS = 8, 3
+#: Terms of a lexicon that is broadcast, some 50 MB; a larger one meets the texts' terms by a shuffle.
+MOST_BROADCAST = 500_000
+#: Keys that rows of facts are dealt to, so that they make no hot key of that join.
+FACT_KEYS = 256
 
 #: Fixed value: ASCII marks.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -36,16 +43,23 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(texts: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
-    """term, subsets (a bit for each lexicon that has it) of every term whose document frequency lies in the band, over all rows (text)."""
+    """term, subsets (a bit for each lexicon that has it) of every term that a lexicon has and whose document frequency lies in the band, over all rows (text)."""
     n = texts.agg(F.count(F.lit(1))).first()[0]
     counted = texts.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return counted.where((F.col("df") >= max(LEAST_DOCS, least * n)) & (F.col("df") <= max(LEAST_DOCS, most * n))).select("term", _subsets(F.col("term")).alias("subsets"))
+    # One condition that needs the frequency: it cannot move below the aggregation, where each row's term would be hashed.
+    band = (F.col("df") >= max(LEAST_DOCS, least * n)) & (F.col("df") <= max(LEAST_DOCS, most * n))
+    return counted.select("term", F.when(band, _subsets(F.col("term"))).alias("subsets")).where("subsets > 0")
+
+
+def kept_below(k: int) -> str:
+    """Four hexadecimal digits under this keep a term in the k-th lexicon: half of all terms for the first, then half as many each time."""
+    return f"{(1 << 16) >> (k + 1):04x}"
 
 
 def _subsets(term: Column) -> Column:
     """Bits of the randomised lexicons that keep a term: its hash gives each of them four digits."""
-    digits, least = F.md5(term.cast("binary")), f"{int(LEFT_OUT * (1 << 16)):04x}"
-    return reduce(lambda bits, k: bits + F.when(F.substring(digits, 4 * k + 1, 4) >= least, 1 << k).otherwise(0), range(SUBSETS), F.lit(0))
+    digits = F.md5(term.cast("binary"))
+    return reduce(lambda bits, k: bits + F.when(F.substring(digits, 4 * k + 1, 4) < kept_below(k), 1 << k).otherwise(0), range(SUBSETS), F.lit(0))
 
 
 def _parts(kept: Column, whole: Column) -> Column:
@@ -53,7 +67,7 @@ def _parts(kept: Column, whole: Column) -> Column:
 
     def part(k: int) -> Column:
         chosen = F.transform(F.filter(kept, lambda t: t["subsets"].bitwiseAND(F.lit(1 << k)) > 0), lambda t: t["term"])
-        return F.substring(F.sha1(F.when(F.size(chosen) > 0, F.concat(F.lit("t"), F.array_join(chosen, " "))).otherwise(F.concat(F.lit("w"), whole)).cast("binary")), 1, 16)
+        return F.substring(F.sha1(F.when(F.size(chosen) >= LEAST_TERMS, F.concat(F.lit("t"), F.array_join(chosen, " "))).otherwise(F.concat(F.lit("w"), whole)).cast("binary")), 1, 16)
 
     return F.concat_ws("-", *(part(k) for k in range(SUBSETS)))
 
@@ -80,7 +94,7 @@ def _next_ids(docs: DataFrame) -> DataFrame:
     return ids.withColumn("_lag", F.lag("_key").over(own)).join(ends, "_range").select("_key", F.coalesce(F.col("_lag"), F.col("_before"), F.lit(largest).cast("bigint")).alias("next"))
 
 
-def compare(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
+def compare(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Fingerprints of documents (doc_id, text) and of their edited texts.
 
     The edited text has the last half of the text's code points replaced by the first as many (or all) of the
@@ -100,19 +114,20 @@ def compare(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHAR
     both = texts.join(sends, "_key")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - F.floor(F.length("text") / 2).cast("int")), F.col("start"))
     both = both.select("_key", "text", edited.alias("edited"))
-    # One generator gives a row of facts, under the empty term, and a row for each term of either text; the text
-    # itself goes no further. Rows meet the lexicon (its size is bounded by the band, so it is broadcast) where they
-    # are, and come together again by the key that they are partitioned on.
+    # One generator gives a row of facts, under a name that no term has, and a row for each term of either text; the
+    # text itself goes no further. Rows meet the lexicon, and come together again by the key that they are
+    # partitioned on: a lexicon of checked size is broadcast, and rows meet it where they are.
     text, edit = F.col("text"), F.col("edited")
     facts = F.struct(F.length(text).cast("bigint").alias("n_chars"), F.sha2(edit.cast("binary"), 256).alias("edited_sha256"), F.sha1(text.cast("binary")).alias("whole"), F.sha1(edit.cast("binary")).alias("edited_whole"))
 
     def row(of: int, term: Column) -> Column:
         return F.struct(F.lit(of).alias("of"), term.alias("term"), F.when(F.lit(of == 0), facts).alias("facts"))
 
-    rows = F.concat(F.array(row(0, F.lit(""))), F.transform(terms(text), lambda t: row(1, t)), F.transform(terms(edit), lambda t: row(2, t)))
+    named = F.concat(F.lit("!"), F.pmod(F.xxhash64("_key"), F.lit(FACT_KEYS)).cast("string"))
+    rows = F.concat(F.array(row(0, named)), F.transform(terms(text), lambda t: row(1, t)), F.transform(terms(edit), lambda t: row(2, t)))
     each = both.select("_key", F.explode(rows).alias("r")).select("_key", "r.*")
-    known = words.union(words.sparkSession.createDataFrame([("", 0)], words.schema))
-    met = each.join(F.broadcast(known), "term")
+    known = words.union(words.sparkSession.range(FACT_KEYS).select(F.concat(F.lit("!"), F.col("id").cast("string")).alias("term"), F.lit(0).alias("subsets")))
+    met = each.join(F.broadcast(known) if words.count() <= most_broadcast else known.hint("merge"), "term")
     gathered = [F.sort_array(F.collect_list(F.when(F.col("of") == of, F.struct("term", "subsets")))).alias(name) for of, name in ((1, "own"), (2, "new"))]
     grouped = met.groupBy("_key").agg(F.first("facts", ignorenulls=True).alias("f"), *gathered)
     marked = cut(grouped.select("_key", "f.n_chars", "f.edited_sha256", _parts(F.col("own"), F.col("f.whole")).alias("fingerprint"), _parts(F.col("new"), F.col("f.edited_whole")).alias("edited_fingerprint")))

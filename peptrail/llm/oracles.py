@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from .imatch import LEAST_DOCS, LEAST_SHARE, LEFT_OUT, MARKS, MOST_SHARE, SUBSETS
+from .imatch import LEAST_DOCS, LEAST_SHARE, LEAST_TERMS, MARKS, MOST_SHARE, SUBSETS
 from .jaccard import THRESHOLD
 from .suffix_dedup import LENGTH
 
 
 def _imatch() -> str:
     marks = MARKS.replace("'", "''")
-    least = f"{int(LEFT_OUT * (1 << 16)):04x}"
     words = lambda t: f"list_distinct(list_filter(string_split_regex(translate(lower({t}), '{marks}', ''), '[ \\t-\\r]+'), lambda w: w <> ''))"
-    chosen = ", ".join(f"string_agg(term, ' ' ORDER BY term) FILTER (substr(md5(term), {4 * k + 1}, 4) >= '{least}') AS p{k}" for k in range(SUBSETS))
-    part = lambda k: f"substr(sha1(CASE WHEN p{k} IS NOT NULL THEN 't' || p{k} ELSE 'w' || whole END), 1, 16)"
+    # The k-th lexicon keeps one term in 2 ** (k + 1): 8000, 4000, 2000, ... in hexadecimal digits.
+    has = lambda k: f"FILTER (substr(md5(term), {4 * k + 1}, 4) < printf('%04x', 32768 >> {k}))"
+    chosen = ", ".join(f"string_agg(term, ' ' ORDER BY term) {has(k)} AS p{k}, count(*) {has(k)} AS n{k}" for k in range(SUBSETS))
+    part = lambda k: f"substr(sha1(CASE WHEN n{k} >= {LEAST_TERMS} THEN 't' || p{k} ELSE 'w' || whole END), 1, 16)"
     likeness = lambda a, b: " + ".join(f"(CASE WHEN split_part({a}, '-', {k + 1}) = split_part({b}, '-', {k + 1}) THEN 1 ELSE 0 END)" for k in range(SUBSETS))
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), total AS (SELECT count(*) AS n FROM d),
  o AS (SELECT doc_id, text, length(text) AS n_chars, coalesce(lead(text) OVER w, first_value(text) OVER w) AS after_text, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS after_id FROM d WINDOW w AS (ORDER BY doc_id DESC)),
