@@ -98,17 +98,21 @@ def train(keys: list[np.ndarray], values: list[np.ndarray], target: np.ndarray,
     return out
 
 
-def calibrate(scorer: Scorer, margin: np.ndarray, target: np.ndarray) -> Scorer:
-    """Platt scaling on rows that training did not see, with smoothed targets; Newton steps on two numbers."""
-    good, n = target.sum(), len(target)
-    if not 0 < good < n:
+def calibrate(scorer: Scorer, margin: np.ndarray, target: np.ndarray, weight: np.ndarray | None = None) -> Scorer:
+    """Platt scaling on rows that training did not see, with smoothed targets; Newton steps on two numbers.
+
+    A row's weight is the number of rows it stands for; weights are scaled to the number of rows that are there."""
+    n = len(target)
+    if not 0 < target.sum() < n:
         return scorer
+    w = np.ones(n) if weight is None else weight * n / weight.sum()
+    good = (w * target).sum()
     t = np.where(target > 0.5, (good + 1) / (good + 2), 1 / (n - good + 2))
     a, b = 1.0, 0.0
     for _ in range(50):
         p = sigmoid(a * margin + b)
-        v = p * (1 - p)
-        g = np.array([((p - t) * margin).sum(), (p - t).sum()]) + 1e-6 * np.array([a, b])
+        v = w * p * (1 - p)
+        g = np.array([(w * (p - t) * margin).sum(), (w * (p - t)).sum()]) + 1e-6 * np.array([a, b])
         h = np.array([[(v * margin**2).sum(), (v * margin).sum()], [(v * margin).sum(), v.sum()]]) + 1e-6 * np.eye(2)
         step = np.linalg.solve(h, g)
         step *= min(1, 2 / max(1e-12, np.abs(step).max()))

@@ -1,14 +1,20 @@
 """Quality classifier from weak labels.
 
-Overlapping heuristic labellers vote good, bad or nothing on every document. Expectation-maximisation over
-the counts of vote patterns (at most 3 ** labellers of them, counted over all documents) estimates each
-labeller's accuracy on good and on bad documents, and with these the probability that a document of a
-pattern is good. A bounded sample of documents, about `SAMPLE_DOCS` of each likely class by a hash of the
-id, trains a hashed linear scorer on these posterior labels; it then scores every document.
+Eight heuristic labellers, each over a measure of its own, vote good, bad or nothing on every document; they
+overlap in the documents they vote on. Bad documents are of several kinds, one for each labeller as its chief
+witness; others may see a kind too. Expectation-maximisation over the counts of vote patterns (at most
+3 ** labellers of them, counted over all documents) estimates the kinds' shares and how often each labeller
+that votes is right on good documents and on each kind, and with these the probability that a document of a
+pattern is good. A bounded
+sample of documents, about `SAMPLE_DOCS` of each likely class by a hash of the id, trains a hashed linear
+scorer on these posterior labels, calibrated to the classes' shares of all documents; it then scores every
+document.
 
 Defined results: null text is empty text, on which every labeller abstains, so its posterior is the prior;
-with no rows there is no result; if all documents look alike the posterior alone decides; repeated rows
-get a row each; other columns are ignored.
+equal votes of both kinds are no tie: accuracies decide; with no rows there is no result; if all documents
+look alike the posterior alone decides; repeated rows get a row each, with equal scores for equal texts;
+other columns are ignored. Very long texts are counted and scored whole, in memory of some 60 bytes for each
+of theirs.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ from .textstats import counts
 
 SAMPLE_DOCS = 1500
 #: Documents scored at this probability or more are kept.
-LEAST_GOOD = 0.2
+LEAST_GOOD = 0.5
 
 ABSTAIN, BAD, GOOD = 0, 1, 2
 
@@ -36,26 +42,27 @@ ABSTAIN, BAD, GOOD = 0, 1, 2
 def votes(c: dict[str, np.ndarray]) -> np.ndarray:
     """One column for each labeller, one row for each text.
 
-    Six labellers each know one kind of fault and abstain elsewhere; two overlap with several of them and also vote good."""
-    words, letters = np.maximum(c["n_words"], 1), np.maximum(c["n_upper"] + c["n_lower"], 1)
-    symbols, marks, repeated = c["n_symbols"] / words, c["n_marks"] / words, c["n_repeat_words"] / words
-    upper = np.where(c["n_upper"] + c["n_lower"] >= 20, c["n_upper"] / letters, 0)
-    odd = (c["n_symbols"] + c["n_marks"]) / np.maximum(c["word_chars"], 1)
-    some, many = c["n_words"] > 0, c["n_words"] >= 20
+    Each has a measure of its own (symbols, capitals, repeated windows, repeated lines, exclamation marks,
+    variety of words, length of words, share of ASCII letters), votes bad where it is far off and good where
+    it is as in prose, and abstains in between and where a text is too short for it."""
+    words, chars, letters = np.maximum(c["n_words"], 1), np.maximum(c["word_chars"], 1), c["n_upper"] + c["n_lower"]
+    many = c["n_words"] >= 20
 
-    def vote(bad: np.ndarray, good: np.ndarray | bool = False) -> np.ndarray:
-        return np.where(some & bad, BAD, np.where(some & good, GOOD, ABSTAIN))
+    def vote(can: np.ndarray, bad: np.ndarray, good: np.ndarray) -> np.ndarray:
+        return np.where(can & bad, BAD, np.where(can & good, GOOD, ABSTAIN))
 
+    symbols, upper, repeated, lines = c["n_symbols"] / words, c["n_upper"] / np.maximum(letters, 1), c["n_repeat_words"] / words, c["n_dup_lines"] / np.maximum(c["n_lines"], 1)
+    marks, variety, length, plain = c["n_marks"] / words, c["n_distinct"] / words, chars / words, letters / chars
     return np.stack(
         [
-            vote(symbols >= 0.3),
-            vote(upper >= 0.5),
-            vote(many & (repeated >= 0.5)),
-            vote((c["n_lines"] >= 5) & (c["n_dup_lines"] >= 0.4 * c["n_lines"])),
-            vote(many & (marks >= 0.3)),
-            vote((c["n_words"] >= 50) & (c["n_words"] < 2000) & (c["n_distinct"] <= 0.2 * words)),
-            vote((symbols >= 0.2) | (upper >= 0.4) | many & ((repeated >= 0.5) | (marks >= 0.2)), (symbols <= 0.1) & (upper <= 0.25) & (marks <= 0.1) & (repeated <= 0.4)),
-            vote(many & (odd >= 0.03), odd <= 0.02),
+            vote(c["n_words"] > 0, symbols >= 0.2, symbols <= 0.05),
+            vote(letters >= 20, upper >= 0.4, upper <= 0.2),
+            vote(many, repeated >= 0.5, repeated <= 0.25),
+            vote(c["n_lines"] >= 5, lines >= 0.4, lines <= 0.1),
+            vote(many, marks >= 0.2, marks <= 0.05),
+            vote((c["n_words"] >= 50) & (c["n_words"] < 2000), variety <= 0.2, variety >= 0.4),
+            vote(many, (length < 2.5) | (length > 14), (length >= 3.5) & (length <= 9)),
+            vote(many, plain < 0.6, plain >= 0.8),
         ],
         1,
     ).astype(np.int64)
@@ -65,32 +72,56 @@ LABELLERS = 8
 PLACES = 3 ** np.arange(LABELLERS)
 
 
+#: A labeller that votes calls at most this share of good documents bad; and at least this share of those that it is the chief witness of.
+MOST_WRONG, LEAST_SEEN = 0.02, 0.5
+
+
 @dataclass
 class LabelModel:
-    """prior: share of good documents; right: for bad and good documents, how often each labeller that votes is right."""
+    """shares: of good documents, then of each kind of bad ones; bad: for these, how often each labeller that votes says bad."""
+
+    shares: np.ndarray
+    bad: np.ndarray
 
-    prior: float
-    right: np.ndarray
+    @property
+    def prior(self) -> float:
+        return float(self.shares[0])
+
+    @property
+    def right(self) -> np.ndarray:
+        """For bad and good documents, how often each labeller that votes is right."""
+        return np.stack([self.shares[1:] @ self.bad[1:] / self.shares[1:].sum(), 1 - self.bad[0]])
+
+    def kinds(self, vote: np.ndarray) -> np.ndarray:
+        """For rows of votes, the probability of each kind, good first."""
+        log = np.log(self.shares) + (vote == BAD) @ np.log(self.bad).T + (vote == GOOD) @ np.log(1 - self.bad).T
+        weight = np.exp(log - log.max(1, keepdims=True))
+        return weight / weight.sum(1, keepdims=True)
 
     def posterior(self, vote: np.ndarray) -> np.ndarray:
         """Probability of good for rows of votes."""
-        good = np.log(self.prior) + np.where(vote == GOOD, np.log(self.right[1]), np.where(vote == BAD, np.log(1 - self.right[1]), 0)).sum(1)
-        bad = np.log(1 - self.prior) + np.where(vote == BAD, np.log(self.right[0]), np.where(vote == GOOD, np.log(1 - self.right[0]), 0)).sum(1)
-        return 1 / (1 + np.exp(np.clip(bad - good, -60, 60)))
+        return self.kinds(vote)[:, 0]
+
 
+def estimate(pattern: np.ndarray, count: np.ndarray, rounds: int = 2000, start: tuple[float, float, float] = (0.8, 0.8, 0.01)) -> LabelModel:
+    """Expectation-maximisation over patterns and their counts.
 
-def estimate(pattern: np.ndarray, count: np.ndarray, rounds: int = 200) -> LabelModel:
-    """Expectation-maximisation over patterns and their counts; at first a document is likely bad if several labellers call it bad, and open if one does."""
+    It starts from a share of good documents, from how often a chief witness says bad, and from how often any
+    labeller says so on good documents; on other kinds labellers start half-way between."""
     vote = pattern[:, None] // PLACES % 3
-    model, good = LabelModel(0.5, np.full((2, LABELLERS), 0.5)), np.choose(np.minimum((vote == BAD).sum(1), 2), (0.95, 0.5, 0.1))
+    good, seen, wrong = start
+    own = np.eye(LABELLERS, dtype=bool)
+    shares = np.concatenate(([good], np.full(LABELLERS, (1 - good) / LABELLERS)))
+    model = LabelModel(shares, np.concatenate((np.full((1, LABELLERS), wrong), np.where(own, seen, (seen + wrong) / 2))))
     for _ in range(rounds):
-        prior, right = float(np.clip(((good * count).sum() + 1) / (count.sum() + 2), 0.01, 0.99)), np.empty((2, LABELLERS))
-        for k, (share, side) in enumerate((((1 - good) * count, BAD), (good * count, GOOD))):
-            said = (share[:, None] * (vote != ABSTAIN)).sum(0)
-            right[k] = np.clip(((share[:, None] * (vote == side)).sum(0) + 1) / (said + 2), 0.02, 0.9995)
-        moved = max(abs(prior - model.prior), np.abs(right - model.right).max())
-        model = LabelModel(prior, right)
-        good = model.posterior(vote)
+        weight = model.kinds(vote) * count[:, None]
+        shares = (weight.sum(0) + 1) / (weight.sum() + LABELLERS + 1)
+        said_bad, said = weight.T @ (vote == BAD), weight.T @ (vote != ABSTAIN)
+        bad = np.clip((said_bad + 1) / (said + 2), 5e-4, 0.98)
+        bad[0] = np.minimum(bad[0], MOST_WRONG)
+        bad[1:][own] = np.maximum(bad[1:][own], LEAST_SEEN)
+        moved = max(np.abs(shares - model.shares).max(), np.abs(bad - model.bad).max())
+        model = LabelModel(shares, bad)
         if moved < 1e-7:
             break
     return model
@@ -133,10 +164,11 @@ def fit_scorer(docs: DataFrame, model: LabelModel, found: dict[int, int], sample
                 part = text.slice(low, high - low)
                 p = model.posterior(_patterns(part)[:, None] // PLACES % 3)
                 taken = batch.column(2).slice(low, high - low).to_numpy() < np.where(p >= 0.5, share[1], share[0])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), part, pa.array(p)], names=["doc_id", "text", "target"]).filter(pa.array(taken))
+                weight = 1 / np.where(p >= 0.5, share[1], share[0])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), part, pa.array(p), pa.array(weight)], names=["doc_id", "text", "target", "weight"]).filter(pa.array(taken))
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), chance.alias("chance")).where(F.col("chance") < max(share))
-    return fit_rows(rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text string, target double"))
+    return fit_rows(rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text string, target double, weight double"))
 
 
 def classify(docs: DataFrame) -> DataFrame:
