@@ -13,7 +13,9 @@ the mean number of n-grams in a document over `LEAST_SHARE`, for any size of cor
 
 Defined results: null text, and text without a letter, is `und` with score 0; with nothing learned
 (no rows, or no labelled ones) every text is `und`; null ids are never held out and never learned from;
-repeated rows get a row each; other columns are ignored. Equal scores go to the first language in order.
+repeated rows get a row each; other columns are ignored; an empty table gives no rows. Equal scores go to the
+first language in order, so a text with letters of which no n-gram is known has score 0 and that language.
+Very long texts are scored whole, in memory of some 100 bytes for each of theirs.
 """
 
 from __future__ import annotations
@@ -156,7 +158,8 @@ def scores(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             for i in range(64 * w, min(64 * w + 64, n_langs)):
                 hits[:, i] = np.bincount(owner[mask >> np.uint64(i % 64) & np.uint64(1) > 0], minlength=high - low)
         share = hits / np.maximum(total, 1)[:, None]
-        share = np.clip((share - model.false_rate) / (1 - model.false_rate), 0, 1)
+        # A filter that is full says yes to everything, and tells nothing.
+        share = np.clip((share - model.false_rate) / np.maximum(1 - model.false_rate, 1e-9), 0, 1)
         top = share.argmax(1)
         lettered = total > 0
         best[low:high] = np.where(lettered, top, -1)
