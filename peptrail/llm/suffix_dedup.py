@@ -6,19 +6,26 @@ least-hashed `GRAM`-byte strings: equal windows have equal anchors at the same p
 for a run of windows, about seventeen of them.
 
 1. Texts are packed into units of about a megabyte, compressed and written down once.
-2. Each unit sends, for each distinct anchor with its whole context (all bytes of its windows), two hashes
-   and the least document to the anchor's bucket. Copies in a unit have become one by then.
+2. Each unit sends, for each distinct anchor with its whole context (all bytes of its windows), a hash of
+   the anchor, a name of the context (96 bits) and the least document to the anchor's bucket. Copies in a
+   unit have become one by then.
 3. A bucket answers: contexts that a smaller document has in full are covered; anchors with several
    contexts need a finer look, in the units that hold the least document of each context.
 4. Those units send the contexts' bytes to the bucket. There all suffixes are put in buckets by their first
-   eight bytes, and the buckets are refined by sorting on the bucket numbers at later offsets (8, 16, 32,
-   ...), each round's numbers serving the next, until equal numbers mean equal windows; suffixes alone in
-   a bucket drop out. A window is covered if its bucket holds one of a smaller document.
+   eight bytes; a suffix's pointer is the place where its bucket ends. Buckets of several suffixes are refined
+   by sorting on the pointers at later offsets (8, 16, 32, ...), which that round rewrites in place, so that
+   the next one sorts on refined pointers, until equal pointers mean equal windows; suffixes alone in a bucket
+   drop out. A window is covered if its bucket holds one of a smaller document.
 5. Every unit joins its answers, repeats those of a context at its other places in the unit, and cuts its
    texts.
 
+Copies of a whole context are thus known by its name beside the anchor's hash, some 140 bits, as first buckets
+of long strings; their bytes are not compared.
+
 Defined results: null text is empty text; null ids count as larger than all others; documents of equal
-ids never cover each other; other columns are ignored; an empty table gives no rows.
+ids never cover each other; repeated rows get a row each; other columns are ignored; an empty table gives no
+rows. A very long text is a unit of its own, held in one task with some 100 bytes for each of its bytes. An
+anchor of very many contexts has their bytes in one task, those of different contexts once.
 """
 
 from __future__ import annotations
@@ -36,7 +43,7 @@ from .common import PIECE_BYTES, bytes_of, cut, cut_by, free, mixed, pieces_of,
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text that one bucket's anchors stand for.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 3 << 20
 NO_ID = np.iinfo(np.int64).max
 
 BASE = 0x9E3779B97F4A7C15
@@ -50,7 +57,7 @@ class Unit:
         self.data, self.at, self.ids, self.length = data, at, ids, length
         empty = np.zeros(0, np.int64)
         self.anchor = self.low = self.high = self.doc = self.left = self.right = empty
-        self.group, self.context = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.group, self.context, self.context_too = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
         n, width = len(data), length - GRAM + 1
         if n < length:
             return
@@ -82,14 +89,18 @@ class Unit:
             inside = (total[self.right] - total[self.left]) * back[self.left]
             shape = (self.anchor - self.left).astype(np.uint64) * np.uint64(256) + (self.right - self.anchor).astype(np.uint64)
             self.context = mixed(inside + mixed(shape + np.uint64(7)))
+            # The strings that lie end to end in the context, the last one set back: no algebra over bytes.
+            more = shape
+            for k in range(0, 2 * length, GRAM):
+                more = mixed(more * np.uint64(5) + gram[np.minimum(self.left + k, self.right - GRAM)])
+            self.context_too = (more >> np.uint64(32)).astype(np.uint32)
             self.group = mixed(gram[self.anchor] + np.uint64(0x5851F42D4C957F2D))
 
     def records(self) -> tuple[np.ndarray, np.ndarray]:
         """One anchor of the least document for each distinct (group, context), in ascending order; and the number of its record for each anchor."""
         order = np.lexsort((self.ids[self.doc], self.context, self.group))
-        g, c = self.group[order], self.context[order]
         new = np.ones(len(order), bool)
-        new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+        new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in (self.group, self.context, self.context_too)])
         number = np.empty(len(order), np.int64)
         number[order] = np.cumsum(new) - 1
         return order[new], number
@@ -154,7 +165,7 @@ def _unpacked(raw: bytes) -> bytes:
 
 
 def _records(units: DataFrame, buckets: int, length: int) -> DataFrame:
-    """What each unit sends to each bucket: group, context and id of its records there, in order."""
+    """What each unit sends to each bucket: group, context (both its words) and id of its records there, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,13 +178,13 @@ def _records(units: DataFrame, buckets: int, length: int) -> DataFrame:
                 there, begin = np.unique(bucket, return_index=True)
                 end = np.append(begin[1:], len(first))
                 group = (unit.group[first] & np.uint64(0xFFFFFFFF)).astype("<u4")
-                columns = (group, unit.context[first], unit.ids[unit.doc[first]])
+                columns = (group, unit.context[first], unit.context_too[first], unit.ids[unit.doc[first]])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(there, pa.int32()), pa.array([number] * len(there), pa.int64()), pa.array(begin.astype(np.int64))] + [pa.array([_short(x[a:b]) for a, b in zip(begin, end, strict=True)], pa.binary()) for x in columns],
-                    names=["bucket", "unit", "base", "groups", "contexts", "least"],
+                    names=["bucket", "unit", "base", "groups", "contexts", "contexts_too", "least"],
                 )
 
-    return units.mapInArrow(run, "bucket int, unit bigint, base bigint, groups binary, contexts binary, least binary")
+    return units.mapInArrow(run, "bucket int, unit bigint, base bigint, groups binary, contexts binary, contexts_too binary, least binary")
 
 
 def _short(x: np.ndarray) -> bytes:
@@ -201,7 +212,7 @@ def _answers(records: DataFrame) -> DataFrame:
         units, bases = table.column("unit").to_pylist(), table.column("base").to_pylist()
         groups = [np.frombuffer(x, "<u4") for x in table.column("groups").to_pylist()]
         sizes = [len(x) for x in groups]
-        group, context = np.concatenate(groups), np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("contexts").to_pylist()])
+        group, context, too = np.concatenate(groups), *(np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]) for name, kind in (("contexts", np.uint64), ("contexts_too", np.uint32)))
         least = np.concatenate([_ids(x, n) for x, n in zip(table.column("least").to_pylist(), sizes, strict=True)])
         order = np.argsort(group, kind="stable")
         g = group[order]
@@ -210,13 +221,13 @@ def _answers(records: DataFrame) -> DataFrame:
         several = np.diff(np.append(np.flatnonzero(new), len(g)))[np.cumsum(new) - 1] > 1
         order = order[several]  # the rest are alone in their group
         order = order[np.lexsort((least[order], context[order], group[order]))]
-        g, c, d = group[order], context[order], least[order]
+        g, c, t, d = group[order], context[order], too[order], least[order]
         covered, fine = np.zeros(len(group), bool), np.zeros(len(group), bool)
         if len(order):
             new_g = np.ones(len(g), bool)
             new_g[1:] = g[1:] != g[:-1]
             new_c = new_g.copy()
-            new_c[1:] |= c[1:] != c[:-1]
+            new_c[1:] |= (c[1:] != c[:-1]) | (t[1:] != t[:-1])
             at_c = np.cumsum(new_c) - 1
             first_d = d[new_c]
             covered[order] = d > first_d[at_c]
@@ -289,41 +300,50 @@ def _looks(units: DataFrame, answers: DataFrame, buckets: int, length: int) -> D
     return units.join(told, "unit", "left").mapInArrow(run, "bucket int, unit bigint, facts binary, bytes binary")
 
 
-def _numbered(key: np.ndarray) -> np.ndarray:
-    """Bucket numbers: dense ranks of keys."""
-    return np.unique(key, return_inverse=True)[1].astype(np.int64)
-
-
 def refine(data: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Sort windows of `length` bytes by bucket-pointer refinement: those that are not alone, and equal numbers for equal windows.
 
-    data must reach at least 8 bytes past every window; length is 8 or more."""
-    first = np.zeros(len(data) - 7, np.uint64)
+    data must reach at least 8 bytes past every window; length is 8 or more. A suffix's pointer is the place
+    where its bucket ends; suffixes of one bucket share `depth` bytes, and those of different buckets do not.
+    A round sorts the buckets that hold several suffixes on the pointers `step` bytes on, and writes the new
+    buckets' ends in place. Suffixes that no later round looks up are left out of it."""
+    n, depth, steps = len(data) - 7, 8, []
+    while depth < length:
+        steps.append(min(depth, length - depth))
+        depth += steps[-1]
+    wanted = [np.zeros(n, bool)]
+    wanted[0][start] = True
+    for step in reversed(steps):
+        before = wanted[0].copy()
+        before[step:] |= wanted[0][:-step]
+        wanted.insert(0, before)
+    alive = np.flatnonzero(wanted[0])
+    first = np.zeros(n, np.uint64)
     for k in range(8):
-        first = first << np.uint64(8) | data[k : k + len(first)].astype(np.uint64)
-    # pointers[s][p]: bucket of the string of s bytes at p, for the spans that later rounds look up.
-    pointers, span = {8: _numbered(first)}, 8
-    while 2 * span <= length // 2:
-        before = pointers[span]
-        n = len(before) - span
-        pointers[2 * span] = _numbered(before[:n] * (int(before.max()) + 1) + before[span:])
-        span *= 2
-    bucket, done = pointers[span][start], span
-    while done < length:
-        count = np.bincount(bucket)
-        some = count[bucket] > 1
-        start, bucket = start[some], bucket[some]
-        if not len(start):
+        first = first << np.uint64(8) | data[k : k + n].astype(np.uint64)
+    first = first[alive]
+    order = np.argsort(first)
+    alive, first = alive[order], first[order]
+    key, place, pointer = first, np.arange(len(alive)), np.zeros(n, np.int64)
+    for step, after in zip([*steps, 0], [*wanted[1:], None], strict=True):
+        # Suffixes in order, each with its place; a bucket ends before the next one begins.
+        new = np.ones(len(alive), bool)
+        new[1:] = key[1:] != key[:-1]
+        ends = np.append(np.flatnonzero(new)[1:], len(alive)) - 1
+        bucket = np.cumsum(new) - 1
+        pointer[alive] = place[ends][bucket]
+        if not step:
+            break
+        several = (np.diff(ends, prepend=-1)[bucket] > 1) & after[alive]
+        alive, place = alive[several], place[several]
+        if not len(alive):
             break
-        # The longest known span, set back where it would pass the end.
-        step = next(s for s in sorted(pointers, reverse=True) if s <= length - done or s == 8)
-        later = pointers[step][start + min(done, length - step)]
-        bucket = _numbered(bucket * (int(later.max()) + 1) + later)
-        done = min(done + step, length)
-    if len(start):
-        some = np.bincount(bucket)[bucket] > 1
-        start, bucket = start[some], bucket[some]
-    return start, bucket
+        key = pointer[alive] * len(first) + pointer[alive + step]
+        order = np.argsort(key, kind="stable")  # buckets stay where they are, so places do
+        alive, key = alive[order], key[order]
+    _, number, many = np.unique(pointer[start], return_inverse=True, return_counts=True)
+    some = many[number] > 1
+    return start[some], number[some]
 
 
 def _fine(looks: DataFrame, length: int) -> DataFrame:

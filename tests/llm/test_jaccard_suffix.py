@@ -210,7 +210,25 @@ def test_repeats_at_every_place(spark):
     assert sorted(x.n_removed for x in found.collect()) == [0, 110, 110, 110, 110]
 
 
-@pytest.mark.parametrize("length", [32, 50, 77])
+def test_anchor_of_many_contexts(spark):
+    """One string that 20,000 documents hold between bytes of their own, and in a third of them within a longer copy."""
+    r = random.Random(12)
+    other = lambda n: "".join(r.choice("0123456789ABCDEF") for _ in range(n))
+    hot = "the same old string"
+    rows = [(k, other(30) + hot + other(30) if k % 3 else "<" + hot + f"{k % 7}" * 40) for k in range(20_000)]
+    found = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {x.doc_id: tuple(x)[1:] for x in found.collect()} == brute_repeats(rows)
+
+
+def test_patterns_of_two_letters(spark):
+    """Thue-Morse words, their complements and powers of two letters, whose polynomial hashes meet."""
+    texts = thue_morse(6, 7, 9)
+    rows = [(k, x) for k, x in enumerate([*texts, *(x[::-1] for x in texts), "ab" * 100, "ba" * 80, *(x[7:] + "c" for x in texts)])]
+    found = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {x.doc_id: tuple(x)[1:] for x in found.collect()} == brute_repeats(rows)
+
+
+@pytest.mark.parametrize("length", [8, 20, 32, 50, 77])
 def test_refinement(length):
     r = np.random.default_rng(length)
     data = np.concatenate([r.integers(0, 2, 4000), np.tile(r.integers(0, 2, 90), 4)]).astype(np.uint8)
