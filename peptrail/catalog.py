@@ -11,7 +11,7 @@ from .functions import numeric, sequence
 from .functions.residues import ACID, ALPHABET, BASE, C_TERMINAL, HOPP_WOODS, KYTE_DOOLITTLE, MOTIFS, N_TERMINAL, TABLE_CHARGE
 from .operators import curate, features, indexing, metrics, pairs, ranking, scaling, splits, statistics
 from .plans import models, screen, train
-from .sources import candidates, readers
+from .sources import candidates, readers, sinks
 
 CATEGORY, SITE = "en", "src1"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -255,6 +255,40 @@ def fill_and_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd.select("row_id", F.when(F.abs(filled) != float("inf"), filled).alias("filled"), numeric.cleaned(F.col("x")).alias("cleaned"))
 
 
+_NAMES = {c: k for k, c in enumerate((*sequence.REGISTRY, *sequence.INPUT_ONLY))}
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peptides with a column for every descriptor, as an input table may have them."""
+    return peptides(spark, sf_dir).select("row_id", *((F.col("row_id") * 0.5 + k).alias(c) for c, k in _NAMES.items()))
+
+
+@query("SELECT doc_id AS row_id, " + ", ".join(r(f"doc_id * 0.5e0 + {k}", c) for c, k in _NAMES.items()) + " FROM documents")
+def descriptors_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.descriptors(_measured(spark, sf_dir), "all")
+
+
+@query("SELECT doc_id AS row_id, " + ", ".join(r(f"doc_id * 0.5e0 + {_NAMES[c]}", c) for c in sequence.REGISTRY) + " FROM documents")
+def descriptors_calculable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.descriptors(_measured(spark, sf_dir), "calculable")
+
+
+@query(f"WITH {PEPTIDES} SELECT row_id, {r('CASE WHEN log2(mic) = log2(0.01e0) THEN 10 ELSE 1 END', 'weight')} FROM peptides")
+def sample_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return peptides(spark, sf_dir).select("row_id", numeric.sample_weight(F.log2("mic")).alias("weight"))
+
+
+_NAMED = list(readers.LITERAL_ROWS)[::2]
+
+
+@query("SELECT seq, place FROM (" + " UNION ALL ".join(f"SELECT '{s}' AS seq, k + 1 AS place FROM range({n}) t(k)" for s, n in readers.LITERAL_ROWS.items() if s in _NAMED) + ") WHERE place <= 3")
+def named_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed sequences among the literal rows, the first three of each."""
+    few = spark.createDataFrame(list(readers.LITERAL_ROWS.items()), "seq string, n int")
+    rows = few.select("seq", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("row_id"))
+    return curate.named(rows, _NAMED, 3).select("seq", "place")
+
+
 # --- joins and vectors -------------------------------------------------------------------------------------
 
 
@@ -391,6 +425,71 @@ def final_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(place.alias("place"), "row_id", "mic", "score")
 
 
+@query(f"WITH {SCORES} SELECT row_id, score FROM ranked WHERE rank = 1")
+def best_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(spark, sf_dir, 1).select("row_id", "score")
+
+
+# --- sources and sinks, by round trip ------------------------------------------------------------------------
+
+
+@query(f"WITH {PEPTIDES} SELECT category, seq, target_site, {r('mic', 'mic')} FROM peptides")
+def assay_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An assay file with its own header names, written and read back."""
+    header, path = {v: k for k, v in readers.ASSAY_HEADER.items()}, sinks.scratch(spark, "assay")
+    columns = ("category", "seq", "target_site", "mic")
+    sinks.write_csv(peptides(spark, sf_dir).select(*(F.col(c).alias(header[c]) for c in columns)), path)
+    return readers.assay(spark, path).select(*columns)
+
+
+@query(f"WITH {PEPTIDES} SELECT seq FROM peptides")
+def lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = sinks.scratch(spark, "lines")
+    sinks.write_lines(peptides(spark, sf_dir), "seq", path)
+    return readers.sequences(spark, path).select("seq")
+
+
+@query(f"WITH {PEPTIDES} SELECT p.seq, {r('l.quality', 'quality')}, {r('l.toxic', 'toxic')} FROM peptides p JOIN labels l ON l.doc_id = p.row_id WHERE p.seq <> ''")
+def structure_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = sinks.scratch(spark, "structure")
+    known = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "row_id").join(peptides(spark, sf_dir).select("row_id", "seq"), "row_id")
+    sinks.write_csv(known.where("seq != ''").select("seq", "quality", "toxic"), path)
+    return readers.structure_features(spark, path, ["quality", "toxic"]).drop("src_ord")
+
+
+@query(f"WITH {SCORES}, {PEPTIDES} SELECT seq AS \"Seqs\", score FROM ranked JOIN peptides USING (row_id) WHERE rank <= 1000")
+def ranked_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = sinks.scratch(spark, "ranked")
+    sinks.ranked_csv(_ranked(spark, sf_dir).join(peptides(spark, sf_dir).select("row_id", "seq"), "row_id").orderBy("rank"), path)
+    return spark.read.schema("Seqs string, score bigint").option("header", True).csv(path)
+
+
+@query(f"WITH {SCORES}, {PEPTIDES} SELECT seq AS \"Seqs\", {r('mic', '"MIC"')}, score FROM ranked JOIN peptides USING (row_id) WHERE rank <= 1000")
+def final_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = sinks.scratch(spark, "final")
+    best = _ranked(spark, sf_dir).join(peptides(spark, sf_dir).select("row_id", "seq", "mic"), "row_id")
+    sinks.final_csv(ranking.ordered_by_value(best), path)
+    return spark.read.schema("Seqs string, MIC double, score bigint").option("header", True).csv(path)
+
+
+@query(f"WITH {PEPTIDES}, e AS (SELECT seq, embedding FROM embeddings JOIN peptides ON row_id = vec_id QUALIFY row_number() OVER (PARTITION BY seq ORDER BY vec_id) = 1) SELECT seq, len(embedding) AS width, {r('embedding[1]', 'first')} FROM e")
+def embedding_cache_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache is written in two appends and read back."""
+    path = sinks.scratch(spark, "cache")
+    rows = embeddings(spark, sf_dir).join(peptides(spark, sf_dir).select("row_id", "seq"), "row_id")
+    once = rows.groupBy("seq").agg(F.min_by("embedding", "row_id").alias("embedding"), F.min("row_id").alias("row_id"))
+    for part in (once.where("row_id % 2 = 0"), once.where("row_id % 2 = 1")):
+        sinks.append_cache(path, part)
+    return readers.embedding_cache(spark, path).select("seq", F.size("embedding").alias("width"), F.get("embedding", F.lit(0)).alias("first"))
+
+
+@query(f"WITH {CELLS} SELECT label::BIGINT AS label, {r('f1', 'f1')}, support::BIGINT AS support FROM report")
+def metrics_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = sinks.scratch(spark, "metrics")
+    sinks.write_json(metrics.class_report(evaluation(spark, sf_dir)), path)
+    return spark.read.schema("label bigint, f1 double, support bigint").json(path)
+
+
 # --- distributions and scaling -----------------------------------------------------------------------------
 
 
@@ -451,7 +550,16 @@ def kfold_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.kfold(peptides(spark, sf_dir)).select("row_id", "fold")
 
 
-@query()
+_QUINTILE = f"""q AS (SELECT list_sort(list_distinct(quantile_cont(mic, [0, 0.2, 0.4, 0.6, 0.8, 1]))) AS e FROM peptides), b AS (SELECT row_id, len(list_filter(e[2:len(e) - 1], lambda v: v < mic))::BIGINT AS bin FROM peptides, q WHERE mic IS NOT NULL),
+ p AS (SELECT row_id, bin, row_number() OVER (PARTITION BY bin ORDER BY {sql_chance('row_id', 42)}, row_id) AS k, count(*) OVER (PARTITION BY bin) AS n FROM b)"""
+
+
+@query(f"WITH {PEPTIDES}, {_QUINTILE} SELECT row_id, bin, CASE WHEN k <= floor(n * 0.1e0 + 0.5e0) THEN 'test' ELSE 'train' END AS part FROM p")
+def split_quintiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.quantile_split(peptides(spark, sf_dir), "mic").select("row_id", "bin", "part")
+
+
+@query(f"WITH {PAIRS} SELECT ordinal, i, j FROM pairs ORDER BY {sql_chance('ordinal', 42)}, ordinal LIMIT 5000")
 def sample_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.sampled_pairs(numbered(spark, sf_dir).select("i", "label"), ["label"], 5000).select("ordinal", "i", "j")
 

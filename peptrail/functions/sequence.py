@@ -137,14 +137,18 @@ def register(spark) -> None:
     def mean(table: dict[str, float]) -> str:
         return "(" + " + ".join(f"{count(r)} * {v}D" for r, v in table.items()) + ") / nullif(length(seq), 0)"
 
-    ph = 7.0
-    acid = "".join(f" - {count(r)} / (1 + pow(10D, {k - ph}D))" for r, k in ACID.items())
-    base = "".join(f" + {count(r)} / (1 + pow(10D, {ph - k}D))" for r, k in BASE.items())
+    def net_charge(ph: str) -> str:
+        acid = "".join(f" - {count(r)} / (1 + pow(10D, {k}D - {ph}))" for r, k in ACID.items())
+        base = "".join(f" + {count(r)} / (1 + pow(10D, {ph} - {k}D))" for r, k in BASE.items())
+        return f"1 / (1 + pow(10D, {ph} - {N_TERMINAL}D)) - 1 / (1 + pow(10D, {C_TERMINAL}D - {ph})){acid}{base}"
+
     bodies = {
         "hydrophobicity": f"0D - {mean(KYTE_DOOLITTLE)}",
         "penetration_depth": mean(KYTE_DOOLITTLE),
         "amphipathic_index": f"0D - {mean(KYTE_DOOLITTLE)}",
-        "net_charge": f"1 / (1 + pow(10D, {ph - N_TERMINAL}D)) - 1 / (1 + pow(10D, {C_TERMINAL - ph}D)){acid}{base}",
+        "net_charge": net_charge("7D"),
+        # The first step of the grid under the tolerance, as in isoelectric_index; null if there is none.
+        "isoelectric_point": f"get(filter(sequence(0, 1400), k -> abs({net_charge('(k / 100D)')}) < 0.01D), 0) / 100D",
     }
     for name, body in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(seq STRING) RETURNS DOUBLE RETURN {body}")

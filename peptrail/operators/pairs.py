@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .splits import chance
+
 CAP, BATCH = 10_000_000, 10_000
 
 
@@ -35,21 +37,27 @@ def pair_index(spark: SparkSession, items: int, cap: int | None = CAP) -> DataFr
     return rows.select("ordinal", "i", (F.col("i") + 1 + o - first(F.col("i"))).alias("j"))
 
 
+def _fetched(index: DataFrame, items: DataFrame, columns: list[str]) -> DataFrame:
+    left = items.select("i", *(F.col(c).alias(f"{c}_i") for c in columns))
+    right = items.select(F.col("i").alias("j"), *(F.col(c).alias(f"{c}_j") for c in columns))
+    return index.join(left, "i").join(right, "j")
+
+
 def paired(items: DataFrame, columns: list[str], cap: int | None = CAP, n: int | None = None) -> DataFrame:
     """ordinal, i, j and each column of both sides (suffixes _i, _j) of items numbered i from 0."""
     n = items.count() if n is None else n
-    left = items.select("i", *(F.col(c).alias(f"{c}_i") for c in columns))
-    right = items.select(F.col("i").alias("j"), *(F.col(c).alias(f"{c}_j") for c in columns))
-    return pair_index(items.sparkSession, n, cap).join(left, "i").join(right, "j")
+    return _fetched(pair_index(items.sparkSession, n, cap), items, columns)
 
 
 def sampled_pairs(items: DataFrame, columns: list[str], n: int, seed: int = 42) -> DataFrame:
-    """As many pairs as asked for out of all, chosen by a seeded hash of their number; all when there are fewer."""
-    whole = paired(items, columns, None)
-    total = pair_count(items.count())
-    if n >= total:
-        return whole
-    return whole.orderBy(F.xxhash64(F.lit(seed), "ordinal"), "ordinal").limit(n)
+    """As many pairs as asked for out of all, chosen by a seeded hash of their number; all when there are fewer.
+
+    Numbers are chosen first, and only theirs are decoded and fetched."""
+    count = items.count()
+    index = pair_index(items.sparkSession, count, None)
+    if n < pair_count(count):
+        index = index.orderBy(chance(F.col("ordinal"), seed), "ordinal").limit(n)
+    return _fetched(index, items, columns)
 
 
 def tournament(pairs: DataFrame, prediction: str = "prediction", prefer: str = "faithful") -> DataFrame:

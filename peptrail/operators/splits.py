@@ -42,6 +42,14 @@ def stratified_split(df: DataFrame, stratum: str, test: float = 0.2, seed: int =
     return ranked.select(*df.columns, F.when(test_row, "test").otherwise("train").alias("part"))
 
 
+def quantile_split(df: DataFrame, column: str, test: float = 0.1, q: int = 5, seed: int = 42, key: str = "row_id") -> DataFrame:
+    """Add bin (of quantiles of a numeric column) and part, of which each bin gives its share; rows without a value are left out."""
+    from .statistics import quantile_bins
+
+    known = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")))
+    return stratified_split(quantile_bins(known, column, q), "bin", test, seed, key)
+
+
 def kfold(df: DataFrame, folds: int = 5, seed: int = 42, key: str = "row_id") -> DataFrame:
     """Add fold, from 0."""
     return df.withColumn("fold", F.pmod(chance(F.col(key), seed), F.lit(folds)).cast("int"))

@@ -55,3 +55,26 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(60)
     found = spark.read.parquet(f"{tmp_path}/out").collect()
     assert [r.seq for r in found] == ["LRLLRLRLRLLRLR"] and round(found[0].charge, 5) == 5.99009
+
+
+def test_stamped_reports_and_snapshots(spark, tmp_path):
+    from datetime import datetime
+
+    at = datetime(2024, 1, 31, 23, 59, 58)
+    df = spark.createDataFrame([(1, 0.5), (0, 0.25)], "label int, f1 double")
+    path = sinks.report({"classes": df, "again": df}, str(tmp_path), "metrics", at)
+    assert path.endswith("/metrics_20240131_235958")
+    lines = [r.value for r in spark.read.text(path).collect()]
+    assert lines == ["# classes", "label\tf1", "0\t0.2500", "1\t0.5000", "# again", "label\tf1", "0\t0.2500", "1\t0.5000"]
+    assert spark.read.option("header", True).csv(sinks.snapshot(df, str(tmp_path), "curated", at)).count() == 2
+
+
+def test_sequence_functions_in_sql(spark):
+    from pyspark.sql import functions as F
+
+    from peptrail.functions import sequence
+
+    sequence.register(spark)
+    rows = spark.createDataFrame([("G",), ("K",), ("DDDD",), ("LRLLRLRLRLLRLR",), ("KKKKKKKKKKKKKK",)], "seq string")
+    found = rows.select("seq", F.expr("isoelectric_point(seq)").alias("x"), sequence.isoelectric_point(F.col("seq")).alias("y"), F.expr("net_charge(seq)").alias("c"), sequence.charge(F.col("seq")).alias("d")).collect()
+    assert all(r.x == r.y and abs(r.c - r.d) < 1e-9 for r in found) and found[0].x == 4.0 and found[-1].x is None
