@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free
 
 
 #: A node of more edges than this, and than a share of all edges, is met by a broadcast of at most 2 * MOST_HOT rows.
@@ -50,6 +50,7 @@ def components(edges: DataFrame) -> DataFrame:
     before, many = None, links.count()
     while True:
         links = cut(_small_star(_large_star(links, many), many))
+        free(links.sparkSession)  # the step's shuffles, and the edges before it
         many, *sums = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 40)))).first()
         if (many, sums) == before or not many:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
