@@ -15,7 +15,7 @@ from peptrail.llm.common import new_folder, read, unused, with_key
 #: A document whose best language explains fewer of its n-grams than this is no prose in a learned language.
 LEAST_LANGUAGE_SCORE = 0.2
 
-#: Language scores, hashing and bootstrapped spans have no SQL form; tests compare each stage with brute force.
+#: Language scores, hashing and bootstrapped spans have no SQL form; tests/llm compares operators with brute force, and checks the chain's columns, counts and a few texts.
 ORACLE_SQL = None
 
 
