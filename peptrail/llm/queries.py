@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, imatch, jaccard, langid, oracles, packing, pii, quality_classifier, quality_rules, suffix_dedup, token_output
+from . import bpe, divergence, imatch, jaccard, langid, merkle, oracles, packing, pii, quality_classifier, quality_rules, suffix_dedup, token_output, warc
 from .common import new_folder, read
 
 
@@ -58,6 +58,27 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = read(spark, sf_dir, "documents"), new_folder(spark, "manifest")
+    spoilt = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    tampered = F.when(spoilt, merkle.leaf({"text": F.replace(F.col("text"), F.lit("\n"), F.lit(""))}))
+    steps = merkle.write(docs, path, {"tampered": tampered})
+    rows = merkle.proofs(spark, path, steps)
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof"))
+    rows = rows.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def op13_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "warc")
+    warc.write(read(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "intact")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -32,4 +32,4 @@ def test_columns(spark, sf_dir, name):
 
 def test_one_query_for_each_operator():
     names = list(queries.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
