@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import numeric, sequence
 from .functions.residues import ACID, ALPHABET, BASE, C_TERMINAL, HOPP_WOODS, KYTE_DOOLITTLE, MOTIFS, N_TERMINAL, TABLE_CHARGE
 from .operators import curate, features, indexing, metrics, pairs, ranking, scaling, splits, statistics
-from .plans import models, screen, train
+from .plans import models, screen, search, stages, train
 from .sources import candidates, readers, sinks
 
 CATEGORY, SITE = "en", "src1"
@@ -523,6 +525,20 @@ def robust_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scaled(matrix, scaling.robust_fit(matrix))
 
 
+@query(f"""WITH {_LONG}, f AS (SELECT place, avg(x) AS c, stddev_pop(x) AS s, quantile_cont(x, 0.5) AS m, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS q FROM long GROUP BY place)
+ SELECT row_id, place, {r('(x - c) / CASE WHEN s = 0 THEN 1 ELSE s END', 'standard')}, {r('(x - m) / CASE WHEN q = 0 THEN 1 ELSE q END', 'robust')} FROM long JOIN f USING (place)""")
+def scaler_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both scalers as stages of a saved and loaded pipeline."""
+    matrix = embeddings(spark, sf_dir).select("row_id", F.col("embedding").alias("features"))
+    out = matrix
+    for kind in ("standard", "robust"):
+        path = sinks.scratch(spark, kind)
+        models.save(PipelineModel([stages.ExactScaler(kind=kind, outputCol=kind).fit(matrix)]), path)
+        out = models.load(path).transform(out)
+    both = F.arrays_zip(vector_to_array("standard").alias("standard"), vector_to_array("robust").alias("robust"))
+    return out.select("row_id", F.posexplode(both).alias("place", "x")).select("row_id", "place", "x.*")
+
+
 # --- samples and splits ------------------------------------------------------------------------------------
 
 
@@ -599,7 +615,7 @@ def regression_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_GUESS}, w AS (SELECT *, CASE WHEN label <= 1 THEN 10e0 ELSE 1e0 END AS weight FROM e) SELECT {r('sum(weight * (label - prediction) * (label - prediction)) / sum(weight)', 'wmse')}, {r('sum(weight * abs(label - prediction)) / sum(weight)', 'wmae')} FROM w")
 def weighted_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _guessed(spark, sf_dir).withColumn("weight", F.when(F.col("label") <= 1, 10.0).otherwise(1.0))
-    return metrics.weighted_errors(rows)
+    return metrics.weighted_errors(rows).select("wmse", "wmae")
 
 
 @query(f"WITH f AS (SELECT {sql_chance('event_id', 42)} % 5 AS fold, value FROM events), m AS (SELECT fold, avg(value) AS value FROM f GROUP BY fold) SELECT 'mean_value' AS metric, {r('avg(value)', 'mean')}, {r('stddev_samp(value)', 'std')} FROM m")
@@ -608,9 +624,20 @@ def cv_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.stability(folds.withColumn("metric", F.lit("mean_value")))
 
 
+@query(f"""WITH {_GUESS}, w AS (SELECT *, CASE WHEN label <= 1 THEN 10e0 ELSE 1e0 END AS weight, {sql_chance('event_id', 42)} % 5 AS fold FROM e),
+ s AS (SELECT fold, sum(weight * (label - prediction) * (label - prediction)) / sum(weight) AS wmse, sum(weight * abs(label - prediction)) / sum(weight) AS wmae,
+ sum(weight * label * label) / sum(weight) - pow(sum(weight * label) / sum(weight), 2) AS spread FROM w GROUP BY fold) SELECT fold, {r('wmse', 'wmse')}, {r('wmae', 'wmae')}, {r('sqrt(wmse)', 'wrmse')}, {r('1 - wmse / spread', 'wr2')} FROM s""")
+def weighted_errors_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a search's evaluator gives for each fold."""
+    rows = _guessed(spark, sf_dir).withColumn("weight", F.when(F.col("label") <= 1, 10.0).otherwise(1.0))
+    folds, names = splits.kfold(rows, key="event_id"), ("wmse", "wmae", "wrmse", "wr2")
+    found = [(k, *(stages.WeightedError(metricName=m).evaluate(folds.where(F.col("fold") == k)) for m in names)) for k in range(5)]
+    return spark.createDataFrame(found, "fold int, " + ", ".join(f"{m} double" for m in names))
+
+
 # --- models ------------------------------------------------------------------------------------------------
 
-SMALL = models.Settings(rounds=3, depth=3, least_rows=5)
+SMALL = models.Settings(rounds=3, depth=3, least_rows=5, scaler="standard")
 
 
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -644,6 +671,24 @@ def importance_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.importances(models.fit_regressor(rows, SMALL), spark)
 
 
+@query()
+def comparator_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rounds folds ask for, and the mean over folds (fold null), of at most 40."""
+    rows = _matrix(spark, sf_dir).withColumn("label", (F.col("label") % 3).cast("double"))
+    settings = models.Settings(rounds=40, depth=3, least_rows=5, rate=0.3, columns=0.8, patience=3, folds=3, scaler="standard")
+    return search.best_rounds(search.rounds_by_folds(rows, settings)[1], settings.patience)
+
+
+@query()
+def regressor_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 32 candidates of a grid over the five tree settings, with the means of their weighted errors over five folds."""
+    rows = _matrix(spark, sf_dir).withColumn("label", F.col("label").cast("double"))
+    rows = splits.random_split(rows.withColumn("weight", F.when(F.col("label") == 0, 10.0).otherwise(1.0)))
+    grid = {"rounds": [4, 8], "leaves": [4, 8], "depth": [2, 5], "least_rows": [1, 3], "rate": [0.1, 0.3]}
+    settings = models.Settings(grid=grid, subsample=1.0, patience=3, scaler="robust")
+    return search.regressor_summary(search.regressor_table(rows.where("part = 'train'"), rows.where("part = 'test'"), settings))
+
+
 @query()
 def screening_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train the three models on peptides with embeddings, then screen those peptides."""
