@@ -575,11 +575,34 @@ def split_quintiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.quantile_split(peptides(spark, sf_dir), "mic").select("row_id", "bin", "part")
 
 
-@query(f"WITH {PAIRS} SELECT ordinal, i, j FROM pairs ORDER BY {sql_chance('ordinal', 42)}, ordinal LIMIT 5000")
+def sql_permuted(rows: str, seed: int = 42) -> str:
+    """CTEs from one of (id, high, low) to p (ordinal), step by step; materialised, as steps repeat the one before."""
+    out = [f"r0 AS MATERIALIZED (SELECT high, low, id // low AS a, id % low AS b FROM {rows})"]
+    for k in range(splits.ROUNDS):
+        of, to, size = ("a", "b", "low") if k % 2 else ("b", "a", "high")
+        out.append(f"u{k} AS MATERIALIZED (SELECT *, {sql_chance(of, seed + 2 * k)} AS u FROM r{k})")
+        out.append(f"r{k + 1} AS MATERIALIZED (SELECT high, low, {of}, ({to} + {sql_chance(f'(u * u % {splits.MODULUS} + {of})', seed + 2 * k + 1)}) % {size} AS {to} FROM u{k})")
+    return ", ".join(out) + f", p AS MATERIALIZED (SELECT a * low + b AS ordinal FROM r{splits.ROUNDS})"
+
+
+_FACTORS = "CASE WHEN n % 2 = 0 THEN n // 2 ELSE n END AS high, CASE WHEN n % 2 = 0 THEN n - 1 ELSE (n - 1) // 2 END AS low"
+
+
+@query(f"WITH {PAIRS}, size AS (SELECT count(*) AS n FROM items), ids AS (SELECT id, {_FACTORS} FROM size, range(5000) t(id)), {sql_permuted('ids')} SELECT ordinal, i, j FROM p JOIN pairs USING (ordinal)")
 def sample_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.sampled_pairs(numbered(spark, sf_dir).select("i", "label"), ["label"], 5000).select("ordinal", "i", "j")
 
 
+@query(f"""WITH size AS (SELECT 100 * count(*) AS n FROM events), ids AS (SELECT id, {_FACTORS}, n FROM size, range(800000) t(id)), {sql_permuted('ids')}, s AS (SELECT (SELECT n FROM size) AS n, ordinal FROM p),
+ g AS (SELECT n, ordinal, floor((2 * n - 1 - sqrt((2e0 * n - 1) * (2e0 * n - 1) - 8e0 * ordinal)) / 2)::BIGINT AS g FROM s), f AS (SELECT *, CASE WHEN g * (2 * n - 1 - g) // 2 > ordinal THEN g - 1 WHEN (g + 1) * (2 * n - 2 - g) // 2 <= ordinal THEN g + 1 ELSE g END AS i FROM g)
+ SELECT (i * 20 // n)::BIGINT AS part, count(*) AS n, sum(i)::BIGINT AS sum_i, sum(i + 1 + ordinal - i * (2 * n - 1 - i) // 2)::BIGINT AS sum_j FROM f GROUP BY 1""")
+def sample_pairs_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """800,000 pairs out of those of a hundred items for each event, by twentieths of i."""
+    items = 100 * table(spark, sf_dir, "events").count()
+    found = pairs.sampled_index(spark, items, 800_000)
+    return found.groupBy(F.expr(f"i * 20 div {items}").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("sum_i"), F.sum("j").alias("sum_j"))
+
+
 # --- evaluation --------------------------------------------------------------------------------------------
 
 

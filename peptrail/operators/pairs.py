@@ -1,15 +1,18 @@
 """All pairs i < j of numbered items, in order, up to a cap, and tournament scores over them.
 
-Pairs are numbered in closed form, so a range of numbers is decoded to (i, j) and the items are fetched by
-two equality joins. Nothing is sorted, no side is multiplied out, and pairs beyond the cap never exist.
+Pairs are numbered in closed form. All pairs up to a cap are made by meetings of blocks of items; sampled numbers
+are decoded to (i, j) and the items fetched by two equality joins. Nothing is sorted, and blocks beyond the cap
+never meet.
 """
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .splits import chance
+from .splits import permuted
 
 CAP, BATCH = 10_000_000, 10_000
 
@@ -23,18 +26,43 @@ def ordinal(i: Column, j: Column, items: int) -> Column:
     return (i * (2 * items - i - 1) / 2).cast("bigint") + (j - i - 1)
 
 
-def pair_index(spark: SparkSession, items: int, cap: int | None = CAP) -> DataFrame:
-    """ordinal, i, j of the first pairs, up to the cap."""
-    total = pair_count(items) if cap is None else min(pair_count(items), cap)
+def pair_of(number: int, items: int) -> tuple[int, int]:
+    """(i, j) of a pair's number."""
+    b = 2 * items - 1
+    i = (b - isqrt(b * b - 8 * number)) // 2
+    # The root is rounded down, so i may be one too high.
+    i -= i * (b - i) // 2 > number
+    return i, number - i * (b - i) // 2 + i + 1
+
+
+def decoded(rows: DataFrame, items: int) -> DataFrame:
+    """ordinal, i, j of rows with an ordinal."""
     o, b = F.col("ordinal"), float(2 * items - 1)
-    rows = spark.range(total).withColumnRenamed("id", "ordinal")
     guess = F.floor((F.lit(b) - F.sqrt(F.lit(b * b) - 8.0 * o)) / 2).cast("bigint")
     first = lambda i: F.floor(i * (F.lit(2 * items - 1) - i) / 2).cast("bigint")
     rows = rows.withColumn("g", F.greatest(guess, F.lit(0)))
     # The square root may be off by one either way.
     i = F.when(first(F.col("g")) > o, F.col("g") - 1).when(first(F.col("g") + 1) <= o, F.col("g") + 1).otherwise(F.col("g"))
-    rows = rows.select("ordinal", i.alias("i"))
-    return rows.select("ordinal", "i", (F.col("i") + 1 + o - first(F.col("i"))).alias("j"))
+    rows = rows.select("ordinal", F.coalesce(i, F.lit(-1)).alias("i"))
+    # Never null, as Spark then knows: else it would test i and j for null below, by all that they are made of.
+    return rows.select("ordinal", "i", F.coalesce(F.col("i") + 1 + o - first(F.col("i")), F.lit(-1)).alias("j"))
+
+
+def pair_index(spark: SparkSession, items: int, cap: int | None = CAP) -> DataFrame:
+    """ordinal, i, j of the first pairs, up to the cap."""
+    total = pair_count(items) if cap is None else min(pair_count(items), cap)
+    return decoded(spark.range(total).withColumnRenamed("id", "ordinal"), items)
+
+
+def sampled_index(spark: SparkSession, items: int, n: int, seed: int = 42) -> DataFrame:
+    """ordinal, i, j of as many pairs as asked for, all when there are fewer: the first n of a seeded permutation of all numbers.
+
+    Only n numbers are made, however many pairs there are."""
+    if n >= pair_count(items):
+        return pair_index(spark, items, None)
+    # Of items and items - 1 one is even, so the count of pairs has two factors of about the same size.
+    high, low = (items // 2, items - 1) if items % 2 == 0 else (items, (items - 1) // 2)
+    return decoded(spark.range(n).select(permuted(F.col("id"), high, low, seed).alias("ordinal")), items)
 
 
 def _fetched(index: DataFrame, items: DataFrame, columns: list[str]) -> DataFrame:
@@ -43,21 +71,38 @@ def _fetched(index: DataFrame, items: DataFrame, columns: list[str]) -> DataFram
     return index.join(left, "i").join(right, "j")
 
 
+#: Items of a block; two blocks of vectors are one row while their pairs are made.
+BLOCK = 64
+
+
 def paired(items: DataFrame, columns: list[str], cap: int | None = CAP, n: int | None = None) -> DataFrame:
-    """ordinal, i, j and each column of both sides (suffixes _i, _j) of items numbered i from 0."""
+    """ordinal, i, j and each column of both sides (suffixes _i, _j) of items numbered i from 0.
+
+    Items are packed by blocks of BLOCK numbers, and every two blocks with a pair below the cap meet once, so that
+    an item is sent once for each block that it meets, not for each pair. A meeting's pairs are made where it lies."""
+    spark = items.sparkSession
     n = items.count() if n is None else n
-    return _fetched(pair_index(items.sparkSession, n, cap), items, columns)
+    total = pair_count(n) if cap is None else min(pair_count(n), cap)
+    blocks = -(-n // BLOCK)
+    # Pairs are ordered by i, so a cap ends the blocks of i; what is over in the last of them is filtered.
+    last = pair_of(total - 1, n)[0] // BLOCK if total else -1
+    member = F.struct("i", *columns)
+    packed = items.groupBy(F.expr(f"i div {BLOCK}").alias("block")).agg(F.collect_list(member).alias("members"))
+    meetings = spark.range((last + 1) * blocks).select(F.expr(f"id div {blocks}").alias("low"), (F.col("id") % blocks).alias("high")).where("low <= high")
+    side = lambda name: packed.select(F.col("block").alias(name), F.col("members").alias(f"{name}_members"))
+    met = meetings.join(side("low"), "low").join(side("high"), "high")
+    left = met.select(F.explode("low_members").alias("x"), "high_members")
+    both = left.select("x", F.explode("high_members").alias("y")).where("x.i < y.i")
+    number = F.expr(f"x.i * ({2 * n - 1} - x.i) div 2 + y.i - x.i - 1").alias("ordinal")
+    sides = [F.col(f"{of}.{c}").alias(f"{c}_{name}") for name, of in (("i", "x"), ("j", "y")) for c in columns]
+    return both.select(number, F.col("x.i").alias("i"), F.col("y.i").alias("j"), *sides).where(F.col("ordinal") < total)
 
 
 def sampled_pairs(items: DataFrame, columns: list[str], n: int, seed: int = 42) -> DataFrame:
-    """As many pairs as asked for out of all, chosen by a seeded hash of their number; all when there are fewer.
+    """As many pairs as asked for out of all, chosen by a seeded permutation of their numbers; all when there are fewer.
 
     Numbers are chosen first, and only theirs are decoded and fetched."""
-    count = items.count()
-    index = pair_index(items.sparkSession, count, None)
-    if n < pair_count(count):
-        index = index.orderBy(chance(F.col("ordinal"), seed), "ordinal").limit(n)
-    return _fetched(index, items, columns)
+    return _fetched(sampled_index(items.sparkSession, items.count(), n, seed), items, columns)
 
 
 def tournament(pairs: DataFrame, prediction: str = "prediction", prefer: str = "faithful") -> DataFrame:

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 #: A prime modulus; products with keys below 2 ** 31 stay within 63 bits.
 MODULUS = 2_147_483_647
 SLICE_ROWS = 200_000
+#: Samples up to so many rows are merged by one task.
+MERGED = 10_000
 
 
-def chance(key: Column, seed: int) -> Column:
+def chance(key: Column, seed: int | Column) -> Column:
     """A whole number below MODULUS for a key."""
     k = F.pmod(key.cast("bigint"), F.lit(MODULUS))
     once = F.pmod(k * 48_271 + seed, F.lit(MODULUS))
@@ -56,5 +58,46 @@ def kfold(df: DataFrame, folds: int = 5, seed: int = 42, key: str = "row_id") ->
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 42, key: str = "row_id") -> DataFrame:
-    """n rows without replacement, all when there are fewer; each task keeps n at most."""
-    return df.orderBy(chance(F.col(key), seed), key).limit(n)
+    """n rows without replacement, those of the lowest hash, all when there are fewer; equal hashes are taken in the order of their keys.
+
+    Up to MERGED rows each task keeps n and one merges them. Beyond, the n-th lowest hash is found by counts of
+    ranges, and rows are compared with it: nothing is sorted or merged. Both give the same rows."""
+    from .quantiles import values_at
+
+    if n <= MERGED:
+        return df.orderBy(chance(F.col(key), seed), key).limit(n)
+    hashed = df.withColumn("_h", chance(F.col(key), seed))
+    total = df.count()
+    if total <= n:
+        return df
+    at = hashed.sparkSession.createDataFrame([(0, n - 1)], "place int, rank bigint")
+    last = values_at(hashed.select(F.lit(0).alias("place"), F.col("_h").alias("x")), at).first()["value"]
+    below = hashed.where(F.col("_h") < last)
+    # Keys that share the last hash differ by multiples of the modulus, or are equal.
+    level = hashed.where(F.col("_h") == last).orderBy(key).limit(n - below.count())
+    return below.unionByName(level).drop("_h")
+
+
+#: Rounds of the permutation, an even number; each adds a mix of one half of a number to the other half.
+ROUNDS = 6
+
+
+def permuted(number: Column, high: int, low: int, seed: int) -> Column:
+    """Whole numbers below high * low moved by a permutation of them, for factors up to MODULUS.
+
+    The halves, number div low and number mod low, are moved by turns: each round adds a mix of one half to the
+    other. As a round is undone by taking away what it added, no two numbers meet; the factors fill the range
+    exactly, so no number has to walk back into it."""
+
+    def mix(x: Column, s: Column) -> Column:
+        # The square keeps rounds from being one affine map.
+        once = chance(x, s)
+        return chance(F.pmod(once * once, F.lit(MODULUS)) + x, s + 1)
+
+    def two_rounds(state: Column, s: Column) -> Column:
+        a = F.pmod(state["a"] + mix(state["b"], s), F.lit(high))
+        return F.struct(a.alias("a"), F.pmod(state["b"] + mix(a, s + 2), F.lit(low)).alias("b"))
+
+    start = F.struct(F.call_function("div", number, F.lit(low)).alias("a"), (number % F.lit(low)).cast("bigint").alias("b"))
+    seeds = F.array(*(F.lit(seed + 2 * k).cast("bigint") for k in range(0, ROUNDS, 2)))
+    return F.aggregate(seeds, start, two_rounds, lambda state: state["a"] * F.lit(low) + state["b"])

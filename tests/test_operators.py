@@ -127,3 +127,65 @@ def test_first_rows_and_text(spark):
     df = spark.createDataFrame([(k,) for k in (5, 3, 1, 4)], "seq_id long")
     assert sorted(r.seq_id for r in ranking.first_rows(df, 2).collect()) == [1, 3] and ranking.first_rows(df, None).count() == 4
     assert tuple(spark.range(1).select(numeric.two_places(F.lit(2.345678)), numeric.thousands(F.lit(1234567))).first()) == ("2.35", "1,234,567")
+
+
+@pytest.mark.parametrize("high, low", [(1, 1), (1, 7), (5, 9), (20, 39), (64, 64), (97, 3)])
+def test_permutation_meets_every_number_once(spark, high, low):
+    for seed in (1, 42):
+        found = [r.p for r in spark.range(high * low).select(splits.permuted(F.col("id"), high, low, seed).alias("p")).collect()]
+        assert sorted(found) == list(range(high * low)) and (high * low < 10 or found != sorted(found))
+
+
+def test_sampled_pairs_are_spread_evenly(spark):
+    """800,000 of 5 * 10 ** 11 pairs: distinct, in range, and even over i, j and both."""
+    items, n = 1_000_000, 800_000
+    found = pairs.sampled_index(spark, items, n).persist()
+    assert found.distinct().count() == n and found.where(f"i < 0 or i >= j or j >= {items}").count() == 0
+    # The chance of i below x of all is 1 - (1 - x) ** 2, that of j is x ** 2.
+    parts = found.agg(*(F.avg((F.col(c) < x * items).cast("int")).alias(f"{c}{k}") for c in "ij" for k, x in enumerate((0.1, 0.5, 0.9)))).first()
+    want = [1 - 0.9**2, 0.75, 0.99, 0.01, 0.25, 0.81]
+    assert all(abs(a - b) < 5 * (b * (1 - b) / n) ** 0.5 for a, b in zip(parts, want, strict=True))
+    both = found.groupBy((F.col("ordinal") % 97).alias("a"), (F.col("ordinal") % 89).alias("b")).count()
+    chi = both.agg(F.sum((F.col("count") - n / 8633) ** 2 / (n / 8633))).first()[0]
+    assert abs(chi - 8632) < 6 * (2 * 8632) ** 0.5
+    gaps = found.agg(F.corr("i", "j"), F.avg((F.col("ordinal") % 2).cast("double"))).first()
+    assert abs(gaps[0] - 0.5) < 0.01 and abs(gaps[1] - 0.5) < 0.003
+    found.unpersist()
+
+
+def test_sample_without_a_sort(spark, monkeypatch):
+    from peptrail.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "SORTED", 20)
+    # Keys that share hashes: equal, or apart by the modulus.
+    keys = [*range(300), 5, 5, 5 + splits.MODULUS, 17 + splits.MODULUS]
+    df = spark.createDataFrame([(k,) for k in keys], "row_id long").repartition(3)
+    order = sorted(keys, key=lambda k: ((((k % splits.MODULUS * 48271 + 42) % splits.MODULUS) * 16807 + 295) % splits.MODULUS, k))
+    for n, merged in ((0, 9), (2, 9), (60, 0), (303, 0), (500, 0)):
+        monkeypatch.setattr(splits, "MERGED", merged)
+        assert sorted(r.row_id for r in splits.sample_rows(df, n).collect()) == sorted(order[:n])
+
+
+@pytest.mark.parametrize("n, cap, block", [(0, None, 4), (1, None, 4), (2, None, 4), (9, None, 4), (9, 20, 4), (33, 100, 4), (33, 1, 4), (40, None, 64), (33, 31, 5)])
+def test_pairs_of_blocks(spark, monkeypatch, n, cap, block):
+    from itertools import combinations
+
+    monkeypatch.setattr(pairs, "BLOCK", block)
+    items = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(n)], "i long, v array<double>")
+    found = sorted((r.ordinal, r.i, r.j, r.v_i[0], r.v_j[0]) for r in pairs.paired(items, ["v"], cap).collect())
+    assert found == [(k, i, j, float(i), float(j)) for k, (i, j) in enumerate(combinations(range(n), 2))][:cap]
+
+
+def test_pair_of_a_number():
+    for n in (2, 3, 50, 999_999, 3 * 10**9):
+        total = pairs.pair_count(n)
+        for number in {0, 1, n - 2, total // 3, total // 2, total - 1} & set(range(total) if n < 60 else [0, 1, n - 2, total // 3, total // 2, total - 1]):
+            i, j = pairs.pair_of(number, n)
+            assert 0 <= i < j < n and i * (2 * n - 1 - i) // 2 + j - i - 1 == number
+
+
+def test_vectors_are_sent_by_blocks(spark):
+    """Shuffled rows of the plan are blocks and meetings, as many as pairs of blocks, not of items."""
+    items = spark.range(640).select(F.col("id").alias("i"), F.array(F.col("id").cast("double")).alias("v"))
+    plan = pairs.paired(items, ["v"], None, 640)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and plan.index("Generate explode(high_members") < plan.index("Join")
