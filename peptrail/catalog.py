@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import numeric, sequence
 from .functions.residues import ACID, ALPHABET, BASE, C_TERMINAL, HOPP_WOODS, KYTE_DOOLITTLE, MOTIFS, N_TERMINAL, TABLE_CHARGE
 from .operators import curate, features, indexing, metrics, pairs, ranking, scaling, splits, statistics
-from .plans import models, screen, search, stages, train
+from .plans import embed, models, screen, search, stages, train
 from .sources import candidates, readers, sinks
 
 CATEGORY, SITE = "en", "src1"
@@ -160,6 +161,65 @@ def candidates_property_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.property_means(candidates.candidates(spark, 4))
 
 
+#: The reference width of candidate words.
+WIDTH = 7
+
+_WINDOWS = lambda w: f"SELECT DISTINCT unnest(list_transform(range(1, greatest(length(seq) - {w - 2}, 1)), lambda i: substr(seq, i, {w}))) AS word, row_id FROM peptides"
+_NUMBER = lambda w: " + ".join(f"(instr('{ALPHABET}', substr(word, {p + 1}, 1)) - 1) * {20 ** (w - 1 - p)}" for p in range(w)) + " + 1"
+
+
+def sql_words_in(w: int) -> str:
+    return f"""{PEPTIDES}, held AS ({_WINDOWS(w)}), words AS (SELECT ({_NUMBER(w)})::BIGINT AS num, word, count(*) AS texts FROM held GROUP BY word)"""
+
+
+def sql_emitted(w: int) -> str:
+    return f"""{sql_words_in(w)}, twins AS (SELECT num, word || reverse(word) AS m, word || word AS d FROM words), few AS (SELECT * FROM twins WHERE {sql_tenths("d")} BETWEEN 30 AND 70),
+ tested AS (SELECT num, d, {sql_motifs("m")} > 1 AS by_m, {sql_motifs("d")} > 1 AS by_d FROM few), emitted AS (SELECT num, 'mirror' AS branch, d AS seq FROM tested WHERE by_m UNION ALL SELECT num, 'double', d FROM tested WHERE by_d)"""
+
+
+@query(f"WITH {sql_words_in(3)} SELECT num, word, word || reverse(word) AS mirrored, word || word AS doubled, texts FROM words WHERE num BETWEEN 100 AND 7000")
+def words_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the given texts in a range of the enumeration, and how many texts hold each."""
+    word = F.col("word")
+    return candidates.words_in(peptides(spark, sf_dir), 3, start=100, end=7000).select("num", "word", sequence.mirrored(word).alias("mirrored"), sequence.doubled(word).alias("doubled"), "texts")
+
+
+@query(f"WITH {sql_words_in(4)}, whole AS (SELECT n + 1 AS num, {' || '.join(f'substr({chr(39)}{ALPHABET}{chr(39)}, ((n // {20 ** (3 - p)}) % 20 + 1)::INT, 1)' for p in range(4))} AS word FROM range({20**4}) t(n)) SELECT num, word FROM whole ANTI JOIN words USING (word)")
+def words_in_no_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all enumerated words those that no given text holds."""
+    return candidates.words(spark, 4).join(candidates.words_in(peptides(spark, sf_dir), 4).select("word"), "word", "left_anti").select("num", "word")
+
+
+def _emitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.emitted(candidates.words_in(peptides(spark, sf_dir), WIDTH))
+
+
+@query(f"WITH {sql_emitted(WIDTH)} SELECT num, branch, seq FROM emitted")
+def candidates_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the words of the given texts emit: charge range, motif count, none, one or two rows each."""
+    return _emitted(spark, sf_dir)
+
+
+@query(f"""WITH {sql_emitted(WIDTH)} SELECT {r('coalesce(avg(length(seq)), 0)', 'avg_length')}, coalesce(min(length(seq)), 0)::BIGINT AS min_length, coalesce(max(length(seq)), 0)::BIGINT AS max_length,
+ {r(f'coalesce(avg(-({sql_mean("seq", KYTE_DOOLITTLE)})), 0)', 'avg_hydrophobicity')}, {r(f'coalesce(avg({sql_tenths("seq")}) / 10, 0)', 'avg_charge')} FROM emitted""")
+def candidates_in_texts_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _emitted(spark, sf_dir)
+    return statistics.length_stats(found).join(F.broadcast(statistics.property_means(found)))  # a row each
+
+
+@query(f"WITH {PEPTIDES}, each AS (SELECT unnest(string_split(seq, '')) AS residue FROM peptides WHERE seq <> '') SELECT residue, count(*)::BIGINT AS n, {r('count(*) * 100e0 / sum(count(*)) OVER ()', 'percent')} FROM each GROUP BY residue")
+def residues_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.residue_percent(peptides(spark, sf_dir))
+
+
+@query(f"WITH {PEPTIDES} SELECT row_id, length(seq) AS length, {sql_motifs('seq')} AS motifs FROM peptides")
+def chunks_put_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three chunks of the given rows, each described by itself, as one."""
+    rows = peptides(spark, sf_dir)
+    chunk = lambda k: rows.where(F.col("row_id") % 3 == k).select("row_id", F.length("seq").alias("length"), sequence.motif_score(F.col("seq")).alias("motifs"))
+    return chunk(0).unionByName(chunk(1)).unionByName(chunk(2))
+
+
 _LETTERS = " UNION ALL ".join(f"SELECT '{x}' AS c" for x in "LRV")
 
 
@@ -183,6 +243,15 @@ def curate_stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.stage_counts(peptides(spark, sf_dir), CATEGORY, SITE)
 
 
+@query(_oracle["curate_stage_counts"])
+def curate_counts_in_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same counts, observed while the curated rows are written."""
+    watch = statistics.Counters()
+    kept = curate.curate(peptides(spark, sf_dir), CATEGORY, SITE, watch=watch)
+    sinks.write_table(curate.regression_rows(kept, watch=watch), sinks.scratch(spark, "curated"))
+    return spark.createDataFrame(sorted(watch.counts().items()), "stage string, n bigint")
+
+
 @query(f"WITH {CURATED} SELECT row_id, {r('mic', 'mic')}, {r('log2(mic)', 'log2_mic')}, {r('pow(2e0, log2(mic))', 'back')} FROM curated WHERE mic <= 8 AND mic > 0.24e0")
 def regression_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = curate.regression_rows(curate.curate(peptides(spark, sf_dir), CATEGORY, SITE))
@@ -291,6 +360,60 @@ def named_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.named(rows, _NAMED, 3).select("seq", "place")
 
 
+@query(f"""WITH {PEPTIDES}, n AS (SELECT seq, count(*) AS n FROM peptides WHERE seq <> '' GROUP BY seq HAVING count(*) > 1 ORDER BY n DESC, seq LIMIT 5),
+ placed AS (SELECT p.row_id, p.seq, row_number() OVER (PARTITION BY p.seq ORDER BY p.row_id) AS place FROM peptides p SEMI JOIN n USING (seq)) SELECT row_id, seq, place FROM placed WHERE place <= 3""")
+def named_rows_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most repeated sequences by name, and the first three rows of each."""
+    rows = peptides(spark, sf_dir)
+    often = rows.where("seq != ''").groupBy("seq").count().where("count > 1").orderBy(F.desc("count"), "seq").limit(5)
+    return curate.named(rows, [r["seq"] for r in often.collect()], 3).select("row_id", "seq", "place")
+
+
+@query(f"WITH {PEPTIDES} SELECT row_id, {r(f'-({sql_mean("seq", KYTE_DOOLITTLE)})', 'hydrophobicity')}, {r(sql_charge(lambda k: letters('seq', k), '7e0'), 'charge')}, {r('-1 * length(seq)', 'tilt_angle')}, {r('length(seq) / 2e0', 'ppii_tendency')} FROM peptides WHERE length(seq) > 0")
+def descriptors_from_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file with descriptor columns of the given texts, in the order of no schema, read back; all named columns of it."""
+    header, path = {v: k for k, v in readers.ASSAY_HEADER.items()}, sinks.scratch(spark, "described")
+    n = F.length("seq")
+    extra = {c: F.lit(0.0) for c in sequence.INPUT_ONLY} | {"tilt_angle": -1.0 * n, "ppii_tendency": n / F.lit(2.0)}
+    rows = features.descriptors(peptides(spark, sf_dir).where("length(seq) > 0"))
+    wide = rows.select("row_id", "seq", *sequence.REGISTRY, *(c.alias(k) for k, c in extra.items()))
+    sinks.write_csv(wide.select(F.col("ppii_tendency").alias(header["ppii_tendency"]), *(F.col(c).alias(header.get(c, c)) for c in wide.columns if c != "ppii_tendency")), path)
+    found = features.descriptors(readers.assay(spark, path), "all")
+    return found.select(F.col("row_id").cast("bigint").alias("row_id"), "hydrophobicity", "charge", "tilt_angle", "ppii_tendency")
+
+
+_IN_SQL = ("hydrophobicity", "penetration_depth", "amphipathic_index", "net_charge", "isoelectric_point")
+
+
+@query(f"""WITH {PEPTIDES}, counted AS (SELECT row_id, seq, {_COUNTS} FROM peptides), kinds AS (SELECT DISTINCT {', '.join(f'c{k}' for k in (*ACID, *BASE))} FROM counted),
+ grid AS (SELECT kinds.*, k FROM kinds, range(1401) g(k) WHERE abs({sql_charge(lambda x: f'c{x}', '(k / 100e0)')}) < 1e-2), first AS (SELECT {', '.join(f'c{k}' for k in (*ACID, *BASE))}, min(k) AS k FROM grid GROUP BY ALL)
+ SELECT row_id, {r(f'-({_KD})', 'hydrophobicity')}, {r(_KD, 'penetration_depth')}, {r(f'-({_KD})', 'amphipathic_index')}, {r(sql_charge(lambda k: f'c{k}', '7e0'), 'net_charge')}, {r('first.k / 100e0', 'isoelectric_point')} FROM counted LEFT JOIN first USING ({', '.join(f'c{k}' for k in (*ACID, *BASE))})""")
+def functions_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered SQL functions over the given texts."""
+    sequence.register(spark)
+    return peptides(spark, sf_dir).selectExpr("row_id", *(f"{name}(seq) AS {name}" for name in _IN_SQL))
+
+
+@query("WITH wanted AS (SELECT doc_id AS row_id FROM labels WHERE quality = 1 UNION ALL SELECT doc_id FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id FROM labels WHERE quality = 1) SELECT d.doc_id AS row_id, d.n_chars FROM wanted JOIN documents d ON d.doc_id = row_id")
+def rows_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents gathered by a list of keys that repeats some."""
+    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "row_id")
+    good, toxic = labels.where("quality = 1").select("row_id"), labels.where("toxic = 1").select("row_id")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "n_chars")
+    return features.rows_of(docs, good.unionAll(toxic).unionAll(good))
+
+
+@query("SELECT doc_id AS row_id, n_chars FROM documents ORDER BY doc_id LIMIT 100")
+def first_rows_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.first_rows(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "n_chars"), 100, "row_id")
+
+
+@query("SELECT event_id, printf('%.2f', event_id / 7e0) AS two_places, format('{:,}', event_id * 1000) AS thousands FROM events")
+def number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    return table(spark, sf_dir, "events").select(k, numeric.two_places(k / F.lit(7.0)).alias("two_places"), numeric.thousands(k * 1000).alias("thousands"))
+
+
 # --- joins and vectors -------------------------------------------------------------------------------------
 
 
@@ -444,6 +567,31 @@ def assay_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.assay(spark, path).select(*columns)
 
 
+@query(f"""WITH {PEPTIDES}, placed AS (SELECT row_number() OVER (ORDER BY row_id) - 1 AS src_ord, row_id, category, seq FROM peptides)
+ SELECT src_ord, row_id, row_number() OVER (PARTITION BY category ORDER BY src_ord) = 1 AS first FROM placed""")
+def files_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of unequal size, some read in several blocks: rows are numbered, and first rows kept, in the order of files."""
+    header, path = {v: k for k, v in readers.ASSAY_HEADER.items()}, sinks.scratch(spark, "files")
+    rows = peptides(spark, sf_dir).select("row_id", "category", "seq", "mic").withColumn("size", F.floor(F.log2(F.col("row_id") + 1)))
+    # A file for each doubling of the ids, in their order.
+    ordered = rows.repartitionByRange(12, "size").sortWithinPartitions("row_id")
+    sinks.write_csv(ordered.select(*(F.col(c).alias(header.get(c, c)) for c in ("category", "seq", "mic", "row_id"))), path)
+    found = readers.assay(spark, path)
+    firsts = curate.keep_first(found.select("category", "src_ord"), ["category"], "src_ord").select("src_ord", F.lit(True).alias("first"))
+    return found.join(firsts, "src_ord", "left").select("src_ord", F.col("row_id").cast("bigint").alias("row_id"), F.coalesce("first", F.lit(False)).alias("first"))
+
+
+@query(f"WITH {CURATED} SELECT row_id, seq, {r('mic', 'mic')} FROM curated WHERE seq <> ''")
+def snapshot_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A curated table under a time-stamped name."""
+    folder = sinks.scratch(spark, "snapshots")
+    kept = curate.curate(peptides(spark, sf_dir), CATEGORY, SITE).where("seq != ''").select("row_id", "seq", "mic")
+    path = sinks.snapshot(kept, folder, "curated", datetime(2024, 1, 31, 23, 59, 58))
+    if not path.endswith("/curated_20240131_235958"):
+        raise ValueError(path)
+    return spark.read.schema("row_id bigint, seq string, mic double").option("header", True).csv(path)
+
+
 @query(f"WITH {PEPTIDES} SELECT seq FROM peptides")
 def lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = sinks.scratch(spark, "lines")
@@ -474,6 +622,22 @@ def final_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("Seqs string, MIC double, score bigint").option("header", True).csv(path)
 
 
+@query(f"WITH {PEPTIDES} SELECT DISTINCT seq, {r('length(seq)', 'length')}, {r(letters('seq', 'L'), 'l')}, row_id IS NOT NULL AS known FROM (SELECT seq, any_value(CASE WHEN row_id % 3 = 0 THEN row_id END) AS row_id FROM peptides GROUP BY seq)")
+def embedding_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of all distinct sequences: a third of the rows come from a cache, the others from a model that each worker loads once."""
+    rows = peptides(spark, sf_dir)
+
+    def load(_: str | None) -> embed.Model:
+        return lambda seqs: [[float(len(s)), float(s.count("L"))] for s in seqs]
+
+    cached = rows.where("row_id % 3 = 0").select("seq").distinct()
+    cache = cached.select("seq", F.array(F.length("seq").cast("float"), F.length(F.regexp_replace("seq", "[^L]", "")).cast("float")).alias("embedding"))
+    both, new = embed.embed(rows, cache, load, name="letters")
+    at = lambda k: F.get("embedding", F.lit(k)).cast("double")
+    known = cached.withColumn("known", F.lit(True))
+    return both.join(known, "seq", "left").select("seq", at(0).alias("length"), at(1).alias("l"), F.coalesce("known", F.lit(False)).alias("known"))
+
+
 @query(f"WITH {PEPTIDES}, e AS (SELECT seq, embedding FROM embeddings JOIN peptides ON row_id = vec_id QUALIFY row_number() OVER (PARTITION BY seq ORDER BY vec_id) = 1) SELECT seq, len(embedding) AS width, {r('embedding[1]', 'first')} FROM e")
 def embedding_cache_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cache is written in two appends and read back."""

@@ -137,18 +137,23 @@ def register(spark) -> None:
     def mean(table: dict[str, float]) -> str:
         return "(" + " + ".join(f"{count(r)} * {v}D" for r, v in table.items()) + ") / nullif(length(seq), 0)"
 
-    def net_charge(ph: str) -> str:
+    def net_charge(ph: str, count: Callable[[str], str] = count) -> str:
         acid = "".join(f" - {count(r)} / (1 + pow(10D, {k}D - {ph}))" for r, k in ACID.items())
         base = "".join(f" + {count(r)} / (1 + pow(10D, {ph} - {k}D))" for r, k in BASE.items())
         return f"1 / (1 + pow(10D, {ph} - {N_TERMINAL}D)) - 1 / (1 + pow(10D, {C_TERMINAL}D - {ph})){acid}{base}"
 
+    # As in isoelectric_index: counts once, then bisection over the grid of 1,401 steps.
+    counts = ", ".join(f"'{r}', {count(r)}" for r in [*ACID, *BASE])
+    at = lambda step: net_charge(f"(({step}) / 100D)", lambda r: f"c.{r}")
+    jumps = ", ".join(str(1 << b) for b in reversed(range(12)))
+    first = f"aggregate(array({jumps}), 0, (low, step) -> IF(low + step <= 1401 AND {at('low + step - 1')} >= 0.01D, low + step, low))"
+    search = f"element_at(transform(array({first}), k -> IF(k <= 1400 AND {at('k')} > -0.01D, k / 100D, NULL)), 1)"
     bodies = {
         "hydrophobicity": f"0D - {mean(KYTE_DOOLITTLE)}",
         "penetration_depth": mean(KYTE_DOOLITTLE),
         "amphipathic_index": f"0D - {mean(KYTE_DOOLITTLE)}",
         "net_charge": net_charge("7D"),
-        # The first step of the grid under the tolerance, as in isoelectric_index; null if there is none.
-        "isoelectric_point": f"get(filter(sequence(0, 1400), k -> abs({net_charge('(k / 100D)')}) < 0.01D), 0) / 100D",
+        "isoelectric_point": f"element_at(transform(array(named_struct({counts})), c -> {search}), 1)",
     }
     for name, body in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(seq STRING) RETURNS DOUBLE RETURN {body}")

@@ -1,8 +1,11 @@
-"""Tables from files. Schemas are declared, never inferred; every row gets a key at the scan."""
+"""Tables from files. Schemas are declared, never inferred; every row gets a key in the order of files.
+
+Files are in the order of their names, and rows in the order of their file. A file that is read in blocks by
+several tasks gets its numbers from the counts of the blocks before."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,24 +21,42 @@ ASSAY = T.StructType([T.StructField(c, T.StringType()) for c in ("category", "se
 EMBEDDINGS = T.StructType([T.StructField("seq", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
 
+#: Blocks of files whose counts may be broadcast; more are joined.
+BROADCAST_BLOCKS = 100_000
+
+
+def in_file_order(rows: DataFrame, name: str) -> DataFrame:
+    """Add name: 0 .. n - 1 in the order of files' names and of rows within them, to a frame just read from files.
+
+    A task numbers the rows of a block as it reads them; what is added to a block's numbers follows from the
+    counts of the blocks before it, of which there are as many as tasks."""
+    placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"))
+    counts = placed.groupBy("_file", "_start").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select("_file", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    few = rows.rdd.getNumPartitions() + len(rows.inputFiles()) <= BROADCAST_BLOCKS
+    numbered = placed.join(F.broadcast(shifts) if few else shifts, ["_file", "_start"])
+    return numbered.select((F.col("_row") + F.col("_shift")).alias(name), *rows.columns)
+
+
 def assay(spark: SparkSession, path: str) -> DataFrame:
     """An assay CSV with a header in any column order: declared types, engine names, and src_ord in file order."""
     names = spark.read.option("header", True).csv(path).columns  # reads the first line only
     kinds = {f.name: f.dataType for f in ASSAY.fields}
     schema = T.StructType([T.StructField(n, kinds.get(ASSAY_HEADER.get(n, n), T.StringType())) for n in names])
     rows = spark.read.schema(schema).option("header", True).csv(path)
-    return rows.select(F.monotonically_increasing_id().alias("src_ord"), *(F.col(f"`{n}`").alias(ASSAY_HEADER.get(n, n)) for n in names))
+    return in_file_order(rows, "src_ord").select("src_ord", *(F.col(f"`{n}`").alias(ASSAY_HEADER.get(n, n)) for n in names))
 
 
 def sequences(spark: SparkSession, path: str) -> DataFrame:
     """One sequence a line: seq_id in file order, seq."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("seq_id"), F.rtrim(F.col("value")).alias("seq"))
+    return in_file_order(spark.read.text(path), "seq_id").withColumnRenamed("value", "seq")
 
 
 def structure_features(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A CSV keyed by seq with numeric columns; src_ord keeps file order."""
     schema = T.StructType([T.StructField("seq", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in columns)])
-    return spark.read.schema(schema).option("header", True).csv(path).withColumn("src_ord", F.monotonically_increasing_id())
+    return in_file_order(spark.read.schema(schema).option("header", True).csv(path), "src_ord").select("seq", *columns, "src_ord")
 
 
 def embedding_cache(spark: SparkSession, path: str) -> DataFrame:

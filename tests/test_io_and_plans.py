@@ -29,7 +29,7 @@ def test_embedding_cache(spark, tmp_path):
     df = spark.createDataFrame([("AA",), ("CC",), ("AA",)], "seq string")
     assert readers.embedding_cache(spark, path).count() == 0
 
-    def load():
+    def load(_):
         return lambda batch: [[float(len(s)), 1.0] for s in batch]
 
     _, new = embed.embed(df, readers.embedding_cache(spark, path), load)
@@ -78,3 +78,96 @@ def test_sequence_functions_in_sql(spark):
     rows = spark.createDataFrame([("G",), ("K",), ("DDDD",), ("LRLLRLRLRLLRLR",), ("KKKKKKKKKKKKKK",)], "seq string")
     found = rows.select("seq", F.expr("isoelectric_point(seq)").alias("x"), sequence.isoelectric_point(F.col("seq")).alias("y"), F.expr("net_charge(seq)").alias("c"), sequence.charge(F.col("seq")).alias("d")).collect()
     assert all(r.x == r.y and abs(r.c - r.d) < 1e-9 for r in found) and found[0].x == 4.0 and found[-1].x is None
+
+
+def test_rows_are_in_the_order_of_files(spark, tmp_path):
+    """Files of unequal size, read in several blocks, by names and not by size."""
+    lines, sizes = [], {"a": 3, "b": 4000, "c": 0, "d": 1500, "e": 1}
+    for name, n in sizes.items():
+        own = [f"{name}{k} " + "x" * (k % 50) + "  " for k in range(n)]
+        (tmp_path / f"{name}.txt").write_text("".join(x + "\n" for x in own))
+        lines += own
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    try:
+        found = readers.sequences(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r.seq for r in sorted(found)] == lines and sorted(r.seq_id for r in found) == list(range(len(lines)))
+
+
+def test_a_worker_loads_its_model_once(spark, tmp_path):
+    (tmp_path / "artefacts").mkdir()
+    (tmp_path / "artefacts" / "offset").write_text("100")
+    log = tmp_path / "log"
+    log.mkdir()
+    place = str(log)
+
+    def load(folder):
+        import os
+        import uuid
+
+        with open(f"{place}/{os.getpid()}-{uuid.uuid4().hex}", "w"):
+            pass
+        with open(f"{folder}/offset") as f:
+            offset = float(f.read())
+        return lambda seqs: [[offset + len(s), float(len(seqs))] for s in seqs]
+
+    df = spark.createDataFrame([("A" * (1 + k % 90) + "C" * (k // 90),) for k in range(900)], "seq string").repartition(12)
+    _, new = embed.embed(df, readers.embedding_cache(spark, f"{tmp_path}/none"), load, name=place, artefacts=str(tmp_path / "artefacts"))
+    for _ in range(2):
+        found = {r.seq: r.embedding[0] for r in new.collect()}
+        assert found == {r.seq: 100.0 + len(r.seq) for r in df.collect()}
+    pids = [p.name.split("-")[0] for p in log.iterdir()]
+    assert 1 <= len(set(pids)) == len(pids)
+
+
+def test_batches_of_like_length():
+    seen = []
+
+    def model(seqs):
+        seen.append(seqs)
+        return [[float(len(s))] for s in seqs]
+
+    seqs = ["A" * n for n in (5, 1, 9, 2, 100, 3, 9)]
+    assert embed.in_batches(model, seqs, 20) == [[float(len(s))] for s in seqs]
+    assert [len(s[-1]) * len(s) <= 20 or len(s) == 1 for s in seen] == [True] * len(seen) and [len(x) for s in seen for x in s] == sorted(map(len, seqs))
+    assert embed.in_batches(model, []) == []
+
+
+def test_counters_of_a_screen(spark):
+    """Stages of a screen are counted while it runs."""
+    from pyspark.sql import functions as F
+
+    from peptrail.operators.statistics import Counters
+    from peptrail.plans import screen
+    from peptrail.plans.models import Settings
+
+    rows = spark.createDataFrame([(k, f"S{k}", [float(k % 7), float(k)], float(k % 7 > 2), float(k % 3)) for k in range(60)], "seq_id long, seq string, features array<double>, label double, third double")
+    small = Settings(rounds=2, depth=2, least_rows=1, subsample=1.0, scaler="standard")
+    classifier = models.fit_classifier(rows, small, key="seq_id")
+    regressor = models.fit_regressor(rows.withColumn("label", F.col("seq_id") / 10.0), small, key="seq_id")
+    pairs_of = rows.select((F.concat("features", "features", "features", "features")).alias("features"), F.col("third").alias("label"), "seq_id")
+    comparator = models.fit_comparator(pairs_of, small, key="seq_id")
+    watch = Counters()
+    found = screen.screen(rows.select("seq_id", "seq", "features"), classifier, comparator, regressor, best=5, watch=watch).collect()
+    counts = watch.counts()
+    positives = sum(1 for r in models.predict(classifier, rows).collect() if r.prediction == 1)
+    assert counts == {"rows": 60, "positives": positives, "pairs": positives * (positives - 1) // 2, "ranked": 5} and len(found) == 5
+
+
+def test_structure_block(spark):
+    from pyspark.sql import functions as F
+
+    from peptrail.functions.sequence import REGISTRY
+    from peptrail.plans import train
+
+    rows = spark.createDataFrame([(0, "LRLR", 1.0), (1, "KKKK", 2.0), (2, "LRLR", 3.0), (3, "GGGG", 4.0)], "row_id long, seq string, mic double")
+    vectors = rows.select("row_id", F.array(F.col("row_id").cast("float")).alias("embedding"))
+    structure = spark.createDataFrame([("LRLR", 7.0, 8.0), ("GGGG", None, 9.0)], "seq string, helix double, sheet double")
+    n = len(REGISTRY)
+    block = lambda **more: {r.row_id: r.features[n : n + 2] for r in train.feature_rows(rows, vectors, structure=structure, columns=("helix", "sheet"), **more).collect()}
+    assert block() == {0: [0.0, 0.0], 1: [0.0, 0.0], 2: [7.0, 8.0], 3: [0.0, 9.0]}
+    assert block(all_duplicates=True)[0] == [7.0, 8.0]
+    assert {len(r.features) for r in train.feature_rows(rows, vectors).collect()} == {n + 1}
