@@ -31,10 +31,11 @@ def words(spark: SparkSession, w: int, start: int = 1, end: int | None = None) -
 def words_in(df: DataFrame, w: int, seq: str = "seq", start: int = 1, end: int | None = None) -> DataFrame:
     """num, word, texts: the words of length w in sequences of the alphabet, their numbers in the enumeration (from start to end), and how many sequences hold each.
 
-    A sequence's words are made distinct where it lies, and counts are combined before the shuffle."""
+    One pass over a sequence finds its words, which are made distinct where it lies; counts are combined before the
+    shuffle."""
     s, size = F.col(seq), len(ALPHABET)
-    windows = F.transform(F.sequence(F.lit(1), F.length(s) - (w - 1)), lambda k: F.substr(s, k, F.lit(w)))
-    found = df.where(F.length(s) >= w).select(F.explode(F.array_distinct(windows)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("texts"))
+    windows = F.regexp_extract_all(s, F.lit(f"(?=(.{{{w}}}))"), F.lit(1))
+    found = df.select(F.explode(F.array_distinct(windows)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("texts"))
     digits = [F.instr(F.lit(ALPHABET), F.substring("word", p + 1, 1)) - 1 for p in range(w)]
     number = sum((d.cast("bigint") * size ** (w - 1 - p) for p, d in enumerate(digits)), F.lit(1))
     numbered = found.select(number.alias("num"), "word", "texts")
