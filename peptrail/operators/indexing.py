@@ -9,22 +9,30 @@ from pyspark.sql import functions as F
 RANGE_ROWS, MOST_RANGES = 500_000, 4096
 
 
-def range_of(df: DataFrame, key: str) -> Column:
-    """The range, from 0, of a numeric key: ranges ascend and hold about as many rows each."""
-    ranges = min(MOST_RANGES, df.count() // RANGE_ROWS + 1)
-    if ranges == 1:
-        return F.lit(0)
-    cuts = [k / ranges for k in range(1, ranges)]
-    bounds = sorted(set(df.agg(F.percentile_approx(key, cuts, 10_000)).first()[0] or []))
-    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(key)))
+def range_bounds(df: DataFrame, key: str) -> list:
+    """Ascending keys that part the rows in ranges of about as many rows each, by one pass; none where one range is enough."""
+    cuts = [k / MOST_RANGES for k in range(1, MOST_RANGES)]
+    n, found = df.agg(F.count(F.lit(1)), F.percentile_approx(key, cuts, 10_000)).first()
+    ranges = min(MOST_RANGES, n // RANGE_ROWS + 1)
+    return sorted({found[MOST_RANGES * k // ranges - 1] for k in range(1, ranges)}) if found else []
+
+
+def range_of(key: str, bounds: list) -> Column:
+    """How many bounds a key is above, by bisection."""
+    steps = F.array(*(F.lit(1 << b) for b in reversed(range(len(bounds).bit_length()))))
+    every = F.lit(bounds)
+    return F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.coalesce(F.get(every, low + step - 1) < F.col(key), F.lit(False)), low + step).otherwise(low))
 
 
 def dense_index(df: DataFrame, key: str, name: str) -> DataFrame:
     """Add name: 0 .. n - 1 in ascending order of a distinct numeric key."""
-    ranged = df.withColumn("_range", range_of(df, key))
+    bounds = range_bounds(df, key)
+    own = Window.partitionBy("_range").orderBy(key)
+    if not bounds:
+        return df.withColumn("_range", F.lit(0)).withColumn(name, (F.row_number().over(own) - 1).cast("bigint")).drop("_range")
+    ranged = df.withColumn("_range", range_of(key, bounds))
     counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    own = Window.partitionBy("_range").orderBy(key)
     numbered = ranged.withColumn("_own", F.row_number().over(own) - 1).join(F.broadcast(bases), "_range")  # at most MOST_RANGES rows
     return numbered.withColumn(name, (F.col("_base") + F.col("_own")).cast("bigint")).drop("_range", "_own", "_base")
