@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -117,6 +118,16 @@ def trim() -> None:
         pass
 
 
+def release() -> None:
+    """Drop what operators keep in this worker for their next task, such as encoders: workers live on, and the next work may be another's."""
+    for name, module in list(sys.modules.items()):
+        if name.startswith(f"{__package__}."):
+            for value in list(vars(module).values()):
+                if hasattr(value, "cache_clear"):
+                    value.cache_clear()
+    trim()
+
+
 def pieces_of(text: pa.Array, most: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows with at most so many bytes of text, or one row."""
     if not len(text):

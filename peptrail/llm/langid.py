@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, mixed, pieces_of, prepare
+from .common import bytes_of, mixed, pieces_of, prepare, release
 
 SAMPLE_DOCS, LEAST_SHARE, LEAD = 1500, 0.02, 4.0
 #: Lengths of n-grams in bytes of lower-cased UTF-8 text; hash functions; slots of the filters.
@@ -98,6 +98,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each task: in how many of a language's documents each n-gram is; code -1 counts the documents."""
+        release()
         seen: dict[str, list[np.ndarray]] = {}
         docs_in: dict[str, int] = {}
         for batch in batches:
@@ -174,6 +175,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)  # a fixed number of slots for each 64 languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         model = shared.value
         for batch in batches:
             text = batch.column(0)
