@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.ml import PipelineModel
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import numeric, sequence
 from .functions.residues import ACID, ALPHABET, BASE, C_TERMINAL, HOPP_WOODS, KYTE_DOOLITTLE, MOTIFS, N_TERMINAL, TABLE_CHARGE
 from .operators import curate, features, indexing, metrics, pairs, ranking, scaling, splits, statistics
-from .plans import embed, models, screen, search, stages, train
+from .plans import embed, models, screen, search, stages, tiers, train
 from .sources import candidates, readers, sinks
 
 CATEGORY, SITE = "en", "src1"
@@ -876,6 +877,21 @@ def regressor_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.regressor_summary(search.regressor_table(rows.where("part = 'train'"), rows.where("part = 'test'"), settings))
 
 
+@query()
+def training_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tier, metric, value of the three tiers over peptides with embeddings, trained end to end and written, with few rounds."""
+    ready = train.feature_rows(peptides(spark, sf_dir).where("mic is not null"), embeddings(spark, sf_dir)).persist()
+    few = models.Settings(rounds=4, depth=3, least_rows=5, patience=2, folds=3, scaler="standard")
+    fits = {"classifier": (few, {}), "comparator": (few, {"cap": 5000, "most": 1000.0}), "regressor": (replace(few, subsample=1.0, scaler="robust", grid={"rounds": [2, 4], "rate": [0.1, 0.3]}), {"most": 1000.0})}
+    folder, out = sinks.scratch(spark, "tiers"), None
+    for name, (settings, more) in fits.items():
+        tier = tiers.TIERS[name](ready, settings, **more)
+        tiers.save(tier, folder, name, datetime(2024, 1, 31, 23, 59, 58))
+        found = tier.measures.select(F.lit(name).alias("tier"), "metric", "value")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query()
 def screening_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train the three models on peptides with embeddings, then screen those peptides."""

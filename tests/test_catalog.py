@@ -38,7 +38,16 @@ def test_screening_query(spark, sf_dir):
     assert all(abs(r.mic - 2**r.log2_mic) < 1e-4 * max(1.0, r.mic) for r in found)
 
 
+def test_tiers_query(spark, sf_dir):
+    found = {(r.tier, r.metric): r.value for r in QUERIES["training_tiers"](spark, sf_dir).collect()}
+    weighted = {"accuracy", "precision", "recall", "f1"}
+    assert {m for t, m in found if t == "classifier"} == {m for t, m in found if t == "comparator"} == weighted
+    assert {m for t, m in found if t == "regressor"} == {f"{p}{m}" for p in ("", "plain_") for m in ("r2", "mae", "mse", "rmse")}
+    assert all(0 <= v <= 1 for (t, m), v in found.items() if m in weighted) and all(found[t, "accuracy"] == found[t, "recall"] for t in ("classifier", "comparator"))
+    assert abs(found["regressor", "rmse"] ** 2 - found["regressor", "mse"]) < 1e-4
+
+
 def test_every_query_is_checked():
     """A query without SQL is checked by name here or among the models."""
     models = {"classifier_fit_predict", "comparator_fit_predict", "regressor_fit_predict", "importance_top10"}
-    assert set(QUERIES) - set(ORACLE) == models | {"regressor_search", "comparator_rounds", "screening_pipeline"}
+    assert set(QUERIES) - set(ORACLE) == models | {"regressor_search", "comparator_rounds", "screening_pipeline", "training_tiers"}
