@@ -28,6 +28,8 @@ from .textstats import counts
 SAMPLE_DOCS = 1500
 #: A text is kept at this calibrated probability of good quality or more.
 LEAST_GOOD = 0.5
+#: Rows of a sample that go to the driver at most.
+MOST_ROWS = 8 * SAMPLE_DOCS
 #: The base rules' bounds.
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
 
@@ -35,7 +37,10 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def sparse_rows(labelled: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Features, target, weight and fold of a bounded frame (doc_id, text, target, weight) on the driver."""
+    """Features, target, weight and fold of a sample (doc_id, text, target, weight) on the driver, of at most MOST_ROWS rows.
+
+    Samples are drawn by ids and hold some SAMPLE_DOCS rows a class; only where one id has very many rows do they
+    pass the bound, and rows of the lowest hashes of id and text are taken then."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -43,7 +48,7 @@ def sparse_rows(labelled: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32())), *batch.columns[1:]], names=["keys", "values", "target", "weight", "fold"])
 
     fold = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(5))
-    rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("target").cast("double").alias("target"), F.col("weight").cast("double").alias("weight"), fold.cast("bigint").alias("fold"))
+    rows = labelled.orderBy(F.xxhash64(F.lit(23), "doc_id", "text"), "target").limit(MOST_ROWS).select(F.col("text").cast("string").alias("text"), F.col("target").cast("double").alias("target"), F.col("weight").cast("double").alias("weight"), fold.cast("bigint").alias("fold"))
     table = rows.mapInArrow(run, "keys array<int>, values array<float>, target double, weight double, fold bigint").toArrow().combine_chunks()
     split = lambda name: [x.values.to_numpy() for x in table.column(name)]
     return split("keys"), split("values"), *(table.column(name).to_numpy() for name in ("target", "weight", "fold"))

@@ -480,3 +480,16 @@ def test_rest_imports_without_this_subpackage(folder, tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'top_sequences' in q and not any(n.startswith('op') for n in q) and set(e.oracle_sql()) <= set(q)"
     env = {k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env)
+
+
+def test_samples_stay_bounded_where_one_id_has_all_rows(spark, monkeypatch):
+    """Samples are drawn by ids; rows of one id are cut at the bound, the same ones whatever the partitions."""
+    monkeypatch.setattr(quality_rules, "MOST_ROWS", 40)
+    rows = spark.range(3000).select(F.lit(7).cast("bigint").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"), (F.col("id") % 2).alias("target"), F.lit(1.0).alias("weight"))
+    once, again = (quality_rules.sparse_rows(rows.repartition(n)) for n in (3, 11))
+    assert len(once[2]) == len(again[2]) == 40 and once[2].tolist() == again[2].tolist() and len(set(once[4].tolist())) == 1
+    few = rows.limit(15)
+    assert len(quality_rules.sparse_rows(few)[2]) == 15
+    docs = rows.drop("target", "weight")
+    judged = quality_classifier.classify(docs.limit(300))
+    assert judged.count() == 300
