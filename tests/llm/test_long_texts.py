@@ -1,0 +1,108 @@
+"""Texts of a megabyte through the operators, against the library, plain Python and brute force."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from peptrail.llm import bpe, imatch, jaccard, langid, packing, quality_rules, suffix_dedup, token_output
+from peptrail.llm.common import new_folder
+from tests.llm.frames import DOCS
+
+
+def prose(n, seed):
+    r = random.Random(seed)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyzéß", k=r.randrange(2, 9))) for _ in range(20_000)]
+    out, size = [], 0
+    while size < n:
+        out.append(r.choice(words) + (".\n" if r.random() < 0.05 else ""))
+        size += len(out[-1]) + 1
+    return " ".join(out)
+
+
+LONG = prose(1_000_000, 1)
+NEAR = LONG[:400_000] + " changed here " + LONG[400_000:]
+OTHER = prose(1_000_000, 2)
+TEXTS = {1: LONG, 2: NEAR, 3: OTHER, 4: "short", 5: "x" * 1_000_000}
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(k, t, "en" if k % 2 else "fr", "s", len(t)) for k, t in TEXTS.items()], DOCS).persist()
+
+
+@pytest.fixture(scope="module")
+def ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.no_truncation()
+    t.no_padding()
+    return {k: t.encode(x, add_special_tokens=False).ids for k, x in TEXTS.items() if k != 5}
+
+
+def test_tokens(spark, docs, ids):
+    few = docs.where("doc_id != 5")
+    found = {r.doc_id: r for r in bpe.round_trip(few).collect()}
+    for k, own in ids.items():
+        assert found[k].n_tokens == len(own) and found[k].ids_sha256 == hashlib.sha256(",".join(map(str, own)).encode()).hexdigest()
+        assert found[k].decoded_sha256 == hashlib.sha256(TEXTS[k].encode()).hexdigest()
+    path = new_folder(spark, "tokens")
+    token_output.write(few, path)
+    crc = {r.doc_id: r.ids_crc32 for r in token_output.digests(spark, path).collect()}
+    assert crc == {k: zlib.crc32(np.array([*own, 0], "<u4").tobytes()) for k, own in ids.items()}
+
+
+def test_packing(docs, ids):
+    rows = packing.pack(docs.where("doc_id != 5")).collect()
+    for k, own in ids.items():
+        mine = sorted((r for r in rows if r.doc_id == k), key=lambda r: r.piece)
+        assert sum(r.length for r in mine) == len(own) + 1 and all(r.length <= 1024 for r in mine)
+        whole = np.array([*own, 2], "<u4")
+        assert all(zlib.crc32(whole[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in mine)
+
+
+def test_near_copies(docs):
+    found = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.groups(docs).collect()}
+    assert found == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0), 5: (5, 0)}
+
+
+def test_repeats(docs):
+    seen, want = set(), {}
+    for k in sorted(TEXTS):
+        raw = TEXTS[k].encode()
+        own = {raw[i : i + 50] for i in range(len(raw) - 49)}
+        gone = np.zeros(len(raw) + 1, int)
+        for i in range(len(raw) - 49):
+            if raw[i : i + 50] in seen:
+                gone[i] += 1
+                gone[min(i + 50, len(raw))] -= 1
+        keep = np.frombuffer(raw, np.uint8)[np.cumsum(gone)[:-1] == 0]
+        want[k] = (len(raw), len(raw) - len(keep), hashlib.sha256(keep.tobytes()).hexdigest())
+        seen |= own
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect()} == want
+
+
+def test_counts_and_languages(docs):
+    found = {r.doc_id: r for r in quality_rules.judge(docs, None).collect()}
+    for k, text in TEXTS.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        assert (found[k].n_words, found[k].word_chars) == (len(words), sum(map(len, words)))
+        lines = [x for x in text.split("\n") if x.strip(" \t\r\x0b\x0c")]
+        assert found[k].n_dup_lines == len(lines) - len(set(lines))
+    named = langid.predict(docs, langid.fit(docs)).collect()
+    assert len(named) == len(TEXTS) and all(0 <= r.lang_score <= 1 for r in named)
+
+
+def test_fingerprints(docs):
+    rows = {r.doc_id: r for r in imatch.compare(docs).collect()}
+    assert {k: r.n_chars for k, r in rows.items()} == {k: len(t) for k, t in TEXTS.items()}
+    after = {5: 4, 4: 3, 3: 2, 2: 1, 1: 5}
+    for k, r in rows.items():
+        half = len(TEXTS[k]) // 2
+        edited = TEXTS[k][: len(TEXTS[k]) - half] + TEXTS[after[k]][:half]
+        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
