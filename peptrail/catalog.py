@@ -898,7 +898,7 @@ def screening_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = peptides(spark, sf_dir)
     ready = train.feature_rows(rows.where("mic is not null"), embeddings(spark, sf_dir)).persist()
     classifier = models.fit_classifier(train.classifier_rows(ready), SMALL)
-    comparator = models.fit_comparator(train.comparator_rows(ready, most=1000.0, cap=5000), SMALL)
+    comparator = models.fit_comparator(train.comparator_rows(ready, most=1000.0), SMALL)
     regressor = models.fit_regressor(train.regressor_rows(ready, most=1000.0), SMALL)
     seen = ready.join(rows.select("row_id", "seq"), "row_id").select(F.col("row_id").alias("seq_id"), "seq", "features")
     return screen.screen(seen, classifier, comparator, regressor)
