@@ -881,7 +881,7 @@ def regressor_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def training_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tier, metric, value of the three tiers over peptides with embeddings, trained end to end and written, with few rounds."""
     ready = train.feature_rows(peptides(spark, sf_dir).where("mic is not null"), embeddings(spark, sf_dir)).persist()
-    few = models.Settings(rounds=4, depth=3, least_rows=5, patience=2, folds=3, scaler="standard")
+    few = models.Settings(rounds=3, depth=3, least_rows=5, patience=2, folds=2, scaler="standard")
     fits = {"classifier": (few, {}), "comparator": (few, {"cap": 5000, "most": 1000.0}), "regressor": (replace(few, subsample=1.0, scaler="robust", grid={"rounds": [2, 4], "rate": [0.1, 0.3]}), {"most": 1000.0})}
     folder, out = sinks.scratch(spark, "tiers"), None
     for name, (settings, more) in fits.items():
