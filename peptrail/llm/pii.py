@@ -79,7 +79,12 @@ def _luhn(digits: Column) -> Column:
 
 
 #: Matches placed one after the other; blocks of them are then moved as one, which keeps many matches linear.
-BLOCK = 256
+BLOCK, SECTION = 64, 64 * 64
+
+
+def named(what: Column, use) -> Column:
+    """An expression over another one that is evaluated once: a one-element array binds it to a name."""
+    return F.element_at(F.transform(F.array(what), use), 1)
 
 
 def _matches(text: Column, pattern: str, worth: Column, around: int = 0) -> Column:
@@ -114,14 +119,16 @@ def _matches(text: Column, pattern: str, worth: Column, around: int = 0) -> Colu
     zero = F.struct(F.lit(0).alias("end"), none.alias("out"))
     zeros = F.struct(F.lit(0).alias("end"), F.expr(f"cast(array() as array<array<struct<{kind}>>>)").alias("out"))
 
+    def blocks(whole: Column, size: int, each) -> Column:
+        last = F.greatest(F.floor((F.size(whole) - 1) / size).cast("int"), F.lit(0))
+        parts = F.transform(F.sequence(F.lit(0), last), lambda b: named(F.slice(whole, b * size + 1, size), each))
+        return F.aggregate(parts, zeros, move, lambda state: F.struct(state["end"].alias("end"), F.flatten(state["out"]).alias("out")))
+
     def placed(whole: Column) -> Column:
-        many = F.size(whole)
-        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((many - 1) / BLOCK).cast("int"), F.lit(0))), lambda b: F.aggregate(F.slice(whole, b * BLOCK + 1, BLOCK), zero, place))
-        return F.flatten(F.aggregate(blocks, zeros, move, lambda state: state["out"]))
+        # A slice costs a walk over its whole array, so blocks are cut from sections.
+        return blocks(whole, SECTION, lambda section: blocks(section, BLOCK, lambda block: F.aggregate(block, zero, place)))["out"]
 
-    # A one-element array binds the pairs to a name, so that they are found once.
-    bound = F.transform(F.array(F.filter(pairs, lambda x: x["what"].isNotNull())), placed)
-    return F.when(worth, F.element_at(bound, 1)).otherwise(none)
+    return F.when(worth, named(F.filter(pairs, lambda x: x["what"].isNotNull()), placed)).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -137,10 +144,10 @@ def base_spans(text: Column) -> Column:
         "phone": F.filter(_matches(text, PHONE, text.rlike(r"\+[0-9]")), lambda x: length(x).between(10, 15)),
     }
 
-    def named(kind: str) -> Column:
+    def of_kind(kind: str) -> Column:
         return F.transform(kept[kind], lambda m: F.struct(m["at"].alias("at"), F.lit(KINDS.index(kind)).alias("rank"), (m["at"] + m["len"]).alias("end"), F.lit(kind).alias("kind"), m["what"].alias("what")))
 
-    return F.array_sort(F.concat(*map(named, KINDS)))
+    return F.array_sort(F.concat(*map(of_kind, KINDS)))
 
 
 def token_places(text: Column) -> Column:
@@ -289,13 +296,13 @@ def hidden(text: Column, spans: Column) -> Column:
         return one
 
     def block(state: Column, b: Column) -> Column:
-        some = F.slice(spans, b * BLOCK + 1, BLOCK)
+        some = F.slice(spans, b * 16 * BLOCK + 1, 16 * BLOCK)
         part = F.substring(text, state["end"] + 1, F.greatest(F.array_max(F.transform(some, lambda s: s["end"])) - state["end"], F.lit(0)))
         start = F.struct(state["end"].alias("end"), strings.alias("out"))
-        done = F.element_at(F.transform(F.array(part), lambda p: F.aggregate(some, start, put(p, state["end"]), lambda x: F.struct(x["end"].alias("end"), F.array_join(x["out"], "").alias("out")))), 1)
-        return F.element_at(F.transform(F.array(done), lambda d: F.struct(d["end"].alias("end"), F.concat(state["out"], F.array(d["out"])).alias("out"))), 1)
+        done = named(part, lambda p: F.aggregate(some, start, put(p, state["end"]), lambda x: F.struct(x["end"].alias("end"), F.array_join(x["out"], "").alias("out"))))
+        return named(done, lambda d: F.struct(d["end"].alias("end"), F.concat(state["out"], F.array(d["out"])).alias("out")))
 
-    blocks = F.when(F.size(spans) > 0, F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
+    blocks = F.when(F.size(spans) > 0, F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / (16 * BLOCK)).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
     start = F.struct(F.lit(0).alias("end"), strings.alias("out"))
     return F.aggregate(blocks, start, block, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["end"] + 1, F.length(text))))
 
