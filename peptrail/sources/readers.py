@@ -21,6 +21,17 @@ ASSAY = T.StructType([T.StructField(c, T.StringType()) for c in ("category", "se
 EMBEDDINGS = T.StructType([T.StructField("seq", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
 
+#: How CSV is read: a quote is doubled and a backslash plain, and a quoted empty field is an empty text where a bare one is missing.
+#: The mark is no character of any text; Spark would take both for missing if its mark were the empty one.
+CSV = {"header": True, "escape": '"', "nullValue": "\uffff"}
+
+
+def csv(spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = False) -> DataFrame:
+    """CSV with a header, as `sinks.write_csv` writes it. Texts with line breaks need multi_line, by which a file is read by one task."""
+    more = {"multiLine": True, "lineSep": "\n"} if multi_line else {}
+    return spark.read.schema(schema).options(**CSV, **more).csv(path)
+
+
 #: Blocks of files whose counts may be broadcast; more are joined.
 BROADCAST_BLOCKS = 100_000
 
@@ -35,16 +46,17 @@ def in_file_order(rows: DataFrame, name: str) -> DataFrame:
     before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select("_file", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
     few = rows.rdd.getNumPartitions() + len(rows.inputFiles()) <= BROADCAST_BLOCKS
-    numbered = placed.join(F.broadcast(shifts) if few else shifts, ["_file", "_start"])
+    # Every row has its block's counts; a left join tells Spark so, which then drops it where no number is asked for.
+    numbered = placed.join(F.broadcast(shifts) if few else shifts, ["_file", "_start"], "left")
     return numbered.select((F.col("_row") + F.col("_shift")).alias(name), *rows.columns)
 
 
-def assay(spark: SparkSession, path: str) -> DataFrame:
-    """An assay CSV with a header in any column order: declared types, engine names, and src_ord in file order."""
+def assay(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """An assay CSV with a header in any column order: declared types, engine names, and src_ord in file order. multi_line as in `csv`."""
     names = spark.read.option("header", True).csv(path).columns  # reads the first line only
     kinds = {f.name: f.dataType for f in ASSAY.fields}
     schema = T.StructType([T.StructField(n, kinds.get(ASSAY_HEADER.get(n, n), T.StringType())) for n in names])
-    rows = spark.read.schema(schema).option("header", True).csv(path)
+    rows = csv(spark, path, schema, multi_line)
     return in_file_order(rows, "src_ord").select("src_ord", *(F.col(f"`{n}`").alias(ASSAY_HEADER.get(n, n)) for n in names))
 
 
@@ -56,7 +68,7 @@ def sequences(spark: SparkSession, path: str) -> DataFrame:
 def structure_features(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A CSV keyed by seq with numeric columns; src_ord keeps file order."""
     schema = T.StructType([T.StructField("seq", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in columns)])
-    return in_file_order(spark.read.schema(schema).option("header", True).csv(path), "src_ord").select("seq", *columns, "src_ord")
+    return in_file_order(csv(spark, path, schema), "src_ord").select("seq", *columns, "src_ord")
 
 
 def embedding_cache(spark: SparkSession, path: str) -> DataFrame:
