@@ -44,3 +44,12 @@ def odd_dir(tmp_path_factory):
 
 def test_assay_file_of_odd_texts(spark, odd_dir):
     assert len(same(spark, odd_dir, "assay_round_trip")) == len(ODD) * 6
+
+
+def test_sample_of_more_pairs_than_the_cap(spark, tmp_path):
+    """4,600 items have 10,577,700 pairs, more than the ten million that the SQL numbers."""
+    import pyarrow as pa
+
+    n = 4600
+    items = pa.table({"vec_id": pa.array(range(n), pa.int64()), "embedding": pa.array([[0.5]] * n, pa.list_(pa.float32())), "label": pa.array([k % 5 for k in range(n)], pa.int32())})
+    assert 4000 < len(same(spark, write(tmp_path, embeddings=items), "sample_pairs")) < 5000
