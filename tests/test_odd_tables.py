@@ -1,8 +1,11 @@
 """Registered queries against their SQL on tables that the given ones do not show: odd texts, more pairs than the cap, long groups."""
 
+import pyarrow as pa
 import pytest
 
 from peptrail import catalog
+from peptrail.functions.residues import ALPHABET
+from peptrail.sources import candidates
 from tests.compare import duck
 
 QUERIES, ORACLE = catalog.queries(), catalog.oracle_sql()
@@ -32,8 +35,6 @@ ODD = ["", " ", " en", "en ", "a,b", 'q"q', '"', '""', "back\\slash", "end\\", '
 @pytest.fixture(scope="module")
 def odd_dir(tmp_path_factory):
     """Texts without letters, missing ones, and names with spaces, quotes, backslashes and line breaks."""
-    import pyarrow as pa
-
     texts = ["", None, "12 34 .", "ACDE acde", "LRLRLRLR VRVRVRR 7", "ZZZ"]
     rows = [(n, texts[n % len(texts)], ODD[n % len(ODD)], ODD[(n * 5 + 3) % len(ODD)]) for n in range(len(ODD) * len(texts))]
     docs = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string()), "lang": pa.array([r[2] for r in rows], pa.string()), "source": pa.array([r[3] for r in rows], pa.string()), "n_chars": pa.array([len(r[1] or "") for r in rows], pa.int64())})
@@ -48,8 +49,29 @@ def test_assay_file_of_odd_texts(spark, odd_dir):
 
 def test_sample_of_more_pairs_than_the_cap(spark, tmp_path):
     """4,600 items have 10,577,700 pairs, more than the ten million that the SQL numbers."""
-    import pyarrow as pa
-
     n = 4600
     items = pa.table({"vec_id": pa.array(range(n), pa.int64()), "embedding": pa.array([[0.5]] * n, pa.list_(pa.float32())), "label": pa.array([k % 5 for k in range(n)], pa.int32())})
     assert 4000 < len(same(spark, write(tmp_path, embeddings=items), "sample_pairs")) < 5000
+
+
+@pytest.mark.parametrize("name", ["words_in_texts", "words_in_no_text", "candidates_in_texts", "candidates_in_texts_means"])
+def test_words_of_odd_texts(spark, odd_dir, name):
+    same(spark, odd_dir, name)
+
+
+def test_words_are_told_before_the_shuffle(spark, monkeypatch):
+    """Copies in one part of a task are one row, parts end between texts, and few words but those that pass leave it."""
+    monkeypatch.setattr(candidates, "AT_ONCE", 30)
+    texts = ["LRLRLRLRVRRVRV", "lrl rlr\u00e9l", "", None, "GGGGGGGGGGGGGGGGGGGGGGGGGGGGGGGGGGGG", "RRVRRVV K ACDEF", "AC", "LRLRLR", "L"] * 3
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    seqs = ["".join(c for c in (t or "").upper() if c in ALPHABET) for t in texts]
+    every = {s[i : i + 7] for s in seqs for i in range(len(s) - 6)}
+    found = {r.word for r in candidates.distinct_words_in(rows, 7, "text", raw=True).collect()}
+    few = {r.word for r in candidates.distinct_words_in(rows, 7, "text", promising=True, raw=True).collect()}
+    assert found == every and few < every
+    passing = candidates.emitted(spark.createDataFrame([(0, w) for w in sorted(every)], "num long, word string")).select("seq").distinct().collect()
+    assert passing and {r.seq[:7] for r in passing} <= few
+    counts = {r.word: r.texts for r in candidates.words_in(spark.createDataFrame([(s,) for s in seqs], "seq string"), 7).collect()}
+    assert counts == {w: sum(w in s for s in seqs) for w in every}
+    batches = candidates._numbers_in(7, False, True, True)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))
+    assert sum(b.num_rows for b in batches) < sum(max(len(s) - 6, 0) for s in seqs) / 2
