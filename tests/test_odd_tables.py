@@ -2,9 +2,11 @@
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from peptrail import catalog
 from peptrail.functions.residues import ALPHABET
+from peptrail.operators import indexing
 from peptrail.sources import candidates
 from tests.compare import duck
 
@@ -75,3 +77,19 @@ def test_words_are_told_before_the_shuffle(spark, monkeypatch):
     assert counts == {w: sum(w in s for s in seqs) for w in every}
     batches = candidates._numbers_in(7, False, True, True)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))
     assert sum(b.num_rows for b in batches) < sum(max(len(s) - 6, 0) for s in seqs) / 2
+
+
+def _nodes(plan):
+    yield plan
+    for k in range(plan.children().size()):
+        yield from _nodes(plan.children().apply(k))
+
+
+@pytest.mark.parametrize("most", [500_000, 40])
+def test_keys_are_numbered_without_their_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(indexing, "RANGE_ROWS", most)
+    rows = spark.range(100).select((F.col("id") * 7 % 100 * 3).alias("k"), F.lit("long text").alias("wide"))
+    found = indexing.dense_index(rows, "k", "n")
+    assert found.columns == ["k", "wide", "n"] and sorted((r.k, r.n) for r in found.collect()) == [(3 * n, n) for n in range(100)]
+    windows = [n for n in _nodes(found._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Window"]
+    assert windows and not any("wide" in n.output().mkString(",") for n in windows)
