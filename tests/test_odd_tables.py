@@ -93,3 +93,16 @@ def test_keys_are_numbered_without_their_rows(spark, monkeypatch, most):
     assert found.columns == ["k", "wide", "n"] and sorted((r.k, r.n) for r in found.collect()) == [(3 * n, n) for n in range(100)]
     windows = [n for n in _nodes(found._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Window"]
     assert windows and not any("wide" in n.output().mkString(",") for n in windows)
+
+
+def test_files_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """The last doubling of 3,000 ids is half of them, and no one file."""
+    monkeypatch.setattr(catalog, "FILE_ROWS", 100)
+    n = 3000
+    docs = pa.table({"doc_id": pa.array(range(n), pa.int64()), "text": pa.array(["ACDEF" * (1 + k % 3) for k in range(n)]), "lang": pa.array(["en" if k % 3 else "de" for k in range(n)]), "source": pa.array(["src1"] * n), "n_chars": pa.array([5] * n, pa.int64())})
+    events = pa.table({"event_id": pa.array(range(0, n, 2), pa.int64()), "value": pa.array([1.5] * (n // 2), pa.float64())})
+    folder = write(tmp_path, documents=docs, events=events)
+    same(spark, folder, "files_in_order")
+    written = {f for f in QUERIES["files_in_order"](spark, folder).inputFiles() if f.endswith(".csv")}
+    sizes = [spark.read.option("header", True).csv(f).count() for f in sorted(written)]
+    assert sum(sizes) == n and max(sizes) <= 400
