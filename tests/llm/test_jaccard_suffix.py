@@ -242,3 +242,14 @@ def test_refinement(length):
     for s, b in zip(kept.tolist(), bucket.tolist(), strict=True):
         got.setdefault(b, []).append(s)
     assert sorted(tuple(sorted(g)) for g in got.values()) == want
+
+
+def test_components_end_once_links_are_stars(spark, monkeypatch):
+    """Links that are stars take no step, and the last step is followed by none that only shows that nothing changes."""
+    from peptrail.llm import components as module
+
+    steps, step = [], module._small_star
+    monkeypatch.setattr(module, "_small_star", lambda *a: steps.append(1) or step(*a))
+    found = lambda pairs: {r.node: r.root for r in module.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    assert found([(5, 1), (3, 1), (8, 7)]) == {5: 1, 3: 1, 8: 7} and not steps
+    assert found([(2, 1), (3, 2)]) == {2: 1, 3: 1} and len(steps) == 1
