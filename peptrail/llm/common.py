@@ -60,21 +60,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def cut_by(df: DataFrame, parts: int, key: str) -> DataFrame:
-    """As `cut`, with rows partitioned and sorted by a key in a way that later joins on it know, so that these rows stay where they are.
+def cut_as_is(df: DataFrame) -> DataFrame:
+    """As `cut`, and later joins and groups know how these rows are partitioned and sorted, so that they stay where they are.
 
-    Under adaptive execution a checkpoint forgets its partitioning; it is off for this one step, which has
-    no choice to make at run time."""
+    Under adaptive execution a checkpoint forgets its partitioning; it is off for this one step."""
     spark = df.sparkSession
     prepare(spark)
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return df.repartition(parts, key).sortWithinPartitions(key).checkpoint(eager=True)
+        return df.checkpoint(eager=True)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
+def cut_by(df: DataFrame, parts: int, key: str) -> DataFrame:
+    """As `cut_as_is`, with rows partitioned and sorted by a key; there is no choice to make at run time."""
+    return cut_as_is(df.repartition(parts, key).sortWithinPartitions(key))
+
+
 def free(spark: SparkSession) -> None:
     """Let Spark's cleaner see that finished steps' shuffle files and checkpoints have no user left."""
     import gc

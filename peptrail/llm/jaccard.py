@@ -7,8 +7,8 @@
    of candidates, found as connected components of light rows, and no pair is written out.
 3. In each block the full sets are compared: members are sorted by size and dealt into tiles, bounded by
    rows and by grams, and tiles meet only where sizes allow the threshold. A pair counts if its exact Jaccard similarity reaches the
-   threshold, whether or not it shares a band. A tile reports numbers of links and a spanning forest, not pairs.
-4. The components of the forests are the groups.
+   threshold, whether or not it shares a band. A tile reports numbers of links and its components as stars, not pairs.
+4. The components of the stars are the groups.
 
 Numbers of links are exact, so a block of n different near copies costs comparisons of n * n / 2 pairs, in
 tasks of two tiles; nothing but the tiles' counts leaves a task.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bytes_of, cut, free, hashed, mixed, pieces_of, prepare, unused, with_key, words_of
-from .components import components
+from .components import components, small_stars
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 192
 #: Classes in a tile, and the grams that each of them counts for at least; a task compares two tiles at a time.
@@ -139,7 +139,7 @@ def _matched(left: list[np.ndarray], right: list[np.ndarray], threshold: float)
 
 
 def _forest(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two lists of nodes."""
+    """The components of the links between two lists of nodes, as stars: every other node with the least one."""
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -148,14 +148,12 @@ def _forest(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[
             x = root[x]
         return x
 
-    out = []
     for i in np.flatnonzero(hit.any(1)).tolist():
         for j in np.flatnonzero(hit[i]).tolist():
             a, b = find(int(left[i])), find(int(right[j]))
             if a != b:
                 root[max(a, b)] = min(a, b)
-                out.append((int(left[i]), int(right[j])))
-    return out
+    return [(x, find(x)) for x in list(root)]
 
 
 def link(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> DataFrame:
@@ -177,8 +175,8 @@ def link(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     signed = signed.select("_row", "_bands").join(firsts, "_row", "left_semi")
     spread = signed.select("_row", F.posexplode("_bands").alias("band", "hash"))
     buckets = spread.groupBy("band", "hash").agg(F.min("_row").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = spread.join(buckets, ["band", "hash"]).where("_row != least").select(F.col("_row").alias("a"), F.col("least").alias("b")).distinct()
-    found = components(edges)
+    linked = spread.join(buckets, ["band", "hash"]).where("_row != least").groupBy(F.col("_row").alias("a")).agg(F.collect_set("least").alias("smaller"))  # a node for each band at most
+    found = components(small_stars(linked))
     free(spark)
     blocks = found.union(found.select(F.col("root").alias("node"), "root").distinct())
     found_links, forest = _verify(numbered, firsts, cut(blocks), words, threshold)
@@ -192,7 +190,7 @@ def link(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
 
 
 def _verify(numbered: DataFrame, firsts: DataFrame, blocks: DataFrame, words: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Exact links within blocks (node, root): (_row, links), and a spanning forest (a, b)."""
+    """Exact links within blocks (node, root): (_row, links), and stars (a, b) whose components are the groups."""
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -253,3 +253,40 @@ def test_components_end_once_links_are_stars(spark, monkeypatch):
     found = lambda pairs: {r.node: r.root for r in module.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
     assert found([(5, 1), (3, 1), (8, 7)]) == {5: 1, 3: 1, 8: 7} and not steps
     assert found([(2, 1), (3, 2)]) == {2: 1, 3: 1} and len(steps) == 1
+
+
+@pytest.mark.parametrize("hot", [1, 3])
+def test_components_with_hubs_on_either_side(spark, monkeypatch, hot):
+    """Nodes of many smaller or larger neighbours meet their edges by a broadcast."""
+    monkeypatch.setattr(components, "HOT_EDGES", hot)
+    low = [(50, k) for k in range(20, 50)]  # a hub above its neighbours
+    high = [(k, 100) for k in range(101, 130)]  # a hub below them
+    paths = [(k, k + 1) for k in range(200, 212)] + [(100, 205), (212, 50)]
+    edges = low + high + paths + [(400, 401), (401, 402)]
+    nodes = {x for e in edges for x in e}
+    want = {(x, 400 if x >= 400 else 20) for x in nodes} - {(20, 20), (400, 400)}
+    found = components.components(spark.createDataFrame(edges, "a bigint, b bigint"))
+    assert {tuple(x) for x in found.collect()} == want
+
+
+def test_components_take_few_stages(spark):
+    """A round has no stages for looks and broadcasts of their own: each stage has as many tasks as there are shuffle partitions."""
+    edges = spark.createDataFrame([(2, 1), (3, 2), (8, 7)], "a bigint, b bigint").coalesce(1)
+    context, group = spark.sparkContext, "components-few-stages"
+    context.setJobGroup(group, group)
+    try:
+        found = components.components(edges).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert {tuple(x) for x in found} == {(2, 1), (3, 1), (8, 7)}
+    tracker = context.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}
+    infos = [x for s in stages if (x := tracker.getStageInfo(s))]
+    assert len([x for x in infos if x.numCompletedTasks]) <= 15  # 26 before
+
+
+def test_components_of_a_tile_are_stars():
+    """A chain of links leaves a tile as a star around its least node, so that no step has to shorten it."""
+    hit = np.array([[0, 1, 0], [1, 0, 1], [0, 1, 0]], bool)
+    node = np.array([9, 5, 2])
+    assert sorted(jaccard._forest(hit, node, node)) == [(5, 2), (9, 2)]
