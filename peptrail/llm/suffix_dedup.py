@@ -5,18 +5,23 @@ only suffixes that can repeat, each window of `length` bytes is known by its anc
 least-hashed `GRAM`-byte strings: equal windows have equal anchors at the same place, and one anchor stands
 for a run of windows, about seventeen of them.
 
-1. Texts are packed into units of about a megabyte, compressed and written down once.
-2. Each unit sends, for each distinct anchor with its whole context (all bytes of its windows), a hash of
-   the anchor, a name of the context (96 bits) and the least document to the anchor's bucket. Copies in a
-   unit have become one by then.
-3. A bucket answers: contexts that a smaller document has in full are covered; anchors with several
-   contexts need a finer look, in the units that hold the least document of each context.
-4. Those units send the contexts' bytes to the bucket. There all suffixes are put in buckets by their first
-   eight bytes; a suffix's pointer is the place where its bucket ends. Buckets of several suffixes are refined
-   by sorting on the pointers at later offsets (8, 16, 32, ...), which that round rewrites in place, so that
-   the next one sorts on refined pointers, until equal pointers mean equal windows; suffixes alone in a bucket
-   drop out. A window is covered if its bucket holds one of a smaller document.
-5. Every unit joins its answers, repeats those of a context at its other places in the unit, and cuts its
+1. Texts are packed into units of about a megabyte, compressed and written down once. Several units make a
+   pack; what packs and buckets send each other are rows of a pack and a bucket, as rows of each unit and
+   bucket would grow with the square of the input.
+2. Each unit finds, for each distinct anchor with its whole context (all bytes of its windows), a hash of
+   the anchor, a name of the context (96 bits), two hashes of bytes beside the anchor and the least document;
+   its pack sends them to the anchor's bucket. Copies in a unit have become one by then.
+3. A bucket answers: contexts that a smaller document has in full are covered. Of an anchor with several
+   contexts, those need a finer look that share bytes beside the anchor with one of another document: a window
+   reaches half its rest or more to the left of its anchor or to the right, so contexts that differ on both
+   sides share none. Chance repeats of an anchor end here; their part grows with the input.
+4. The packs with the least document of such contexts send the contexts' bytes to the bucket. There, some
+   anchors at a time, all suffixes are put in buckets by their first eight bytes; a suffix's pointer is the
+   place where its bucket ends. Buckets of several suffixes are refined by sorting on the pointers at later
+   offsets (8, 16, 32, ...), which that round rewrites in place, so that the next one sorts on refined
+   pointers, until equal pointers mean equal windows; suffixes alone in a bucket drop out. A window is covered
+   if its bucket holds one of a smaller document.
+5. Every pack joins its answers, repeats those of a context at its other places in the unit, and cuts its
    texts.
 
 Copies of a whole context are thus known by its name beside the anchor's hash, some 140 bits, as first buckets
@@ -24,8 +29,9 @@ of long strings; their bytes are not compared.
 
 Defined results: null text is empty text; null ids count as larger than all others; documents of equal
 ids never cover each other; repeated rows get a row each; other columns are ignored; an empty table gives no
-rows. A very long text is a unit of its own, held in one task with some 100 bytes for each of its bytes. An
-anchor of very many contexts has their bytes in one task, those of different contexts once.
+rows. A very long text is a unit and a pack of its own, held in one task with some 100 bytes for each of its
+bytes. An anchor of very many contexts that share more has their bytes in one task, those of different contexts
+once.
 """
 
 from __future__ import annotations
@@ -42,8 +48,10 @@ from pyspark.sql import functions as F
 from .common import PIECE_BYTES, bytes_of, cut, cut_by, free, mixed, pieces_of, powers, prepare, trim
 
 LENGTH, GRAM = 50, 16
-#: Bytes of text that one bucket's anchors stand for.
-BUCKET_BYTES = 3 << 20
+#: Units of a pack, at most as many times PIECE_BYTES of text or one unit.
+PACK_UNITS = 8
+#: Bytes of text that one bucket's anchors stand for, and bytes of contexts that a finer look takes at once, or one anchor's.
+BUCKET_BYTES, LOOK_BYTES = 6 << 20, 2 << 20
 NO_ID = np.iinfo(np.int64).max
 
 BASE = 0x9E3779B97F4A7C15
@@ -58,6 +66,7 @@ class Unit:
         empty = np.zeros(0, np.int64)
         self.anchor = self.low = self.high = self.doc = self.left = self.right = empty
         self.group, self.context, self.context_too = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.before = self.after = np.zeros(0, np.uint16)
         n, width = len(data), length - GRAM + 1
         if n < length:
             return
@@ -95,10 +104,19 @@ class Unit:
                 more = mixed(more * np.uint64(5) + gram[np.minimum(self.left + k, self.right - GRAM)])
             self.context_too = (more >> np.uint64(32)).astype(np.uint32)
             self.group = mixed(gram[self.anchor] + np.uint64(0x5851F42D4C957F2D))
+        # Of each window's rest beside the anchor, half or more lies on one side; 0 where no window of the run has it there.
+        half = width // 2
+        self.before = np.where(self.anchor - self.low >= half, _side(gram[np.maximum(self.anchor - half, 0)]), np.uint16(0))
+        self.after = np.where(self.high + length - self.anchor - GRAM >= half, _side(gram[np.minimum(self.anchor + half, len(gram) - 1)]), np.uint16(0))
 
     def records(self) -> tuple[np.ndarray, np.ndarray]:
         """One anchor of the least document for each distinct (group, context), in ascending order; and the number of its record for each anchor."""
-        order = np.lexsort((self.ids[self.doc], self.context, self.group))
+        order = np.argsort(self.group)
+        again, several = self.group[order][1:] == self.group[order][:-1], np.zeros(len(order), bool)
+        several[1:] = again
+        several[:-1] |= again
+        k = order[several]  # the rest are alone in their group
+        order[several] = k[np.lexsort((self.ids[self.doc[k]], self.context[k], self.group[k]))]
         new = np.ones(len(order), bool)
         new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in (self.group, self.context, self.context_too)])
         number = np.empty(len(order), np.int64)
@@ -106,33 +124,42 @@ class Unit:
         return order[new], number
 
 
-def _unit_of(blob: bytes, at: bytes, ids: bytes, length: int) -> Unit:
+def _side(gram: np.ndarray) -> np.ndarray:
+    return np.maximum(gram >> np.uint64(48), np.uint64(1)).astype(np.uint16)
+
+
+def _texts_of(pack: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The units of a pack in the order of their numbers: bytes, offsets of texts, ids."""
     import zstandard
 
-    trim()
-    data = np.frombuffer(zstandard.decompress(blob), np.uint8) if blob else np.zeros(0, np.uint8)
-    return Unit(data, np.frombuffer(at, np.int64), np.frombuffer(ids, np.int64), length)
+    for _, blob, at, ids in sorted(zip(*(pack.column(name).to_pylist() for name in ("unit", "blob", "at", "ids")), strict=True)):
+        data = np.frombuffer(zstandard.decompress(blob), np.uint8) if blob else np.zeros(0, np.uint8)
+        yield data, np.frombuffer(at, np.int64), np.frombuffer(ids, np.int64)
 
 
 def _units(docs: DataFrame) -> DataFrame:
-    """Units of about a megabyte: unit, blob (compressed texts), at (offsets), ids."""
+    """Units of about a megabyte: pack, unit, blob (compressed texts), at (offsets), ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         pack, number = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 32
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        first, many, total = number, 0, 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal number
+            nonlocal number, first, many, total
             data = np.concatenate([x[0] for x in held])
             sizes = np.concatenate([np.diff(x[1]) for x in held])
             at = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
             ids = np.concatenate([x[2] for x in held])
             held.clear()
             number += 1
-            row = [pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in (pack.compress(data.tobytes()) if len(data) else b"", at.tobytes(), ids.tobytes()))]
-            return pa.RecordBatch.from_arrays(row, names=["unit", "blob", "at", "ids"])
+            if many == PACK_UNITS or total + len(data) > PACK_UNITS * PIECE_BYTES:
+                first, many, total = number, 0, 0
+            many, total = many + 1, total + len(data)
+            row = [pa.array([first], pa.int64()), pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in (pack.compress(data.tobytes()) if len(data) else b"", at.tobytes(), ids.tobytes()))]
+            return pa.RecordBatch.from_arrays(row, names=["pack", "unit", "blob", "at", "ids"])
 
         size = rows = 0
         for batch in batches:
@@ -149,7 +176,7 @@ def _units(docs: DataFrame) -> DataFrame:
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "unit bigint, blob binary, at binary, ids binary")
+    return rows.mapInArrow(run, "pack bigint, unit bigint, blob binary, at binary, ids binary")
 
 
 def _packed(raw: bytes) -> bytes:
@@ -164,27 +191,33 @@ def _unpacked(raw: bytes) -> bytes:
     return zstandard.decompress(raw)
 
 
+def _table(columns: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
+    return pa.table({name: pa.array([x[i] for x in rows], kind) for i, (name, kind) in enumerate(columns.items())})
+
+
 def _records(units: DataFrame, buckets: int, length: int) -> DataFrame:
-    """What each unit sends to each bucket: group, context (both its words) and id of its records there, in order."""
+    """What each pack sends to each bucket: group, context (both its words), sides and id of its records there; base is the number of the first one, in the order of buckets and then of units."""
+    columns = {"bucket": pa.int32(), "pack": pa.int64(), "base": pa.int64()} | dict.fromkeys(("groups", "contexts", "contexts_too", "befores", "afters", "least"), pa.binary())
+
+    def run(pack: pa.Table) -> pa.Table:
+        held = []
+        for data, at, ids in _texts_of(pack):
+            unit = Unit(data, at, ids, length)
+            first, _ = unit.records()
+            held.append([x[first] for x in (unit.group, unit.context, unit.context_too, unit.before, unit.after)] + [unit.ids[unit.doc[first]]])
+            del unit
+            trim()
+        group, *facts = (np.concatenate(x) for x in zip(*held, strict=True))
+        del held
+        bucket = _bucket(group, buckets)
+        order = np.argsort(bucket, kind="stable")
+        there, begin = np.unique(bucket[order], return_index=True)
+        end = np.append(begin, len(group))[1:]
+        facts = [x[order] for x in ((group & np.uint64(0xFFFFFFFF)).astype("<u4"), *facts)]
+        number = pack.column("pack")[0].as_py()
+        return _table(columns, [(b, number, x, *(_short(fact[x:y]) for fact in facts)) for b, x, y in zip(there.tolist(), begin.tolist(), end.tolist(), strict=True)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, blob, at, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                unit = _unit_of(blob, at, ids, length)
-                first, _ = unit.records()
-                if not len(first):
-                    continue
-                bucket = _bucket(unit.group[first], buckets)  # ascending, as the groups are
-                there, begin = np.unique(bucket, return_index=True)
-                end = np.append(begin[1:], len(first))
-                group = (unit.group[first] & np.uint64(0xFFFFFFFF)).astype("<u4")
-                columns = (group, unit.context[first], unit.context_too[first], unit.ids[unit.doc[first]])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(there, pa.int32()), pa.array([number] * len(there), pa.int64()), pa.array(begin.astype(np.int64))] + [pa.array([_short(x[a:b]) for a, b in zip(begin, end, strict=True)], pa.binary()) for x in columns],
-                    names=["bucket", "unit", "base", "groups", "contexts", "contexts_too", "least"],
-                )
-
-    return units.mapInArrow(run, "bucket int, unit bigint, base bigint, groups binary, contexts binary, contexts_too binary, least binary")
+    return units.groupBy("pack").applyInArrow(run, "bucket int, pack bigint, base bigint, groups binary, contexts binary, contexts_too binary, befores binary, afters binary, least binary")
 
 
 def _short(x: np.ndarray) -> bytes:
@@ -206,15 +239,16 @@ def _bucket(group: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _answers(records: DataFrame) -> DataFrame:
-    """For each unit and bucket: numbers of records whose context a smaller document has (covered), or that need the finer look (fine)."""
+    """For each pack and bucket: numbers of records whose context a smaller document has (covered), or that need the finer look (fine)."""
 
     def run(table: pa.Table) -> pa.Table:
-        units, bases = table.column("unit").to_pylist(), table.column("base").to_pylist()
+        packs, bases = table.column("pack").to_pylist(), table.column("base").to_pylist()
         groups = [np.frombuffer(x, "<u4") for x in table.column("groups").to_pylist()]
         sizes = [len(x) for x in groups]
-        group, context, too = np.concatenate(groups), *(np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]) for name, kind in (("contexts", np.uint64), ("contexts_too", np.uint32)))
+        kinds = {"contexts": np.uint64, "contexts_too": np.uint32, "befores": np.uint16, "afters": np.uint16}
+        group, context, too, before, after = np.concatenate(groups), *(np.frombuffer(b"".join(table.column(name).to_pylist()), kind) for name, kind in kinds.items())
         least = np.concatenate([_ids(x, n) for x, n in zip(table.column("least").to_pylist(), sizes, strict=True)])
-        order = np.argsort(group, kind="stable")
+        order = np.sort(group.astype(np.uint64) << np.uint64(32) | np.arange(len(group), dtype=np.uint64)).astype(np.uint32).astype(np.int64)
         g = group[order]
         new = np.ones(len(g), bool)
         new[1:] = g[1:] != g[:-1]
@@ -224,28 +258,36 @@ def _answers(records: DataFrame) -> DataFrame:
         g, c, t, d = group[order], context[order], too[order], least[order]
         covered, fine = np.zeros(len(group), bool), np.zeros(len(group), bool)
         if len(order):
-            new_g = np.ones(len(g), bool)
-            new_g[1:] = g[1:] != g[:-1]
-            new_c = new_g.copy()
-            new_c[1:] |= (c[1:] != c[:-1]) | (t[1:] != t[:-1])
-            at_c = np.cumsum(new_c) - 1
-            first_d = d[new_c]
-            covered[order] = d > first_d[at_c]
-            at_g = np.cumsum(new_g) - 1
-            low = np.minimum.reduceat(first_d, at_c[new_g])
-            high = np.maximum.reduceat(first_d, at_c[new_g])
+            new_c = np.ones(len(g), bool)
+            new_c[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1]) | (t[1:] != t[:-1])
+            covered[order] = d > d[new_c][np.cumsum(new_c) - 1]
             # Documents of equal ids may lie in several units; each of these looks for itself.
-            fine[order] = ~covered[order] & (low < high)[at_g]
+            order = order[~covered[order]]
+            for side in (before, after):
+                some = order[side[order] > 0]
+                fine[some] |= _differ(group[some].astype(np.uint64) << np.uint64(16) | side[some], least[some])
         out, a = [], 0
-        for unit, base, n in zip(units, bases, sizes, strict=True):
+        for pack, base, n in zip(packs, bases, sizes, strict=True):
             hit, look = np.flatnonzero(covered[a : a + n]) + base, np.flatnonzero(fine[a : a + n]) + base
             a += n
             if len(hit) or len(look):
-                out.append((unit, hit.astype("<u4").tobytes(), look.astype("<u4").tobytes()))
+                out.append((pack, hit.astype("<u4").tobytes(), look.astype("<u4").tobytes()))
         trim()
-        return pa.table({"unit": pa.array([x[0] for x in out], pa.int64()), "covered": pa.array([x[1] for x in out], pa.binary()), "fine": pa.array([x[2] for x in out], pa.binary())})
+        return _table({"pack": pa.int64(), "covered": pa.binary(), "fine": pa.binary()}, out)
+
+    return records.groupBy("bucket").applyInArrow(run, "pack bigint, covered binary, fine binary")
 
-    return records.groupBy("bucket").applyInArrow(run, "unit bigint, covered binary, fine binary")
+
+def _differ(key: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Whether rows of the same key have differing values."""
+    order = np.argsort(key)
+    k, v = key[order], value[order]
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    head, out = np.flatnonzero(new), np.zeros(len(k), bool)
+    if len(head):
+        out[order] = (np.minimum.reduceat(v, head) < np.maximum.reduceat(v, head))[np.cumsum(new) - 1]
+    return out
 
 
 def _starts_of(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -260,44 +302,55 @@ def _starts_of(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def _looks(units: DataFrame, answers: DataFrame, buckets: int, length: int) -> DataFrame:
-    """With answers: runs of covered windows of each unit (bucket -1), other places of its contexts (bucket -2), and the contexts that each unit sends to buckets.
-
-    A unit sends a context once. Where it has it again, in documents of the same id, a row of places (first
-    window, number of windows, distance) says from where to take the answer."""
-    told = answers.groupBy("unit").agg(F.collect_list("covered").alias("covered"), F.collect_list("fine").alias("fine"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, blob, at, ids, covered, fine in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                unit = _unit_of(blob, at, ids, length)
-                first, record = unit.records()
-                if not len(first):
-                    continue
-                hit, look = (np.frombuffer(b"".join(x or []), "<u4").astype(np.int64) for x in (covered, fine))
-                all_of = np.zeros(len(first), bool)
-                all_of[hit] = True
+    """With answers: runs of covered windows of each pack (bucket -1), other places of its contexts (bucket -2), and the contexts that each pack sends to buckets.
+
+    Places are bytes of the pack, its units end to end. A unit sends a context once. Where it has it again, in
+    documents of the same id, a row of places (first window, number of windows, distance) says from where to
+    take the answer."""
+    columns = {"bucket": pa.int32(), "pack": pa.int64(), "facts": pa.binary(), "bytes": pa.binary()}
+
+    def run(pack: pa.Table, told: pa.Table) -> pa.Table:
+        held = []
+        for data, at, ids in _texts_of(pack):
+            unit = Unit(data, at, ids, length)
+            held.append((unit, *unit.records()))
+            trim()
+        bucket = np.concatenate([_bucket(unit.group[first], buckets) for unit, first, _ in held])
+        order = np.argsort(bucket, kind="stable")  # as the records were sent
+        covered, sought = np.zeros(len(order), bool), np.zeros(len(order), bool)
+        for name, marked in (("covered", covered), ("fine", sought)):
+            marked[order[np.frombuffer(b"".join(told.column(name).to_pylist()), "<u4")]] = True
+        runs, places, facts, texts, offset, a = [], [], [], [], 0, 0
+        for unit, first, record in held:
+            hit, look = covered[a : a + len(first)], sought[a : a + len(first)]
+            a += len(first)
+            if len(first):
                 # Within the unit, documents after the least one with the same context are covered too.
-                gone = all_of[record] | (unit.ids[unit.doc] > unit.ids[unit.doc[first]][record])
-                runs = _starts_of(unit.low[gone], unit.high[gone])
-                out = [(-1, number, runs.tobytes(), b"")] if len(runs) else []
-                sought = np.zeros(len(first), bool)
-                sought[look] = True
-                chosen = first[sought]
-                again = sought[record] & ~gone
-                again[chosen] = False
-                if again.any():
-                    again, of = np.flatnonzero(again), first[record[again]]
-                    out.append((-2, number, _packed(np.stack([unit.low[of], unit.high[of] - unit.low[of] + 1, unit.anchor[again] - unit.anchor[of]], 1).tobytes()), b""))
-                bucket = _bucket(unit.group[chosen], buckets)
-                for b in np.unique(bucket).tolist():
-                    k = chosen[bucket == b]
-                    facts = np.stack([unit.ids[unit.doc[k]], unit.left[k], unit.right[k], unit.low[k], unit.high[k]])
-                    text = b"".join(unit.data[x:y].tobytes() for x, y in zip(unit.left[k].tolist(), unit.right[k].tolist(), strict=True))
-                    out.append((b, number, _packed(facts.tobytes()), _packed(text)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "unit", "facts", "bytes"])
-
-    return units.join(told, "unit", "left").mapInArrow(run, "bucket int, unit bigint, facts binary, bytes binary")
+                gone = hit[record] | (unit.ids[unit.doc] > unit.ids[unit.doc[first]][record])
+                runs.append(_starts_of(unit.low[gone], unit.high[gone]) + offset)
+                k = first[look]
+                again = look[record] & ~gone
+                again[k] = False
+                again, of = np.flatnonzero(again), first[record[again]]
+                places.append(np.stack([unit.low[of] + offset, unit.high[of] - unit.low[of] + 1, unit.anchor[again] - unit.anchor[of]], 1))
+                group = (unit.group[k] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                facts.append(np.stack([unit.ids[unit.doc[k]], group, *(x[k] + offset for x in (unit.left, unit.right, unit.low, unit.high))]))
+                texts += [unit.data[x:y].tobytes() for x, y in zip(unit.left[k].tolist(), unit.right[k].tolist(), strict=True)]
+            offset += len(unit.data)
+        number, out = pack.column("pack")[0].as_py(), []
+        if sum(map(len, runs)):
+            out.append((-1, number, np.concatenate(runs).tobytes(), b""))
+        if sum(map(len, places)):
+            out.append((-2, number, _packed(np.concatenate(places).tobytes()), b""))
+        if texts:
+            chosen = bucket[sought]
+            order = np.argsort(chosen, kind="stable")
+            every, (there, begin) = np.concatenate(facts, 1)[:, order], np.unique(chosen[order], return_index=True)
+            for b, x, y in zip(there.tolist(), begin.tolist(), [*begin[1:].tolist(), len(order)], strict=True):
+                out.append((b, number, _packed(every[:, x:y].tobytes()), _packed(b"".join([texts[i] for i in order[x:y].tolist()]))))
+        return _table(columns, out)
+
+    return units.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(run, "bucket int, pack bigint, facts binary, bytes binary")
 
 
 def refine(data: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -350,36 +403,58 @@ def _fine(looks: DataFrame, length: int) -> DataFrame:
     """Runs of windows that a smaller document covers, from contexts compared byte by byte."""
 
     def run(table: pa.Table) -> pa.Table:
-        units = table.column("unit").to_pylist()
-        facts = [np.frombuffer(_unpacked(x), np.int64).reshape(5, -1) for x in table.column("facts").to_pylist()]
-        data = np.frombuffer(b"".join(map(_unpacked, table.column("bytes").to_pylist())) + bytes(64), np.uint8)
-        owner = np.repeat(np.arange(len(units)), [x.shape[1] for x in facts])
-        ids, left, right, low, high = np.concatenate(facts, 1)
-        base = np.cumsum(right - left) - (right - left)
-        many = high - low + 1
-        which = np.repeat(np.arange(len(ids)), many)
-        start = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + (base + low - left)[which]
-        number = np.full(len(data), -1)
-        number[start] = which  # windows of different contexts lie in different bytes
-        kept, bucket = refine(data, start, length)
+        packs = table.column("pack").to_pylist()
+        facts = [np.frombuffer(_unpacked(x), np.int64).reshape(6, -1) for x in table.column("facts").to_pylist()]
+        data = np.frombuffer(b"".join(map(_unpacked, table.column("bytes").to_pylist())), np.uint8)
+        owner = np.repeat(np.arange(len(packs)), [x.shape[1] for x in facts])
+        ids, group, left, right, low, high = np.concatenate(facts, 1)
+        size = right - left
+        base = np.cumsum(size) - size
         out: dict[int, list[np.ndarray]] = {}
-        if len(kept):
-            of = number[kept]
-            order = np.lexsort((ids[of], bucket))
-            b = bucket[order]
-            new = np.ones(len(b), bool)
-            new[1:] = b[1:] != b[:-1]
-            least = ids[of][order][new][np.cumsum(new) - 1]
-            gone = order[ids[of][order] > least]
-            p, of = kept[gone], of[gone]
-            at = p - base[of] + left[of]
-            for u in np.unique(owner[of]).tolist():
-                mine = at[owner[of] == u]
-                out[u] = _starts_of(mine, mine)
+        for some in _slices(group, size):
+            here = np.cumsum(size[some]) - size[some]
+            bytes_here = np.concatenate((data[np.arange(size[some].sum()) + np.repeat(base[some] - here, size[some])], np.zeros(64, np.uint8)))
+            context, start = _covered(bytes_here, here + low[some] - left[some], high[some] - low[some] + 1, ids[some], length)
+            at, of = start - here[context] + left[some][context], owner[some][context]
+            order = np.argsort(of, kind="stable")
+            there, begin = np.unique(of[order], return_index=True)
+            for k, x, y in zip(there.tolist(), begin, np.append(begin, len(of))[1:], strict=True):
+                mine = at[order[x:y]]
+                out.setdefault(k, []).append(_starts_of(mine, mine))
         trim()
-        return pa.table({"unit": pa.array([units[u] for u in out], pa.int64()), "facts": pa.array([x.tobytes() for x in out.values()], pa.binary())})
-
-    return looks.where("bucket >= 0").groupBy("bucket").applyInArrow(run, "unit bigint, facts binary")
+        return _table({"pack": pa.int64(), "facts": pa.binary()}, [(packs[k], np.concatenate(x).tobytes()) for k, x in out.items()])
+
+    return looks.where("bucket >= 0").groupBy("bucket").applyInArrow(run, "pack bigint, facts binary")
+
+
+def _slices(group: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of contexts, those of a group together, in parts of at most LOOK_BYTES or of one group."""
+    order = np.argsort(group, kind="stable")
+    total, g = np.cumsum(size[order]), group[order]
+    ends = np.append(np.flatnonzero(g[1:] != g[:-1]) + 1, len(g))
+    a = before = 0
+    while a < len(g):
+        most = np.searchsorted(total, before + LOOK_BYTES, "right")
+        k = np.searchsorted(ends, most, "right") - 1
+        b = int(ends[k]) if k >= 0 and ends[k] > a else int(ends[np.searchsorted(ends, a, "right")])
+        yield order[a:b]
+        a, before = b, int(total[b - 1])
+
+
+def _covered(data: np.ndarray, first: np.ndarray, many: np.ndarray, ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that a context of a smaller document has too: their contexts and starts. A context has `many` windows from its `first` start on."""
+    which = np.repeat(np.arange(len(ids)), many)
+    start = np.arange(many.sum()) + np.repeat(first - (np.cumsum(many) - many), many)
+    number = np.full(len(data), -1)
+    number[start] = which  # windows of different contexts lie in different bytes
+    kept, bucket = refine(data, start, length)
+    of = number[kept]
+    order = np.lexsort((ids[of], bucket))
+    b, d = bucket[order], ids[of][order]
+    new = np.ones(len(b), bool)
+    new[1:] = b[1:] != b[:-1]
+    gone = order[d > d[new][np.cumsum(new) - 1]]
+    return of[gone], kept[gone]
 
 
 def _again(places: np.ndarray, low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
@@ -394,44 +469,48 @@ def _again(places: np.ndarray, low: np.ndarray, high: np.ndarray, n: int) -> np.
 
 def _cut_texts(units: DataFrame, runs: DataFrame, length: int, with_text: bool) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes as text."""
-    told = runs.groupBy("unit").agg(F.collect_list(F.when(~F.col("places"), F.col("facts"))).alias("facts"), F.collect_list(F.when(F.col("places"), F.col("facts"))).alias("places"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        for batch in batches:
-            for _, blob, at, ids, facts, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = np.frombuffer(zstandard.decompress(blob), np.uint8) if blob else np.zeros(0, np.uint8)
-                at, ids = np.frombuffer(at, np.int64), np.frombuffer(ids, np.int64)
-                low, high = np.frombuffer(b"".join(facts or []), np.int64).reshape(-1, 2).T
-                step = np.zeros(len(data) + 1, np.int32)
-                np.add.at(step, low, 1)
-                np.add.at(step, high + length, -1)
-                for more in places or []:
-                    start = _again(np.frombuffer(_unpacked(more), np.int64).reshape(-1, 3), low, high, len(data))
-                    np.add.at(step, start, 1)
-                    np.add.at(step, start + length, -1)
-                gone = np.cumsum(step)[:-1] > 0
-                first = gone.copy()
-                first[1:] &= ~gone[:-1]
-                heads = at[:-1][at[:-1] < at[1:]]
-                first[heads] = gone[heads]
-                removed, spans = (np.concatenate(([0], np.cumsum(x))) for x in (gone, first))
-                kept = data[~gone].tobytes()
-                ends = (at - removed[at]).tolist()
-                texts = [kept[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                per = lambda x: pa.array((x[at[1:]] - x[at[:-1]]).astype(np.int64))
-                columns = [pa.array(ids, mask=ids == NO_ID), pa.array(np.diff(at)), per(removed), per(spans), pa.array([hashlib.sha256(x).hexdigest() for x in texts])]
-                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-                if with_text:
-                    # A cut may part the bytes of a character; such halves go.
-                    columns.append(pa.array([x.decode("utf-8", "ignore") for x in texts], pa.string()))
-                    names.append("kept_text")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+    def cut_unit(data: np.ndarray, at: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+        step = np.zeros(len(data) + 1, np.int32)
+        np.add.at(step, low, 1)
+        np.add.at(step, high + length, -1)
+        if len(places):
+            start = _again(places, low, high, len(data))
+            np.add.at(step, start, 1)
+            np.add.at(step, start + length, -1)
+        gone = np.cumsum(step)[:-1] > 0
+        first = gone.copy()
+        first[1:] &= ~gone[:-1]
+        heads = at[:-1][at[:-1] < at[1:]]
+        first[heads] = gone[heads]
+        removed, spans = (np.concatenate(([0], np.cumsum(x))) for x in (gone, first))
+        kept = data[~gone].tobytes()
+        ends = (at - removed[at]).tolist()
+        texts = [kept[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        per = lambda x: pa.array((x[at[1:]] - x[at[:-1]]).astype(np.int64))
+        columns = [pa.array(ids, mask=ids == NO_ID), pa.array(np.diff(at)), per(removed), per(spans), pa.array([hashlib.sha256(x).hexdigest() for x in texts])]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        if with_text:
+            # A cut may part the bytes of a character; such halves go.
+            columns.append(pa.array([x.decode("utf-8", "ignore") for x in texts], pa.string()))
+            names.append("kept_text")
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def run(pack: pa.Table, told: pa.Table) -> pa.Table:
+        facts, is_places = told.column("facts").to_pylist(), told.column("places").to_pylist()
+        found = np.frombuffer(b"".join(x for x, y in zip(facts, is_places, strict=True) if not y), np.int64).reshape(-1, 2)
+        places = np.frombuffer(b"".join(_unpacked(x) for x, y in zip(facts, is_places, strict=True) if y), np.int64).reshape(-1, 3)
+        out, offset = [], 0
+        for data, at, ids in _texts_of(pack):
+            mine, too = ((x[:, 0] >= offset) & (x[:, 0] < offset + len(data)) for x in (found, places))
+            low, high = (found[mine] - offset).T
+            out.append(cut_unit(data, at, ids, low, high, places[too] - np.array([offset, 0, 0])))
+            offset += len(data)
             trim()
+        return pa.Table.from_batches(out)
 
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * with_text
-    return units.join(told, "unit", "left").mapInArrow(run, schema)
+    return units.groupBy("pack").cogroup(runs.groupBy("pack")).applyInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
@@ -441,7 +520,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} or more")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    units = cut_by(_units(docs), parts, "unit")
+    units = cut_by(_units(docs), parts, "pack")
     free(spark)
     size = units.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
     buckets = max(parts, -(-3 * size // BUCKET_BYTES))
@@ -450,6 +529,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     looks = cut(_looks(units, answers, buckets, length))
     del answers
     free(spark)
-    told = looks.where("bucket < 0").select("unit", "facts", (F.col("bucket") == -2).alias("places"))
+    told = looks.where("bucket < 0").select("pack", "facts", (F.col("bucket") == -2).alias("places"))
     runs = told.union(_fine(looks, length).withColumn("places", F.lit(False)))
     return _cut_texts(units, runs, length, with_text)

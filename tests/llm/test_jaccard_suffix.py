@@ -210,6 +210,48 @@ def test_repeats_at_every_place(spark):
     assert sorted(x.n_removed for x in found.collect()) == [0, 110, 110, 110, 110]
 
 
+def test_rows_of_packs_and_buckets(spark, monkeypatch):
+    """What is sent to buckets is a row of several units, so that rows do not grow with the square of the input."""
+    monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 3000)
+    monkeypatch.setattr(suffix_dedup, "pieces_of", lambda text, cut=suffix_dedup.pieces_of: cut(text, 3000))
+    sent, records = [], suffix_dedup._records
+
+    def kept(units, buckets, length):
+        sent.append((units.count(), out := records(units, buckets, length)))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "_records", kept)
+    rows = corpus(6, 300)
+    found = suffix_dedup.remove_repeats(spark.createDataFrame(rows, DOCS).coalesce(1))
+    assert {r.doc_id: tuple(r)[1:] for r in found.collect()} == brute_repeats(rows)
+    units, out = sent[0]
+    assert units > 40 and out.groupBy("bucket").count().agg({"count": "max"}).first()[0] <= units / 4
+
+
+def test_chance_repeats_of_an_anchor_end_early(spark, monkeypatch):
+    """Contexts that share little more than their anchor are not sent to be sorted; those that share a window are."""
+    looks, fine = [], suffix_dedup._fine
+    monkeypatch.setattr(suffix_dedup, "_fine", lambda x, length: (looks.append(x), fine(x, length))[1])
+    r = random.Random(14)
+    other = lambda n: "".join(r.choice("0123456789ABCDEF") for _ in range(n))
+    rows = [(k, other(60) + "the same old string" + other(60)) for k in range(60)]
+    shared = [(100 + k, other(20) + f"{k // 2:02}" + "of two documents, at the same old string of both" + other(20)) for k in range(6)]
+    for docs, many in ((rows, 0), (rows + shared, 6)):
+        found = suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id bigint, text string"))
+        assert {x.doc_id: tuple(x)[1:] for x in found.collect()} == brute_repeats(docs)
+        assert (looks[-1].where("bucket >= 0").count() > 0) == (many > 0)
+
+
+def test_slices_keep_a_group_together(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "LOOK_BYTES", 100)
+    r = np.random.default_rng(15)
+    group, size = r.integers(0, 40, 300), r.integers(1, 30, 300)
+    slices = list(suffix_dedup._slices(group, size))
+    assert sorted(np.concatenate(slices).tolist()) == list(range(300))
+    every = [set(group[x].tolist()) for x in slices]
+    assert sum(map(len, every)) == len(set(group.tolist())) and all(size[x].sum() <= 100 or len(y) == 1 for x, y in zip(slices, every, strict=True))
+
+
 def test_anchor_of_many_contexts(spark):
     """One string that 20,000 documents hold between bytes of their own, and in a third of them within a longer copy."""
     r = random.Random(12)
